@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import checkpointed
 from .batches import code_points, mix64, pieces
 from .unify import one_form, present
 
@@ -231,18 +232,6 @@ def _from_long_lists(postings: DataFrame, long: int) -> DataFrame:
     return met.select("list", "x", "y", "block", "a", "lists").groupBy("list", "x", "y").applyInPandas(_block_pairs, "a bigint, b bigint")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut off from its lineage in the folder that all executors share."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint()
-
-
 def candidates(documents: DataFrame, long: int = LONG) -> DataFrame:
     """a, b: keys, the smaller first, of texts that may be similar; each pair once."""
     texts = present(documents).select("text")
@@ -293,15 +282,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(like, pa.float64())], ["a", "b", "similarity"]).filter(pa.array(like >= SIMILARITY))
 
 
-def similar_texts(documents: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
+def keys_of(documents: DataFrame) -> DataFrame:
+    """doc_id, key of the documents with text."""
+    return checkpointed(present(documents).mapInArrow(_keyed, "doc_id bigint, key bigint").where("key is not null").distinct())
+
+
+def similar_texts(documents: DataFrame, long: int = LONG, members: DataFrame | None = None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of the texts at least SIMILARITY alike.
 
     pairs: a, b (keys of different texts, a < b), similarity. members: doc_id, key; the documents with one
     key are copies. Null and empty texts, and texts of nothing but blanks, are in neither. Repeated rows
-    count once. Other columns are ignored.
+    count once. Other columns are ignored. members may be given if they are known; more names pairs of keys
+    that another search suggests, to be verified like those found here.
     """
-    members = checkpointed(present(documents).mapInArrow(_keyed, "doc_id bigint, key bigint").where("key is not null").distinct())
-    pairs = checkpointed(candidates(documents, long))
+    members = keys_of(documents) if members is None else members
+    found = candidates(documents, long)
+    pairs = checkpointed(found if more is None else found.union(more.select("a", "b")).distinct())
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     first = members.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = present(documents).join(first, "doc_id").select("key", "text").dropDuplicates(["key"]).mapInArrow(_folded, "key bigint, text string")

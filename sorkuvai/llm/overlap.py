@@ -1,9 +1,10 @@
 """Problem 6: records of the evaluation splits that are also in the training split.
 
 Records are canonicalised (the one form, lower case, neither punctuation nor white space) and hashed;
-the hashes of the evaluation splits are joined with those of the training split and counted by split
-and source before anything is paired. A hash only finds records that are the same but for case,
-punctuation and blanks; those with small edits come from the T-occurrence search of `near`.
+the hashes of the evaluation splits are joined with those of the training split, and for the report
+counted by split and source before anything is paired. A hash only finds records that are the same but
+for case, punctuation and blanks; those with small edits come from the T-occurrence search of `near`, and
+both kinds are held to the same similarity.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import checkpointed
 from .batches import pieces
-from .near import similar_texts
+from .near import fold, similar_texts, text_key
 from .unify import one_form, present
 
 TRAIN, EVALUATION = "train", ("validation", "test")
@@ -36,6 +38,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), hashes], ["doc_id", "split", "source", "hash"])
 
 
+def _hashed_and_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, texts in pieces(batches):
+        folded = fold(texts)
+        keys, hashes = [text_key(x) if x else None for x in folded], [canonical_hash(x) for x in folded]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "split", "key", "hash"])
+
+
 def split_of(column: str = "split"):
     """The split without regard to case and outer blanks."""
     return F.lower(F.trim(column))
@@ -63,9 +72,13 @@ def across_splits(documents: DataFrame) -> DataFrame:
 
     Copies and near copies alike; of pairs within one split none is made.
     """
-    pairs, members = similar_texts(documents)
-    side = documents.select("doc_id", F.when(split_of() == TRAIN, 0).when(split_of().isin(*EVALUATION), 1).alias("side")).where("side is not null").distinct()
-    sided = members.join(side, "doc_id")
+    side = F.when(split_of() == TRAIN, 0).when(split_of().isin(*EVALUATION), 1)
+    rows = present(documents, "split").mapInArrow(_hashed_and_keyed, "doc_id bigint, split string, key bigint, hash string")
+    rows = checkpointed(rows.where("key is not null").select("doc_id", "key", "hash", side.alias("side")).distinct())
+    train, held = (rows.where(F.col("side") == k).select("hash", F.col("key").alias(f"key_{k}")).distinct() for k in (0, 1))
+    same = train.join(held, "hash").where("key_0 <> key_1").select(F.least("key_0", "key_1").alias("a"), F.greatest("key_0", "key_1").alias("b"))
+    pairs, members = similar_texts(documents, members=rows.select("doc_id", "key").distinct(), more=same)
+    sided = rows.where("side is not null").select("doc_id", "key", "side").distinct()
     keys = sided.groupBy("key").agg(F.min("side").alias("low"), F.max("side").alias("high"))
     pairs = pairs.join(keys.selectExpr("key a", "low low_a", "high high_a"), "a").join(keys.selectExpr("key b", "low low_b", "high high_b"), "b")
     pairs = pairs.where("least(low_a, low_b) = 0 and greatest(high_a, high_b) = 1").select("a", "b")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import checkpointed
 from .batches import pieces
 from .unify import present
 
@@ -81,6 +82,7 @@ def packed(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     first. Equal sizes are taken in the order of doc_id.
     """
     rows = sizes.where("doc_id is not null and tokens > 0").groupBy("doc_id").agg(F.max("tokens").cast("bigint").alias("tokens"))
+    rows = checkpointed(rows)
     n = max(1, -(-rows.count() // SHARD_DOCS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     wanted = specs.where("spec_id is not null and capacity > 0").groupBy("spec_id").agg(F.max("capacity").alias("capacity")).orderBy("spec_id").limit(SPECS_AT_MOST + 1).collect()

@@ -138,10 +138,10 @@ def _terms(parts: list[str]):
         for _, texts in pieces(batches):
             for text in one_form(texts):
                 for kind, start, _end, _sure in scan.numbers(text):
-                    found.update((term, kind) for term in terms_before(text, start))
+                    found.update((term, kind) for term in ["", *terms_before(text, start)])
                 for start, end, mark in scan.hits(text):
                     if mark & NAME_MARK and _whole(text, start, end):
-                        found.update((term, "person") for term in terms_before(text, _with_initials(text, start)))
+                        found.update((term, "person") for term in ["", *terms_before(text, _with_initials(text, start))])
             if len(found) > 100_000:
                 yield _counts(found)
                 found.clear()
@@ -182,12 +182,11 @@ def revealing_terms(documents: DataFrame, name_parts: DataFrame) -> list[tuple[s
     rows = before.where(F.col("n") >= SEEN).orderBy(F.desc("n"), "term", "kind").limit(TERMS_AT_MOST + 1).collect()
     if len(rows) > TERMS_AT_MOST:
         raise ValueError(f"more than {TERMS_AT_MOST} terms stand before entities; raise SEEN")
+    of_kind = {r.kind: r.n for r in rows if not r.term}
+    rows = [r for r in rows if r.term]
     terms = frozenset(r.term for r in rows)
     places = texts.mapInArrow(_places(terms), "term string, kind string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     all_places = {r.term: r.n for r in places.collect()}
-    of_kind: Counter = Counter()
-    for r in rows:
-        of_kind[r.kind] += r.n
     out = []
     for r in rows:
         share = min(1.0, r.n / max(1, all_places.get(r.term, 0)))

@@ -16,6 +16,11 @@ def _of(f: Callable, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _updated_cube(documents, *tables):
+    """From the documents fetched before a day to all of them."""
+    return tokens.token_cube_in_steps(documents, documents.where("fetched_at < timestamp '2024-07-01 00:00:00'"), *tables)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _of(mixing.short_sources, "merge_gold", "dataset_configs"),
@@ -24,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": _of(near.near_duplicates, "documents"),
         "p2_classes": _of(near.near_classes, "documents"),
         "p3_token_cube": _of(tokens.token_cube, "documents", "merge_gold", "lang_codes", "vocab", "merges"),
+        "p3_updated_cube": _of(_updated_cube, "documents", "merge_gold", "lang_codes", "vocab", "merges"),
         "p4_found": _of(language.wrong_labels, "documents", "lang_samples", "lang_codes", "common_words"),
         "p4_languages": _of(language.document_languages, "documents", "lang_samples"),
         "p5_found": _of(quality.unnatural_documents, "documents", "common_words"),

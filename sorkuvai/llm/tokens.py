@@ -13,58 +13,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.bpe import Bpe, tables
+from ..operators.storage import checkpointed
 from .batches import pieces
 from .unify import present
 
-WORD_START = "▁"
-WORDS_KEPT = 300_000
-#: Rows of vocab and of merges that are sent to every executor; tokenizers beyond are refused.
-TABLE_ROWS = 2_000_000
-
-
-class Bpe:
-    """Counts tokens: white space splits words, ▁ before each; adjacent pieces join in the order of the merges."""
-
-    def __init__(self, vocab: list[str], merges: list[tuple[str, str]]) -> None:
-        self.vocab = frozenset(vocab)
-        self.ranks: dict[tuple[str, str], int] = {}
-        for k, pair in enumerate(merges):
-            self.ranks.setdefault(pair, k)
-        self.known: dict[str, int] = {}
-
-    def pieces(self, word: str) -> list[str]:
-        """The pieces of a word with ▁; a character that isn't in vocab stays in one piece here."""
-        parts, ranks = list(word), self.ranks
-        while len(parts) > 1:
-            best = min((ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 60:
-                break
-            a, b = parts[best[1]], parts[best[1] + 1]
-            out, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return parts
-
-    def word_tokens(self, word: str) -> int:
-        return sum(1 if p in self.vocab else sum(1 if c in self.vocab else len(c.encode()) for c in p) for p in self.pieces(WORD_START + word))
-
-    def __call__(self, text: str) -> int:
-        known, words = self.known, text.split()
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = self.word_tokens(w)
-        return sum(map(known.__getitem__, words))
-
 
 def text_hash(text: str) -> str:
     return xxhash.xxh3_128_hexdigest(text)
@@ -77,21 +33,18 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encoded(vocab: list[str], merges: list[tuple[str, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = Bpe(vocab, merges)
+        bpe = Bpe(vocab, merges)
         for part, texts in pieces(batches):
             hashes = [text_hash(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.string()), pa.array(map(count, texts), pa.int64())], ["doc_id", "text_hash", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.string()), pa.array(map(bpe.count, texts), pa.int64())], ["doc_id", "text_hash", "tokens"])
 
     return run
 
 
 def tokenizer(vocab: DataFrame, merges: DataFrame) -> tuple[list[str], list[tuple[str, str]], str]:
-    """The pieces, the merges in order, and the tokenizer's hash. Null pieces are left out; equal ranks count in the order of their pieces."""
-    pieces_ = [r[0] for r in vocab.where("token is not null and not coalesce(is_special, false)").select("token").distinct().orderBy("token").limit(TABLE_ROWS + 1).collect()]
-    pairs = [(r[1], r[2]) for r in merges.where("left_piece is not null and right_piece is not null").select("merge_rank", "left_piece", "right_piece").distinct().orderBy("merge_rank", "left_piece", "right_piece").limit(TABLE_ROWS + 1).collect()]
-    if max(len(pieces_), len(pairs)) > TABLE_ROWS:
-        raise ValueError(f"a tokenizer of more than {TABLE_ROWS} pieces or merges")
-    return pieces_, pairs, hashlib.sha256(repr((pieces_, pairs)).encode()).hexdigest()[:32]
+    """The pieces, the merges in order, and the tokenizer's hash."""
+    both = tables(vocab, merges)
+    return *both, hashlib.sha256(repr(both).encode()).hexdigest()[:32]
 
 
 def token_counts(documents: DataFrame, vocab: DataFrame, merges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -156,6 +109,16 @@ def token_cube(documents: DataFrame, lines: DataFrame, codes: DataFrame, vocab:
     """source, lang, domain, documents, tokens, and tokens_of_source as the source's total."""
     counts = token_counts(documents, vocab, merges, known).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     cube = cubes(document_slices(documents, lines, codes).join(counts, "doc_id"))
-    from pyspark.sql import Window
-
     return cube.withColumn("tokens_of_source", F.sum("tokens").over(Window.partitionBy("source")))
+
+
+def token_cube_in_steps(documents: DataFrame, earlier: DataFrame, lines: DataFrame, codes: DataFrame, vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    """The cube of documents, made from that of an earlier state by signed deltas; texts of that state aren't encoded again.
+
+    earlier: documents as they were. The columns are those of cubes.
+    """
+    columns = "doc_id", "text_hash", "tokens", "source", "lang", "domain"
+    old_counts = checkpointed(token_counts(earlier, vocab, merges))
+    before = old_counts.join(document_slices(earlier, lines, codes), "doc_id").select(*columns)
+    after = token_counts(documents, vocab, merges, old_counts).join(document_slices(documents, lines, codes), "doc_id").select(*columns)
+    return updated(cubes(before), deltas(before, after))
