@@ -54,9 +54,9 @@ def merged(lines: DataFrame, budget: int | None = None, **limits) -> DataFrame:
     """domain, file_name, line_no, line: kept lines, each once, in the order of priority, up to a budget of bytes.
 
     lines: domain, file_name, line_no, line. Of equal lines that of the domain with the higher priority stays,
-    then the first by file and number. The line that crosses the budget is in.
+    then the first by file and number. The line that crosses the budget is in. Null lines take no part.
     """
-    kept = judged(lines, **limits).where("reject_reason is null").withColumn("priority", priority(F.col("domain")))
+    kept = judged(lines.where("line is not null"), **limits).where("reject_reason is null").withColumn("priority", priority(F.col("domain")))
     order = ["priority", "domain", "file_name", "line_no"]
     once = first_wins(kept, line_key(F.col("line")), order)
     if budget is not None:
@@ -66,7 +66,7 @@ def merged(lines: DataFrame, budget: int | None = None, **limits) -> DataFrame:
 
 def merge_stats(lines: DataFrame, **limits) -> DataFrame:
     """domain (null: all), files, lines_read, filtered, duplicates, lines_written, bytes_written, filter_ratio, dedup_ratio."""
-    rows = judged(lines, **limits)
+    rows = judged(lines.where("line is not null"), **limits)
     once = first_wins(rows.where("reject_reason is null").withColumn("priority", priority(F.col("domain"))), line_key(F.col("line")), ["priority", "domain", "file_name", "line_no"])
     read = rows.groupBy("domain", "file_name").agg(F.count("*").alias("n"), F.count("reject_reason").alias("bad"))
     written = once.groupBy("domain", "file_name").agg(F.count("*").alias("kept"), F.sum(F.octet_length("line") + 1).alias("bytes"))
