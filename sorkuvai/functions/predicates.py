@@ -27,12 +27,18 @@ def english_words(text: Column) -> Column:
 def line_reason(line: Column, least_share: float = 0.6, most_english: float = 0.4, shortest: int = 20, longest: int = 50_000, script: ScriptProfile = TAMIL) -> Column:
     """Why a line isn't kept: too_short, too_long, no_tamil, low_tamil, consecutive_english, english_words; null if it is."""
     line = ustrip(line)
-    own, latin, n = count(line, script.letters), count(line, P.LATIN), F.length(line)
-    return (
-        F.when(n < shortest, "too_short").when(n > longest, "too_long")
-        .when(own == 0, f"no_{script.name}").when(own / (own + latin) < least_share, f"low_{script.name}")
-        .when(line.rlike(CONSECUTIVE), "consecutive_english").when(english_words(line) / words(line) > most_english, "english_words")
-    )
+    # What several conditions need is worked out once, as the fields of a struct.
+    measured = F.struct(line.alias("line"), count(line, script.letters).alias("own"), count(line, P.LATIN).alias("latin"))
+
+    def reason(m: Column) -> Column:
+        x, own, n = m["line"], m["own"], F.length(m["line"])
+        return (
+            F.when(n < shortest, "too_short").when(n > longest, "too_long")
+            .when(own == 0, f"no_{script.name}").when(own / (own + m["latin"]) < least_share, f"low_{script.name}")
+            .when(x.rlike(CONSECUTIVE), "consecutive_english").when(english_words(x) / words(x) > most_english, "english_words")
+        )
+
+    return F.transform(F.array(measured), reason)[0]
 
 
 def is_quality_line(line: Column, **limits) -> Column:

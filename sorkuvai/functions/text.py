@@ -37,6 +37,8 @@ def delete(text: Column, characters: str) -> Column:
 
 URL = rf"https?://[^{P.WS}]+|www\.[^{P.WS}]+"
 EMAIL = rf"[^{P.WS}]+@[^{P.WS}]+\.[^{P.WS}]+"
+#: The same; tried once for each run between blanks, not at each of its characters.
+EMAIL_ONCE = rf"(?<![^{P.WS}]){EMAIL}"
 CONTROL = r"[^\P{C}\n\t]"
 SQUEEZE = ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
 
@@ -65,7 +67,7 @@ def numerals(text: Column, mode: str = "preserve") -> Column:
 
 def strip_links(text: Column) -> Column:
     """Web and mail addresses as a blank."""
-    return replace_all(text, (URL, " "), (EMAIL, " "))
+    return replace_all(text, (URL, " "), (EMAIL_ONCE, " "))
 
 
 def squeeze_repeats(text: Column, marks: str = "!?.,;:") -> Column:

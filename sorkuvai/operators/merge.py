@@ -9,6 +9,7 @@ from ..functions.predicates import line_reason
 from ..functions.text import normalize_basic, ustrip
 from .dedup import first_wins, line_key
 from .ordering import under_budget
+from .storage import checkpointed
 
 # The order of the domains; others follow.
 PRIORITY = ("classical", "wiki", "legal", "news", "hf_datasets")
@@ -67,10 +68,13 @@ def merged(lines: DataFrame, budget: int | None = None, **limits) -> DataFrame:
 def merge_stats(lines: DataFrame, **limits) -> DataFrame:
     """domain (null: all), files, lines_read, filtered, duplicates, lines_written, bytes_written, filter_ratio, dedup_ratio."""
     rows = judged(lines.where("line is not null"), **limits)
-    once = first_wins(rows.where("reject_reason is null").withColumn("priority", priority(F.col("domain"))), line_key(F.col("line")), ["priority", "domain", "file_name", "line_no"])
-    read = rows.groupBy("domain", "file_name").agg(F.count("*").alias("n"), F.count("reject_reason").alias("bad"))
-    written = once.groupBy("domain", "file_name").agg(F.count("*").alias("kept"), F.sum(F.octet_length("line") + 1).alias("bytes"))
-    both = read.join(written, (read.domain.eqNullSafe(written.domain)) & (read.file_name.eqNullSafe(written.file_name)), "left").select(F.coalesce(read.domain, F.lit("unknown")).alias("domain"), read.file_name, "n", "bad", "kept", "bytes")
+    # One pass over the lines: by file and key (null for rejected ones), so that copies are counted where they are read.
+    key = F.when(F.col("reject_reason").isNull(), line_key(F.col("line")))
+    place = F.struct(priority(F.col("domain")).alias("priority"), "domain", "file_name", "line_no", (F.octet_length("line") + 1).alias("bytes"))
+    seen = checkpointed(rows.groupBy("domain", "file_name", key.alias("key")).agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    kept = seen.where("key is not null").groupBy("key").agg(F.min("first").alias("first")).groupBy("first.domain", "first.file_name").agg(F.count("*").alias("kept"), F.sum("first.bytes").alias("bytes"))
+    read = seen.groupBy("domain", "file_name").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("bad"))
+    both = read.join(kept, (read.domain.eqNullSafe(kept.domain)) & (read.file_name.eqNullSafe(kept.file_name)), "left").select(F.coalesce(read.domain, F.lit("unknown")).alias("domain"), read.file_name, "n", "bad", "kept", "bytes")
     total = both.rollup("domain").agg(
         F.countDistinct("file_name").alias("files"), F.sum("n").alias("lines_read"), F.sum("bad").alias("filtered"),
         F.coalesce(F.sum("kept"), F.lit(0)).alias("lines_written"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes_written"),

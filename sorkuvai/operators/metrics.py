@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates
 from ..functions.profiles import LATIN, TAMIL, WS
 from ..functions.text import clean_piece, ustrip
+from .ordering import running
 
 
 def word_count(text: Column) -> Column:
@@ -17,15 +18,20 @@ def word_count(text: Column) -> Column:
 def fertility(rows: DataFrame, *by: str, tokens: str = "pieces") -> DataFrame:
     """avg_fertility (all tokens over all words), median_fertility (the upper one), words, tokens of the rows with words.
 
-    rows: text and an array of pieces. The median is taken over one number a row, by rank.
+    rows: text and an array of pieces. The median is taken by rank over the counts of equal values.
     """
-    sized = rows.withColumns({"_w": word_count(F.col("text")), "_t": F.size(tokens)}).where("_w > 0").withColumn("_f", F.col("_t") / F.col("_w"))
-    total = sized.groupBy(*by).agg(F.sum("_t").alias("tokens"), F.sum("_w").alias("words"), F.percentile("_f", F.lit(0.5)).alias("_mid"), F.count("*").alias("_n"))
-    upper = sized.groupBy(*by, "_f").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by).orderBy("_f") if by else Window.orderBy("_f")))
-    all_ = total.select(*by, "tokens", "words", "_n")
-    at = upper.join(all_, list(by)) if by else upper.join(F.broadcast(all_))
-    median = at.where(F.col("_upto") > F.floor(F.col("_n") / 2)).groupBy(*by, "tokens", "words").agg(F.min("_f").alias("median_fertility"))
-    return median.select(*by, "tokens", "words", (F.col("tokens") / F.col("words")).alias("avg_fertility"), "median_fertility")
+    sized = rows.select(*by, word_count(F.col("text")).alias("_w"), F.size(tokens).alias("_t"))
+    counts = sized.where("_w > 0").groupBy(*by, "_w", "_t").agg(F.count("*").alias("_c"))  # rows of one size count once
+    counts = counts.groupBy(*by, (F.col("_t") / F.col("_w")).alias("_f")).agg(F.sum("_c").alias("_c"), F.sum(F.col("_t") * F.col("_c")).alias("_t"), F.sum(F.col("_w") * F.col("_c")).alias("_w"))
+    if by:
+        own = Window.partitionBy(*by)
+        before = F.coalesce(F.sum("_c").over(own.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = counts.withColumns({"_before": before, "_n": F.sum("_c").over(own)})
+    else:
+        ranked = running(counts, ["_f"], _before=F.col("_c")).join(F.broadcast(counts.agg(F.sum("_c").alias("_n"))))  # one row
+    upper = F.max(F.when(F.col("_before") <= F.floor(F.col("_n") / 2), F.col("_f")))
+    out = ranked.groupBy(*by).agg(F.sum("_t").alias("tokens"), F.sum("_w").alias("words"), upper.alias("median_fertility"))
+    return out.where("words > 0").select(*by, "tokens", "words", (F.col("tokens") / F.col("words")).alias("avg_fertility"), "median_fertility")
 
 
 def compression(rows: DataFrame, *by: str, tokens: str = "pieces") -> DataFrame:

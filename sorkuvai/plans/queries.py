@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import aksharas, morphemes, predicates, pretokens, text
 from ..functions.profiles import DEVANAGARI, LATIN, TAMIL
 from ..operators import bpe, dedup, merge, metrics, ordering, splits, vocabularies
+from ..sources import tables
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,7 +39,7 @@ class Tables:
 
 
 def _documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return Tables(spark, folder).documents.select("doc_id", "text", *columns).where("text is not null")
+    return tables.read(spark, folder, "documents", "doc_id", "text", *columns).where("text is not null")
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,7 +47,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _gold_lines(spark: SparkSession, folder: str) -> DataFrame:
-    rows = Tables(spark, folder).merge_gold.select("line_id", "domain", "file_name", "line")
+    rows = tables.read(spark, folder, "merge_gold", "line_id", "domain", "file_name", "line")
     return rows.groupBy("line_id").agg(F.max("domain").alias("domain"), F.max("file_name").alias("file_name"), F.max("line").alias("line")).withColumnRenamed("line_id", "line_no")
 
 
