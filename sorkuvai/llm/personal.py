@@ -31,7 +31,8 @@ from .unify import one_form, present
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 #: A term reveals a kind if such an entity follows at this share of its places, with so many bits more than in general, and was seen this often.
-SHARE, INFORMATION, SEEN = 0.25, 3.0, 3
+SHARE, INFORMATION, SEEN = 0.25, 3.0, 2
+TERM_EDGE = " .,:;<>()[]{}\"'=-–"
 TERMS_AT_MOST = 200_000
 NAME_PARTS_AT_MOST = 1_000_000
 
@@ -64,6 +65,7 @@ _NAME = r"(?:\p{Lu}\p{Ll}+|[஀-௥]{3,})"
 NAME = regex.compile(rf"({_NAME})(?: {_INITIALS})?(?![\p{{L}}\p{{M}}@])")
 BEFORE_NAME = regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?:{_INITIALS})$")
 NAME_INITIALS = regex.compile(_INITIALS)
+AFTER_TERM = re.compile(r"[.,:;]* ")
 NAME_END = regex.compile(r"[,.;:!?\n]|$")
 NAME_MARK, TERM_MARK, STREET_MARK = 1, 2, 4
 
@@ -72,11 +74,14 @@ def _digits(text: str) -> str:
     return text.translate(TAMIL_DIGITS)
 
 
+def as_term(word: str) -> str:
+    return word.lower().strip(TERM_EDGE)
+
+
 def terms_before(text: str, at: int) -> list[str]:
-    """The word before a place on its line, and the last two; a dash, bracket or = in between is skipped."""
-    line = text[max(text.rfind("\n", 0, at) + 1, at - 60) : at].rstrip(" <([{\"'=-")
-    words = line.split(" ")[-2:]
-    words = [w for w in words if w]
+    """The word before a place on its line, and the last two, in lower case without punctuation at their ends."""
+    line = text[max(text.rfind("\n", 0, at) + 1, at - 60) : at]
+    words = [t for w in line.split(" ") if (t := as_term(w))][-2:]
     return [words[-1], " ".join(words)] if len(words) == 2 else words
 
 
@@ -160,16 +165,19 @@ def _places(terms: frozenset[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+        n = 0
         for _, texts in pieces(batches):
             for text in one_form(texts):
-                words = text.replace("\n", " \n ").split(" ")
-                found["", ""] += len(words)
-                for k, w in enumerate(words):
-                    if w in last:
-                        if w in terms:
-                            found[w, ""] += 1
-                        if k and (two := f"{words[k - 1]} {w}") in terms:
-                            found[two, ""] += 1
+                for line in text.lower().split("\n"):
+                    words = [t for w in line.split(" ") if (t := w.strip(TERM_EDGE))]
+                    n += len(words)
+                    for k, w in enumerate(words):
+                        if w in last:
+                            if w in terms:
+                                found[w, ""] += 1
+                            if k and (two := f"{words[k - 1]} {w}") in terms:
+                                found[two, ""] += 1
+        found["", ""] = n
         yield _counts(found)
 
     return run
@@ -231,8 +239,8 @@ class Finder:
         for start, end, mark in self.scan.hits(text):
             if mark & NAME_MARK and _whole(text, start, end) and (span := self._person(text, start)):
                 yield *span, "person"
-            if mark & TERM_MARK and end < len(text) and text[end] == " ":
-                at = end + 1
+            if mark & TERM_MARK and (gap := AFTER_TERM.match(text, end)):
+                at = gap.end()
                 initials = NAME_INITIALS.match(text, at)
                 at = initials.end() if initials else at
                 m = NAME.match(text, at)

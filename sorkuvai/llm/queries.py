@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read
 from . import language, leak, mixing, near, overlap, packing, personal, quality, tokens, unify
 
 
 def _of(f: Callable, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return f(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in tables))
+        return f(*(read(spark, folder, t) if t in ("documents", "merge_gold") else spark.read.parquet(f"{folder}/{t}.parquet") for t in tables))
 
     return query
 

@@ -252,7 +252,7 @@ def test_natural(text):
     assert quality.judge(text, frozenset({"the"}))[1] == []
 
 
-REVEALING = [("Phone:", "phone", 1.0, 9.0), ("ID is", "id_number", 1.0, 9.0), ("Ms.", "person", 1.0, 9.0), ("திருமதி", "person", 1.0, 9.0)]
+REVEALING = [("phone", "phone", 1.0, 9.0), ("id is", "id_number", 1.0, 9.0), ("ms", "person", 1.0, 9.0), ("திருமதி", "person", 1.0, 9.0)]
 
 
 @pytest.mark.parametrize(
@@ -274,6 +274,6 @@ def test_terms_that_reveal_are_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     names = spark.createDataFrame([("Madinaran",)], "name_part string")
     terms = {(t, k) for t, k, *_ in personal.revealing_terms(docs, names)}
-    assert {("me on", "phone"), ("Ms.", "person")} <= terms and not any(t == "was" for t, _ in terms)
+    assert {("me on", "phone"), ("ms", "person")} <= terms and not any(t == "was" for t, _ in terms)
     common = spark.createDataFrame([("the",)], "word string")
     assert {r.kind for r in personal.personal_details(docs, names, common).where("doc_id = 2").collect()} == {"phone", "person"}
