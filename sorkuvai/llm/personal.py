@@ -56,9 +56,12 @@ ADDRESS = regex.compile(
 )
 ADDRESS_REST = regex.compile(r"(?:, [\p{L}\p{M}]+(?: (?:Main Road|அஞ்சல்|Post))?){0,2}(?: ?- ?| )?(?:\d{6})?")
 STREET_WORDS = tuple(STREETS.replace("\\", "").split("|"))
-#: What any number shape is within.
-NUMBERS = re.compile(r"[A-Z]{1,5}\d{4,7}[A-Z]?|[+(]?\d[\d()\-./ ]{6,}\d")
+#: Every number shape has four digits in a row; these characters may stand around them.
+FOUR_DIGITS = re.compile(r"\d{4}")
+AROUND = 20
+TAMIL_DIGIT = re.compile("[௦-௯]")
 MAIL_RUN = re.compile(r"[A-Za-z0-9._+\-@]*")
+AT_SIGN = re.compile(r"[\[({<] ?[aA][tT] ?[\])}>]")
 MAIL_SIGNS = re.compile(r"@| ?[\[({<] ?at ?[\])}>]| at \S+ dot ", re.I)
 _INITIALS = r"(?:(?:\p{Lu}|[க-ஹஅ-ஔ][ா-்]?)\. ?)+"
 _NAME = r"(?:\p{Lu}\p{Ll}+|[஀-௥]{3,})"
@@ -71,7 +74,7 @@ NAME_MARK, TERM_MARK, STREET_MARK = 1, 2, 4
 
 
 def _digits(text: str) -> str:
-    return text.translate(TAMIL_DIGITS)
+    return text.translate(TAMIL_DIGITS) if TAMIL_DIGIT.search(text) else text
 
 
 def as_term(word: str) -> str:
@@ -109,13 +112,16 @@ class Scanner:
 
     def numbers(self, text: str) -> Iterator[tuple[str, int, int, bool]]:
         """(kind, start, end, sure) of what has the shape of a telephone or identity number."""
-        plain = _digits(text)
-        for near in NUMBERS.finditer(plain):
-            start, end = max(0, near.start() - 2), near.end() + 3
+        plain, upto = _digits(text), 0
+        for four in FOUR_DIGITS.finditer(plain):
+            if four.start() < upto:
+                continue
+            start, end = max(upto, four.start() - AROUND), four.end() + AROUND
             for kind, sure, shape in (("phone", True, PHONE_SURE), ("phone", False, PHONE_LIKE), ("id_number", False, ID_LIKE)):
                 for m in shape.finditer(plain, start, end):
-                    if m.start() >= near.start() and not (m.start() and plain[m.start() - 1].isdigit()):
+                    if m.end() < end or m.end() == len(plain):  # else it goes on beyond what was looked at
                         yield kind, m.start(), m.end(), sure
+                        upto = max(upto, m.end())
 
     def is_name(self, word: str) -> bool:
         return word.lower() in self.parts
@@ -257,7 +263,7 @@ class Finder:
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the details, apart from each other and in order."""
         out = list(self._persons_and_streets(text))
-        if MAIL_SIGNS.search(text):
+        if "@" in text or AT_SIGN.search(text) or " dot " in text or " DOT " in text:
             out += [(*m.span(), "email") for m in EMAIL.finditer(text)]
         out += [(a, b, kind) for kind, a, b, sure in self.scan.numbers(text) if sure or self.revealed(kind, text, a)]
         out.sort(key=lambda x: (x[0], -x[1]))
