@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import checkpointed
-from .batches import code_points, mix64, pieces
+from .batches import CHARS_AT_ONCE, code_points, mix64, pieces
 from .unify import one_form, present
 
 GRAM = 5
@@ -271,15 +271,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, len(batch), 200):
-            part = batch.slice(start, 200)
-            a, b, ta, tb = (x.to_pylist() for x in part.columns)
-            by = dict(zip(a + b, ta + tb, strict=True))
+        a, b, texts_a, texts_b = (x.to_pylist() for x in batch.columns)
+        start = 0
+        while start < len(a):
+            by, end = {}, start
+            chars = 0
+            while end < len(a) and chars < CHARS_AT_ONCE:
+                by[a[end]], by[b[end]] = texts_a[end], texts_b[end]
+                chars += len(texts_a[end]) + len(texts_b[end])
+                end += 1
             h, cut = grams(list(by.values()))
             h = h & np.uint64((1 << 40) - 1)
             sets = {k: h[cut[i] : cut[i + 1]] for i, k in enumerate(by)}
-            like = np.array([similarity(sets[x], sets[y]) for x, y in zip(a, b, strict=True)])
+            like = np.array([similarity(sets[x], sets[y]) for x, y in zip(a[start:end], b[start:end], strict=True)])
+            part = batch.slice(start, end - start)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(like, pa.float64())], ["a", "b", "similarity"]).filter(pa.array(like >= SIMILARITY))
+            start = end
 
 
 def keys_of(documents: DataFrame) -> DataFrame:
