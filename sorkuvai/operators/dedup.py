@@ -15,11 +15,17 @@ from .storage import checkpointed
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key; rows of a null key all stay."""
-    place = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
+    """The first row of each key, nulls first; rows of a null key all stay.
+
+    An aggregation, not a window: rows of one key are cut down to one where they are read, so that a key with
+    a third of all rows never comes together in a task. Rows equal in the order are told apart by their other
+    columns, so all columns must have an order.
+    """
     keyed = rows.withColumn("_key", key)
-    kept = keyed.where("_key is not null").withColumn("_place", place).where("_place = 1").drop("_place")
-    return kept.unionByName(keyed.where("_key is null")).drop("_key")
+    columns = [*order, *(c for c in rows.columns if c not in order)]
+    first = keyed.where("_key is not null").groupBy("_key").agg(F.min(F.struct(*columns)).alias("_row"))
+    kept = first.select(*(F.col("_row")[c].alias(c) for c in rows.columns))
+    return kept.unionByName(keyed.where("_key is null").drop("_key"))
 
 
 def line_key(line: Column) -> Column:
