@@ -9,10 +9,11 @@ import pyarrow as pa
 
 #: Characters that are held in NumPy arrays at once; a longer text is still taken whole.
 CHARS_AT_ONCE = 1_000_000
+TEXTS_AT_ONCE = 20_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches, of about CHARS_AT_ONCE characters, with their texts; null counts as empty."""
+    """Slices of the batches, of about CHARS_AT_ONCE characters and TEXTS_AT_ONCE texts at most, with their texts; null counts as empty."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = np.frombuffer(column.buffers()[1], np.int32, len(batch) + 1, column.offset * 4) if pa.types.is_string(column.type) and len(batch) else None
@@ -21,7 +22,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             if sizes is None:
                 end = min(len(batch), start + 500)
             else:
-                end = max(start + 1, int(np.searchsorted(sizes, int(sizes[start]) + 3 * CHARS_AT_ONCE, "right")) - 1)
+                end = max(start + 1, min(start + TEXTS_AT_ONCE, int(np.searchsorted(sizes, int(sizes[start]) + 3 * CHARS_AT_ONCE, "right")) - 1))
             part = batch.slice(start, end - start)
             yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
             start = end

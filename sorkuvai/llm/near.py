@@ -11,7 +11,7 @@ exact similarity.
 
 Below 256 sequences M = d + T, where d is the largest possible difference, so T holds for certain
 (pigeonhole). Beyond, M is a third or a quarter of the class's lower size; a pair at exactly 0.8 then
-shares 18 groups or more in the mean and misses T = 2 with a chance of less than one in a million.
+shares 16 groups or more in the mean and misses T = 2 with a chance of about one in a million at most.
 
 Copies are collapsed to one key (a hash of the folded text) before anything is paired.
 """
@@ -112,23 +112,50 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(of)
 
 
-def _posted(shards: int):
-    """Batches of texts -> rows of a shard, the keys of some texts, and which text has which list."""
+POSTED = "shard int, texts binary, which binary, lists binary, hot binary"
+
+
+def list_names(sig: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
+    """A list's name over all shards, from its name in a shard."""
+    return sig.astype(np.int64) << 24 | shard
+
+
+def _posted(shards: int, long: int):
+    """Batches of texts -> rows of a shard: the keys of some texts, which text has which list, and its hot lists.
+
+    A list that is long among the texts of one flush already doesn't go to its shard, which only learns that
+    it is hot; its postings go to one of as many further shards again, which pass them on. So a list of any
+    length never comes together in a task.
+    """
 
     def flush(keys: list[int], sigs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
         sig, who = np.concatenate(sigs), np.concatenate(owners)
-        shard = (sig % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(sig, kind="stable")
+        sig, who = sig[order], who[order]
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        length = np.diff(np.append(start, len(sig)))
+        is_hot = np.repeat(length > long, length)
+        shard, keys_of = (sig % np.uint64(shards)).astype(np.int32), np.array(keys, np.int64)
+        name = (sig >> np.uint64(32)).astype(np.uint32)
+        rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+        if is_hot.any():
+            rows[0].append(shards + keys[0] % shards)
+            for k, x in enumerate((keys_of[who[is_hot]].tobytes(), b"", list_names(name[is_hot], shard[is_hot]).tobytes(), b"")):
+                rows[k + 1].append(x)
         order = np.argsort(shard, kind="stable")
-        sig, who, cut = (sig[order] >> np.uint64(32)).astype(np.uint32), who[order], np.searchsorted(shard[order], np.arange(shards + 1))
-        at = [k for k in range(shards) if cut[k] < cut[k + 1]]
-        keys_of = np.array(keys, np.int64)
-        rows: tuple[list, list, list] = ([], [], [])
-        for k in at:
-            own, local = np.unique(who[cut[k] : cut[k + 1]], return_inverse=True)
-            rows[0].append(keys_of[own].tobytes())
-            rows[1].append(local.astype(np.uint16).tobytes())
-            rows[2].append(sig[cut[k] : cut[k + 1]].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x, pa.binary()) for x in rows)], ["shard", "texts", "which", "lists"])
+        name, who, is_hot, shard = name[order], who[order], is_hot[order], shard[order]
+        cut = np.searchsorted(shard, np.arange(shards + 1))
+        for k in range(shards):
+            part = slice(cut[k], cut[k + 1])
+            if cut[k] < cut[k + 1]:
+                cold = ~is_hot[part]
+                own, local = np.unique(who[part][cold], return_inverse=True)
+                rows[0].append(k)
+                rows[1].append(keys_of[own].tobytes())
+                rows[2].append(local.astype(np.uint16).tobytes())
+                rows[3].append(name[part][cold].tobytes())
+                rows[4].append(np.unique(name[part][~cold]).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["shard", "texts", "which", "lists", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
@@ -169,22 +196,24 @@ def _pairs_of_runs(key: np.ndarray, start: np.ndarray, length: np.ndarray) -> tu
     return pairs[first], np.diff(np.append(first, len(pairs)))
 
 
-def _merged(long: int):
+def _merged(shards: int, long: int):
     """The rows of a shard -> pairs that share a short list, and (list, text) of the long ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, sigs = [], []
-        for texts, which, lists in zip(*(table.column(x).to_pylist() for x in ("texts", "which", "lists")), strict=True):
-            keys.append(np.frombuffer(texts, np.int64)[np.frombuffer(which, np.uint16)])
-            sigs.append(np.frombuffer(lists, np.uint32))
         shard = table.column("shard")[0].as_py()
+        column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+        if shard >= shards:  # postings of hot lists
+            key, name = np.concatenate(column("texts", np.int64)), np.concatenate(column("lists", np.int64))
+            return pa.table({"a": key, "b": pa.nulls(len(key), pa.int64()), "shared": pa.array(np.zeros(len(key), np.int32)), "list": name})
+        key = np.concatenate([t[w] for t, w in zip(column("texts", np.int64), column("which", np.uint16), strict=True)])
+        sig, hot = np.concatenate(column("lists", np.uint32)), np.unique(np.concatenate(column("hot", np.uint32)))
         del table
-        key, sig = np.concatenate(keys), np.concatenate(sigs)
-        del keys, sigs
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         same = sig[1:] == sig[:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(sig) else np.zeros(0, bool)
+        if len(hot):
+            several |= np.isin(sig, hot)
         sig, key = sig[several], key[order[several]]
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
@@ -193,10 +222,11 @@ def _merged(long: int):
             sig, key = sig[once], key[once]
         start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         length = np.diff(np.append(start, len(sig)))
-        short = (length > 1) & (length <= long)
+        is_long = (length > long) | np.isin(sig[start], hot)
+        short = (length > 1) & ~is_long
         pairs, shared = _pairs_of_runs(key, start[short], length[short])
-        in_long = np.repeat(length > long, length) if len(sig) else np.zeros(0, bool)
-        name = sig[in_long].astype(np.int64) << 24 | shard
+        in_long = np.repeat(is_long, length)
+        name = list_names(sig[in_long], shard)
         n, k = len(pairs), len(name)
         return pa.table({
             "a": pa.array(np.concatenate((pairs[:, 0], key[in_long])), pa.int64()),
@@ -236,8 +266,8 @@ def candidates(documents: DataFrame, long: int = LONG) -> DataFrame:
     """a, b: keys, the smaller first, of texts that may be similar; each pair once."""
     texts = present(documents).select("text")
     shards = max(24, -(-documents.count() * 170 * 6 // SHARD_BYTES))
-    posted = texts.mapInArrow(_posted(shards), "shard int, texts binary, which binary, lists binary")
-    merged = checkpointed(posted.groupBy("shard").applyInArrow(_merged(long), "a bigint, b bigint, shared int, list bigint"))
+    posted = texts.mapInArrow(_posted(shards, long), POSTED)
+    merged = checkpointed(posted.groupBy("shard").applyInArrow(_merged(shards, long), "a bigint, b bigint, shared int, list bigint"))
     pairs = merged.where("list is null").select("a", "b", "shared")
     postings = merged.where("list is not null").select("a", "list")
     if not postings.isEmpty():
