@@ -2,16 +2,15 @@
 
 T-occurrence search. The sets of five-character sequences are cut into M groups by hash; a group's
 content is a key with an inverted list of the texts that hold exactly it. Two texts at least 0.8 alike
-differ in few sequences, so they share at least T whole groups. Lists are merged shard by shard in
-sorted order. As in DivideSkip, the lists that are longer than LONG are left out of the merge: a text
-may miss T - 1 lists and still be found through the others. Texts with more long lists than that are
-searched again in the long lists, pair of blocks by pair of blocks, so that no link is lost. What the
-merge finds is probed by binary search in the sorted sequences of the other text, which gives the
-exact similarity.
+differ in few sequences, so they share at least T whole groups. As in DivideSkip, short and long lists are
+treated apart: short ones are merged shard by shard in sorted order, long ones never come together but are
+gone through pair of blocks by pair of blocks, each text with all its long lists, so that a pair is probed
+once for all of them. Pairs that reach T over both kinds are probed by binary search in the sorted
+sequences of the other text, which gives the exact similarity.
 
 Below 256 sequences M = d + T, where d is the largest possible difference, so T holds for certain
 (pigeonhole). Beyond, M is a third or a quarter of the class's lower size; a pair at exactly 0.8 then
-shares 16 groups or more in the mean and misses T = 2 with a chance of about one in a million at most.
+shares 14 groups or more in the mean and misses T = 2 with a chance of less than one in 100,000.
 
 Copies are collapsed to one key (a hash of the folded text) before anything is paired.
 """
@@ -33,13 +32,13 @@ from .unify import one_form, present
 
 GRAM = 5
 SIMILARITY = 0.8
-#: Lists the search may miss, plus one.
+#: Lists that similar texts share at least.
 T = 2
 #: Lists with more texts are long.
-LONG = 64
+LONG = 2000
 #: Classes below this power of two have enough groups for certainty; in those above, groups of fewer than LEAST sequences say too little and are no lists.
 EXACT_UPTO = 8
-LEAST = np.array([0] * EXACT_UPTO + [3, 4, 5])
+LEAST = np.array([0] * EXACT_UPTO + [3, 5, 6, 7])
 SHARD_BYTES = 16_000_000
 FLUSH = 3_000_000
 
@@ -246,20 +245,20 @@ def _block_pairs(one: pd.DataFrame) -> pd.DataFrame:
     left, right = ([(a, set(s)) for a, s in side] for side in (left, right))
     for a, s in left:
         for b, t in right:
-            if (x != y or a < b) and min(s & t) == name:
-                out.append((min(a, b), max(a, b)))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            if (x != y or a < b) and min(both := s & t) == name:
+                out.append((min(a, b), max(a, b), len(both)))
+    return pd.DataFrame(out, columns=["a", "b", "shared"], dtype="int64")
 
 
 def _from_long_lists(postings: DataFrame, long: int) -> DataFrame:
-    """The pairs in the long lists of the texts that have T long lists or more, in blocks of long texts."""
+    """a, b, shared: the pairs in the long lists, in blocks of about `long` texts, and how many long lists they share."""
     of_text = postings.groupBy("a").agg(F.array_sort(F.collect_set("list")).alias("lists"))
-    starved = of_text.where(F.size("lists") >= T).select("a", "lists", F.explode("lists").alias("list"))
-    length = starved.groupBy("list").agg(F.ceil(F.count("*") / long).cast("int").alias("blocks"))
-    placed = starved.join(length, "list").withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    each = of_text.select("a", "lists", F.explode("lists").alias("list"))
+    length = each.groupBy("list").agg(F.ceil(F.count("*") / long).cast("int").alias("blocks"))
+    placed = each.join(length, "list").withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    return met.select("list", "x", "y", "block", "a", "lists").groupBy("list", "x", "y").applyInPandas(_block_pairs, "a bigint, b bigint")
+    return met.select("list", "x", "y", "block", "a", "lists").groupBy("list", "x", "y").applyInPandas(_block_pairs, "a bigint, b bigint, shared bigint")
 
 
 def candidates(documents: DataFrame, long: int = LONG) -> DataFrame:
@@ -271,12 +270,7 @@ def candidates(documents: DataFrame, long: int = LONG) -> DataFrame:
     pairs = merged.where("list is null").select("a", "b", "shared")
     postings = merged.where("list is not null").select("a", "list")
     if not postings.isEmpty():
-        missed = postings.groupBy("a").agg(F.count("*").cast("int").alias("n"))
-        for side in "ab":
-            pairs = pairs.join(missed.select(F.col("a").alias(side), F.col("n").alias(f"missed_{side}")), side, "left")
-        pairs = pairs.groupBy("a", "b", F.least(F.coalesce("missed_a", F.lit(0)), F.coalesce("missed_b", F.lit(0))).alias("missed")).agg(F.sum("shared").alias("shared"))
-        pairs = pairs.where(F.col("shared") + F.col("missed") >= T).select("a", "b")
-        return pairs.union(_from_long_lists(postings, long)).distinct()
+        pairs = pairs.union(_from_long_lists(postings, long))
     return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= T).select("a", "b")
 
 

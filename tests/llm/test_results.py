@@ -280,8 +280,8 @@ def test_terms_that_reveal_are_learned(spark):
 
 
 def test_many_short_texts(spark):
-    rows = [(k, f"{k:06d} short") for k in range(30_000)]
+    rows = [(k, f"{k:06d} short") for k in range(2_500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
-    sample = [r for r in rows if r[0] % 997 == 0]
+    sample = [r for r in rows if r[0] % 97 == 0]
     found = {(r.doc_id_a, r.doc_id_b) for r in near.near_duplicates(df).collect()}
     assert brute_pairs(sample) <= found and all(a < b for a, b in found)
