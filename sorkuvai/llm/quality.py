@@ -5,6 +5,11 @@ thresholds applied to them, each failure recorded by its reason. The kinds of ru
 of web-corpus filters (bullet lines, symbols, repeated lines, lines ending in punctuation, stop words).
 The published values were set on English and refuse verse and agglutinated words; the values here are
 shares of the text ("for the most part": over a half).
+
+Common words, line ends, and the lengths of words and lines are judged together, since each alone refuses
+verse: it has short lines without ends, but common words; a menu or a heap has neither. Verse without
+punctuation in a language that the common words don't cover is told from them only by its lines of several
+words and the words that it repeats.
 """
 
 from __future__ import annotations
@@ -30,6 +35,13 @@ REPEATED_SHARE = 0.4
 FEW_WORDS, FEW_WORDS_REPEATED = 0.15, 0.2
 #: A heap of words: hardly a sentence end, and a comma after nearly every other word.
 HEAP_ENDS, HEAP_COMMAS = 0.02, 0.45
+#: A heap without commas: at least so many words, hardly a common one, no line ends; in lines as of verse (words a line) only if hardly a word comes again.
+HEAP_WORDS, HEAP_COMMON, HEAP_LINE_ENDS = 20, 0.03, 0.1
+VERSE_LINE, HEAP_DISTINCT = (3, 12), 0.95
+#: One short item a line: most characters in lines of so many words without an end, in at least so many lines, with few common words or of hardly more than a word each.
+SHORT_LINE, SHORT_LINES, SHORT_COMMON, ONE_WORD = 3, 4, 0.1, 1.5
+#: Mean lengths of words that no text of at least so many has in a script that parts its words.
+WORD_LENGTHS, LENGTH_WORDS = (2, 20), 5
 #: Latin-1 letters and signs in a text that isn't in a Latin alphabet's use of them.
 GARBLED_SHARE = 0.3
 #: Common words that are looked up at most.
@@ -42,8 +54,13 @@ NUMBER = regex.compile(r"(?<!\S)(?:[\d.,:/%\-]+|(?=\S*\d)[0-9a-fA-F]{6,})(?!\S)"
 LATIN1 = bytes(range(0xA1))
 ENDS = ".?!।…\"”)"
 STRIP = ".,;:!?()[]\"'|।…-"
+#: Sentence ends, and letters of scripts that don't part words by blanks; a text mostly in those isn't judged by its words.
+SENTENCE_ENDS = ".?!।。！？؟۔።։"
+UNPARTED = regex.compile(r"[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}\p{Script=Lao}\p{Script=Khmer}\p{Script=Myanmar}\p{Script=Tibetan}]")
+
+BY_WORDS = frozenset(("word heap", "short lines", "word length"))
 
-STATISTICS = "words int, mean_word_length double, symbol_share double, ends_in_punctuation double, bullet_share double, table_share double, number_share double, repeated_share double, common_share double, distinct_share double, comma_share double, garbled_share double"
+STATISTICS = "words int, mean_word_length double, symbol_share double, ends_in_punctuation double, bullet_share double, table_share double, number_share double, repeated_share double, common_share double, distinct_share double, comma_share double, garbled_share double, mean_line_words double, short_share double"
 NAMES = [x.split()[0] for x in STATISTICS.split(", ")]
 
 
@@ -55,7 +72,7 @@ def statistics(text: str, common: frozenset[str]) -> tuple:
         return 0, *[0.0] * (len(NAMES) - 1)
     bare = [w.strip(STRIP) for w in text.lower().split()]
     n, chars = len(words), sum(map(len, lines))
-    ends = bullets = tables = repeated = 0
+    ends = bullets = tables = repeated = short = 0
     seen = set()
     for x in lines:
         ended = x[-1] in ENDS
@@ -65,6 +82,8 @@ def statistics(text: str, common: frozenset[str]) -> tuple:
         seen.add(x)
         if BULLET.match(x) and (not ended or x.count(" ") < 5) and x.count(" ") < 9:
             bullets += len(x)
+        if not ended and len(x.split(None, SHORT_LINE)) <= SHORT_LINE:
+            short += len(x)
         if x[0] == "|" or len(SEPARATOR.findall(x)) >= 2 or "...." in x:
             tables += len(x)
     letters = sum(map(len, words))
@@ -72,11 +91,15 @@ def statistics(text: str, common: frozenset[str]) -> tuple:
         n, letters / n, len(SYMBOL.findall(text)) / letters, ends / len(lines), bullets / chars, tables / chars,
         sum(map(len, NUMBER.findall(text))) / letters, repeated / chars, sum(map(common.__contains__, bare)) / n,
         len(set(bare)) / n, text.count(", ") / n, len(text.encode("latin-1", "ignore").translate(None, LATIN1)) / letters,
+        n / len(lines), short / chars,
     )
 
 
 def failures(s: dict[str, float], ends: float) -> list[str]:
     """The reasons for which a text isn't natural; ends: sentence ends a word."""
+    n, line = s["words"], s["mean_line_words"]
+    endless = ends < HEAP_ENDS and s["ends_in_punctuation"] < HEAP_LINE_ENDS
+    heap = n >= HEAP_WORDS and endless and s["common_share"] < HEAP_COMMON and (not VERSE_LINE[0] <= line <= VERSE_LINE[1] or s["distinct_share"] > HEAP_DISTINCT)
     rules = (
         ("garbled", s["garbled_share"] > GARBLED_SHARE),
         ("symbols", s["symbol_share"] > SYMBOL_SHARE),
@@ -84,7 +107,9 @@ def failures(s: dict[str, float], ends: float) -> list[str]:
         ("bullets", s["bullet_share"] > MOST),
         ("table", s["table_share"] > MOST),
         ("repeated", s["repeated_share"] > (FEW_WORDS_REPEATED if s["distinct_share"] < FEW_WORDS else REPEATED_SHARE)),
-        ("word heap", ends < HEAP_ENDS and s["comma_share"] > HEAP_COMMAS),
+        ("word heap", ends < HEAP_ENDS and s["comma_share"] > HEAP_COMMAS or heap),
+        ("short lines", n >= SHORT_LINES * line > 0 and s["short_share"] > MOST and (line <= ONE_WORD or s["common_share"] < SHORT_COMMON)),
+        ("word length", n >= LENGTH_WORDS and not WORD_LENGTHS[0] <= s["mean_word_length"] <= WORD_LENGTHS[1]),
     )
     return [name for name, failed in rules if failed]
 
@@ -92,7 +117,11 @@ def failures(s: dict[str, float], ends: float) -> list[str]:
 def judge(text: str, common: frozenset[str]) -> tuple[tuple, list[str]]:
     values = statistics(text, common)
     n = max(1, values[0])
-    return values, failures(dict(zip(NAMES, values, strict=True)), sum(map(text.count, ".?!।")) / n)
+    s = dict(zip(NAMES, values, strict=True))
+    reasons = failures(s, sum(map(text.count, SENTENCE_ENDS)) / n)
+    if not BY_WORDS.isdisjoint(reasons) and len(UNPARTED.findall(text)) > MOST * s["mean_word_length"] * n:
+        reasons = [x for x in reasons if x not in BY_WORDS]
+    return values, reasons
 
 
 def common_set(common_words: DataFrame) -> frozenset[str]:

@@ -252,6 +252,26 @@ def test_natural(text):
     assert quality.judge(text, frozenset({"the"}))[1] == []
 
 
+ITEMS = "lamp roof tank boat song well map fence loom road wheel pot kite drum shelf rope bell oar net jar".split()
+VERSE = "அந்த ஊரில் ஒரு\nபெரிய மரம் இருந்தது\nஅதன் கீழே\nஒரு கிணறு இருந்தது\nஅந்த நீர் இனித்தது"
+
+
+@pytest.mark.parametrize(
+    ("text", "reason"),
+    [
+        ("Home\nAbout us\nContact\nLogin", "short lines"), ("Red lamps\nBlue pots\nOld maps\nNew ropes\nBig drums", "short lines"), (" ".join(ITEMS), "word heap"), ("\n".join(" ".join(ITEMS[k : k + 5]) for k in (0, 5, 10, 15)), "word heap"),
+        ("a b c d e f g h i j", "word length"), ("QmFzZTY0IGRhdGEgaGVyZQ aW4gYSBsb25nIGR1bXAgb2Y bm90aGluZyBidXQgbGV0dGVycw dGhhdCBubyBvbmUgY2FuIHJlYWQ b3IgZXZlciB3aWxsIGFnYWlu", "word length"),
+    ],
+)
+def test_unnatural_by_words_and_lines(text, reason):
+    assert reason in quality.judge(text, frozenset({"the", "us", "about"}))[1]
+
+
+@pytest.mark.parametrize("text", [VERSE, "\n".join(["我们昨天去了河边的老磨坊", "那里没有人", "水很清", "我们坐了很久", "天黑才回家"] * 5), "so we went down to the well and the water was cold and she said that it was good and we sat there until the evening came " * 2])
+def test_natural_without_line_ends(text):
+    assert not {"word heap", "short lines", "word length"} & set(quality.judge(text, frozenset({"the", "and", "we", "it", "to", "அந்த", "ஒரு"}))[1])
+
+
 REVEALING = [("phone", "phone", 1.0, 9.0), ("id is", "id_number", 1.0, 9.0), ("ms", "person", 1.0, 9.0), ("திருமதி", "person", 1.0, 9.0)]
 
 
