@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +94,47 @@ def band_keys(signatures: DataFrame, bands: int = 9, rows: int = 13) -> DataFram
     return signatures.select("doc_id", F.posexplode(keys).alias("band", "band_hash"))
 
 
+#: Keys that are gone through in one task at a time.
+KEYS_AT_ONCE = 500_000
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys in the order of doc_id, with the least kept document of the bucket -> doc_id, keep, dup_of of each document."""
+    first: dict[tuple[int, int], int] = {}
+    doc, mine, met, out = None, [], None, []
+
+    def settle() -> None:
+        if doc is not None:
+            out.append((doc, met is None, met))
+            if met is None:
+                for x in mine:
+                    first.setdefault(x, doc)
+
+    for batch in batches:
+        for d, band, h, kept in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if d != doc:
+                settle()
+                doc, mine, met = d, [], None
+            before = [x for x in (kept, first.get((band, h)), met) if x is not None and x < d]
+            met = min(before) if before else None
+            mine.append((band, h))
+    settle()
+    columns = zip(*out, strict=True) if out else ((), (), ())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["doc_id", "keep", "dup_of"])
+
+
+def _settled_in_order(placed: DataFrame, keys: int) -> DataFrame:
+    """The least unsettled documents, with about `keys` keys at most but one document at least, settled in one task."""
+    still = placed.where("keep is null")
+    n = still.count()
+    if n > keys:
+        last = still.agg(F.percentile_approx("doc_id", keys / n, 10_000).alias("last")).first().last
+        still = still.where(F.col("doc_id") <= last)
+    kept = placed.where("keep").groupBy("band", "band_hash").agg(F.min("doc_id").alias("kept"))
+    rows = still.join(kept, ["band", "band_hash"], "left").select("doc_id", "band", "band_hash", "kept")
+    return rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_in_order, "doc_id bigint, keep boolean, dup_of bigint")
+
+
 def greedy_keep(nodes: DataFrame, keys: DataFrame, rounds: int = 100) -> DataFrame:
     """doc_id, keep, dup_of: a document is dropped if a kept one before it shares one of its buckets.
 
@@ -101,22 +143,35 @@ def greedy_keep(nodes: DataFrame, keys: DataFrame, rounds: int = 100) -> DataFra
     stands before in any of its buckets, or that a kept one does. Only the least kept and the least
     unsettled document of each bucket are worked out, so a bucket of any size costs no more than its rows.
     dup_of is the least kept document that it met when it was settled.
+
+    A chain in which each document shares a bucket only with the next settles one document a round. So after
+    `rounds` rounds, or once a round settles less than a tenth of what is open, the least open documents are
+    gone through in order, KEYS_AT_ONCE keys in a task at a time, until nothing is open. That is exact, since
+    all documents before them are settled then.
     """
+    keys = keys.where("doc_id is not null")
     several = keys.groupBy("band", "band_hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     shared = checkpointed(keys.join(several, ["band", "band_hash"]).distinct())
     linked = shared.select("doc_id").distinct()
     alone = nodes.select("doc_id").distinct().join(linked, "doc_id", "left_anti").select("doc_id", F.lit(True).alias("keep"), F.lit(None).cast("bigint").alias("dup_of"))
     state = linked.select("doc_id", F.lit(None).cast("boolean").alias("keep"), F.lit(None).cast("bigint").alias("dup_of"))
-    for _ in range(rounds):
+    was_open, done = None, 0
+    while True:
         placed = shared.join(state.select("doc_id", "keep"), "doc_id")
+        still_open = state.where("keep is null").count()
+        if not still_open:
+            return alone.union(state)
+        if done >= rounds or was_open is not None and still_open > 0.9 * was_open:
+            now = _settled_in_order(placed, KEYS_AT_ONCE).select("doc_id", F.col("keep").alias("now"), F.col("dup_of").alias("of"))
+            state = checkpointed(state.join(now, "doc_id", "left").select("doc_id", F.coalesce("keep", "now").alias("keep"), F.coalesce("dup_of", "of").alias("dup_of")))
+            was_open = still_open
+            continue
         least = placed.groupBy("band", "band_hash").agg(F.min(F.when(F.col("keep"), F.col("doc_id"))).alias("kept"), F.min(F.when(F.col("keep").isNull(), F.col("doc_id"))).alias("open"))
         seen = placed.where("keep is null").join(least, ["band", "band_hash"]).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.min("open").alias("open"))
         joined = state.join(seen, "doc_id", "left")
         settled = F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("kept") < F.col("doc_id"), False).when(F.col("open") >= F.col("doc_id"), True)
         state = checkpointed(joined.select("doc_id", settled.alias("keep"), F.when(F.col("keep").isNull() & (F.col("kept") < F.col("doc_id")), F.col("kept")).otherwise(F.col("dup_of")).alias("dup_of")))
-        if state.where("keep is null").isEmpty():
-            return alone.union(state)
-    raise RuntimeError(f"not settled after {rounds} rounds")
+        was_open, done = still_open, done + 1
 
 
 def shared_pairs(sets: DataFrame, least: float, size: str = "n") -> DataFrame:

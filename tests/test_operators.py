@@ -33,6 +33,24 @@ def test_greedy_keep_is_that_of_going_in_order(spark):
     assert all((r.dup_of is None) == r.keep for r in rows)
 
 
+@pytest.mark.parametrize("at_once", [500_000, 40])
+def test_greedy_keep_settles_long_chains(spark, monkeypatch, at_once):
+    monkeypatch.setattr(dedup, "KEYS_AT_ONCE", at_once)
+    keys = [(d, 0, h) for d in range(150) for h in (d, d + 1)] + [(None, 0, 5)]  # each shares a bucket only with the next
+    nodes = spark.range(150).select(F.col("id").alias("doc_id"))
+    rows = dedup.greedy_keep(nodes, spark.createDataFrame(keys, "doc_id bigint, band int, band_hash bigint")).collect()
+    assert sorted((r.doc_id, r.keep, r.dup_of) for r in rows) == [(d, d % 2 == 0, d - 1 if d % 2 else None) for d in range(150)]
+
+
+def test_greedy_keep_in_order_alone(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "KEYS_AT_ONCE", 30)
+    draw = random.Random(5)
+    keys = {(d, draw.randrange(3), draw.randrange(25)) for d in range(80) for _ in range(2)}
+    nodes, table = spark.range(80).select(F.col("id").alias("doc_id")), spark.createDataFrame(sorted(keys), "doc_id bigint, band int, band_hash bigint")
+    keep = [{r.doc_id: r.keep for r in dedup.greedy_keep(nodes, table, rounds).collect()} for rounds in (0, 1, 100)]
+    assert keep[0] == keep[1] == keep[2] and len(keep[0]) == 80
+
+
 def test_minhash_finds_what_is_alike(spark):
     base = " ".join(f"சொல்{k}" for k in range(200))
     docs = spark.createDataFrame([(1, base), (2, base.replace("சொல்7 ", "")), (3, "something else altogether " * 9), (4, None)], "doc_id bigint, text string")
