@@ -61,6 +61,22 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.when(F.length(low) < size, F.array(low)).otherwise(cut)
 
 
+def shingle_sets(documents: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, n, item: the shingles of each distinct document, for shared_pairs; of rows of one doc_id the least text counts.
+
+    Cut in Arrow batches: as built-ins each shingle is looked for from the text's start, which is quadratic in a long text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                each = list({low[k : k + size] for k in range(len(low) - size + 1)} or {low})
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(each), pa.int64()), pa.array([len(each)] * len(each), pa.int32()), pa.array(each, pa.string())], ["doc_id", "n", "item"])
+
+    once = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return once.select("doc_id", F.lower(F.trim("text")).alias("low")).mapInArrow(run, "doc_id bigint, n int, item string")
+
+
 PRIME = (1 << 31) - 1
 
 

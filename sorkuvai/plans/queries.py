@@ -465,6 +465,11 @@ def q_shingle_pairs(spark, folder):
     return dedup.shared_pairs(sets, 0.3)
 
 
+@query
+def q_document_shingle_pairs(spark, folder):
+    return dedup.shared_pairs(dedup.shingle_sets(_documents(spark, folder)), 0.8)
+
+
 @query
 def q_embedding_means(spark, folder):
     rows = Tables(spark, folder).embeddings

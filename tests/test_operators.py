@@ -69,6 +69,24 @@ def test_shared_pairs(spark):
     assert {(r.a, r.b) for r in dedup.shared_pairs(rows, 0.5).collect()} == want
 
 
+def test_document_shingle_pairs(spark, tmp_path):
+    from sorkuvai.plans.queries import QUERIES
+
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randrange(3, 9))) for _ in range(200)]
+    texts = []
+    for base in range(25):
+        text = draw.choices(words, k=draw.choice([2, 10, 80, 600]))
+        texts += [" ".join(text), " ".join(text[:-1]), " ".join(["The same", *text]) + " "]
+    texts += ["aaaaaaaaaaaa", "aaaaa", "AAAAAA", "ab", "AB ", None]
+    rows = [(d, x) for d, x in enumerate(texts)]
+    spark.createDataFrame([*rows, *rows[:5]], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    low = {d: x.strip(" ").lower() for d, x in rows if x is not None}
+    sets = {d: {x[k : k + 5] for k in range(max(1, len(x) - 4))} for d, x in low.items()}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b): r.similarity for r in QUERIES["q_document_shingle_pairs"](spark, str(tmp_path)).collect()} == want and len(want) > 20
+
+
 def test_running_sums(spark):
     values = [(k, (k * 7) % 11 if k % 5 else None) for k in range(100)]
     random.Random(1).shuffle(values)
