@@ -23,10 +23,15 @@ from pyspark.sql import functions as F
 from .batches import code_points, pieces
 
 # Letters of other alphabets that look like a Latin letter.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝѵ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxhdqwv"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝѵԚԜҮүѴӀ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxhdqwvQWYyVI"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονυ"
 GREEK_AS = "ABEZHIKMNOPTYXovu"
+# Small Greek letters that look like a Latin one only among small Latin letters; by themselves they are signs (α, γ), as before capitals (γH2AX).
+GREEK_INSIDE = "αγιρϳ"
+GREEK_INSIDE_AS = "ayipj"
+#: Signs of number that stand around digits and joiners that arrange hieroglyphs: formats by their category, but seen.
+SEEN_FORMATS = frozenset((0x110BD, 0x110CD, *range(0x13430, 0x13440)))
 # Tamil digits that look like a Tamil letter.
 TAMIL_DIGITS = "௧௨௪௭௮"
 TAMIL_LETTERS = "கஉசஎஅ"
@@ -54,14 +59,16 @@ class Transducer:
             if mapping.setdefault(key, value) != value:
                 raise ValueError(f"two forms for {key!r}: {mapping[key]!r} and {value!r}")
 
-        for cp in (*range(0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
+        for cp in range(0x110000):
             ch = chr(cp)
             kind = ucd.category(ch)
+            if kind in ("Cn", "Co", "Cs") or cp in SEEN_FORMATS:
+                continue
             if ch == "\r" or kind in ("Zl", "Zp") or cp == 0x85:
                 put(ch, "\n")
             elif kind == "Zs" and ch != " " or ch in "\v\f":
                 put(ch, " ")
-            elif kind in ("Cf", "Cc") and ch not in "\t\n" or cp in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0) or 0xFE00 <= cp <= 0xFE0F or 0x180B <= cp <= 0x180D:
+            elif kind in ("Cf", "Cc") and ch not in "\t\n" or cp in (0x34F, 0x115F, 0x1160, 0x3164, 0xFFA0) or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or 0x180B <= cp <= 0x180D:
                 put(ch, "")
             elif cp not in OWN_LOOK:
                 form = ucd.normalize("NFC", ucd.normalize("NFKC", ch)) if cp >= 0x80 else ch
@@ -83,24 +90,25 @@ class Transducer:
         for a, b in pairs:
             flags[ord(a)] |= FIRST
             flags[ord(b)] |= SECOND
-        for ch in CYRILLIC + GREEK:
+        for ch in CYRILLIC + GREEK + GREEK_INSIDE:
             flags[ord(ch)] |= OTHER_KIND
         for ch in TAMIL_DIGITS:
             flags[ord(ch)] |= DIGIT
         self.flags = flags
         self.pair_codes = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in pairs], np.int64))
-        self.to_latin = str.maketrans(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)
+        self.to_latin = str.maketrans(CYRILLIC + GREEK + GREEK_INSIDE, CYRILLIC_AS + GREEK_AS + GREEK_INSIDE_AS)
         self.to_tamil = dict(zip(TAMIL_DIGITS, TAMIL_LETTERS, strict=True))
         single = "".join(regex.escape(x) for x in sorted(mapping) if len(x) == 1)
         many = "|".join(regex.escape(x) for x in sorted(mapping, key=len, reverse=True) if len(x) > 1)
         firsts, seconds = ("".join(sorted({regex.escape(x[k]) for x in pairs})) for k in (0, 1))
-        # An emoji with its joiners and selectors is one cluster and stays as it is.
-        self.cluster = regex.compile(rf"(?P<emoji>\p{{So}}[\ufe0e\ufe0f\p{{Sk}}]*(?:\u200d\p{{So}}[\ufe0e\ufe0f\p{{Sk}}]*)*)|{many}|[{firsts}][{single}\p{{M}}]*[{seconds}]|[{single}]")
+        # An emoji with its joiners and selectors is one cluster and stays as it is, and so does a flag with its tags.
+        self.cluster = regex.compile(rf"(?P<emoji>\U0001f3f4[\U000e0020-\U000e007e]+\U000e007f|\p{{So}}[\ufe0e\ufe0f\p{{Sk}}]*(?:\u200d\p{{So}}[\ufe0e\ufe0f\p{{Sk}}]*)*)|{many}|[{firsts}][{single}\p{{M}}]*[{seconds}]|[{single}]")
         self.word = regex.compile(r"[\p{L}\p{M}\p{N}]+")
         self.tamil_word = regex.compile(rf"(?<![{TAMIL_DIGITS}\p{{Nd}}])[{TAMIL_DIGITS}](?!\p{{Nd}})")
         self.cyrillic = regex.compile(r"[\p{Script=Cyrillic}\p{Script=Greek}]")
         self.odd = regex.compile(rf"[\p{{Script=Cyrillic}}\p{{Script=Greek}}{TAMIL_DIGITS}]")
         self.latin = regex.compile(r"\p{Script=Latin}")
+        self.small_latin = regex.compile(r"(?=\p{Ll})\p{Script=Latin}")
         self.single = {k: v for k, v in mapping.items() if len(k) == 1}
 
     def places(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
@@ -134,7 +142,8 @@ class Transducer:
     def _word(self, m: regex.Match, true_other: bool) -> str:
         word = m.group()
         odd = self.cyrillic.findall(word)
-        if odd and all(x in CYRILLIC or x in GREEK for x in odd) and (self.latin.search(word) or not true_other):
+        inside = any(x in GREEK_INSIDE for x in odd)
+        if odd and all(x in CYRILLIC or x in GREEK or x in GREEK_INSIDE for x in odd) and (self.small_latin.search(word) if inside else self.latin.search(word) or not true_other):
             return word.translate(self.to_latin)
         if any(x in word for x in TAMIL_DIGITS) and any("அ" <= x <= "்" for x in word):
             return self.tamil_word.sub(lambda d: self.to_tamil[d.group()], word)

@@ -47,6 +47,18 @@ def test_mapping_has_no_conflict_and_composes():
     assert all(unicodedata.normalize("NFC", v) == v for v in t.mapping.values())
 
 
+@pytest.mark.parametrize(
+    ("text", "form"),
+    [
+        ("a\U000e0041\U000e0062b", "ab"), ("葛\U000e0100城", "葛城"), ("a\U0001d173b", "ab"), ("\U0002f800\U0002fa1d", "丽𪘀"), ("\U0001ee00\U0001ee01", "اب"), ("\U0001fbf0\U0001fbf9", "09"),
+        ("pαsswοrd pοrtαl gιft pαρer", "password portal gift paper"), ("the α and γ of γH2AX", "the α and γ of γH2AX"), ("και αρι", "και αρι"), ("\U00011099\U000110ba", "\U0001109a"),
+        ("\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f!", "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f!"), ("\U000110bd", "\U000110bd"),
+    ],
+)
+def test_one_form_beyond_the_first_plane(text, form):
+    assert unify.one_form([text]) == [form] and unify.one_form([form]) == [form]
+
+
 def test_garbled_text_stays():
     text = "Ã\u0083Â¤Ã\u0083Â¶ ÚxÕÞwÞ~ ÚxÖ~Õ{Û ÛzÙzÜÕ"
     assert unify.one_form([text]) == [text]
