@@ -9,7 +9,8 @@ counts after terms beyond the disclosure thresholds, and is replaced; shapes tha
 addresses, numbers with a country code, house number with street) count wherever they stand.
 
 Two passes over the corpus count: the terms before entities, then all places of those terms. A third
-replaces. Only terms are ever brought together, and no more than TERMS_AT_MOST.
+replaces. Terms and their places stay tables; only a bitmap of the terms' hashes, which says what places to
+count, and the terms beyond the thresholds are ever brought together.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from math import log2
 import ahocorasick
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import checkpointed
 from .batches import pieces
 from .unify import one_form, present
 
@@ -33,7 +36,11 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 #: A term reveals a kind if such an entity follows at this share of its places, with so many bits more than in general, and was seen this often.
 SHARE, INFORMATION, SEEN = 0.25, 3.0, 2
 TERM_EDGE = " .,:;<>()[]{}\"'=-–"
-TERMS_AT_MOST = 200_000
+#: Bits of the bitmap, for each term and at most. Terms that share a bit cost places counted in vain, never a result.
+BITS_A_TERM, BITS_AT_MOST = 16, 1 << 27
+#: Words and terms that a task remembers at once.
+COUNTED_AT_ONCE = 100_000
+BUCKET = 32_768
 NAME_PARTS_AT_MOST = 1_000_000
 
 TAMIL_DIGITS = str.maketrans("௦௧௨௩௪௫௬௭௮௯", "0123456789")
@@ -153,7 +160,7 @@ def _terms(parts: list[str]):
                 for start, end, mark in scan.hits(text):
                     if mark & NAME_MARK and _whole(text, start, end):
                         found.update((term, "person") for term in ["", *terms_before(text, _with_initials(text, start))])
-            if len(found) > 100_000:
+            if len(found) > COUNTED_AT_ONCE:
                 yield _counts(found)
                 found.clear()
         yield _counts(found)
@@ -165,12 +172,33 @@ def _counts(found: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([k for _, k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "kind", "n"])
 
 
-def _places(terms: frozenset[str]):
-    """Counts all places of the terms, and of words at all under the empty term."""
-    last = frozenset(t.split(" ")[-1] for t in terms)
+def _bitmap(terms: DataFrame) -> bytes:
+    """A bit for each hash of a term, little end first; as many as a power of two, by the number of terms."""
+    bits = BUCKET
+    while bits < min(BITS_AT_MOST, BITS_A_TERM * terms.count()):
+        bits *= 2
+    at = F.pmod(F.xxhash64("term"), F.lit(bits)) + 1  # Spark's first position is 1
+    parts = terms.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("part"))
+    out = bytearray(bits // 8)
+    for r in parts.collect():
+        out[(r.bucket - 1) * BUCKET // 8 : r.bucket * BUCKET // 8] = r.part
+    return bytes(out)
+
+
+def _in_bitmap(bitmap: bytes, term: str) -> bool:
+    at = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42) & (len(bitmap) * 8 - 1)  # as Spark's xxhash64
+    return bitmap[at >> 3] >> (at & 7) & 1 > 0
+
+
+def _places(bitmap: bytes):
+    """Counts all places of the terms of a bitmap, and of words at all under the empty term.
+
+    A term's last word stands before an entity as often as the term, so it is a term itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+        known: dict[str, bool] = {}
         n = 0
         for _, texts in pieces(batches):
             for text in one_form(texts):
@@ -178,11 +206,21 @@ def _places(terms: frozenset[str]):
                     words = [t for w in line.split(" ") if (t := w.strip(TERM_EDGE))]
                     n += len(words)
                     for k, w in enumerate(words):
-                        if w in last:
-                            if w in terms:
-                                found[w, ""] += 1
-                            if k and (two := f"{words[k - 1]} {w}") in terms:
-                                found[two, ""] += 1
+                        if (is_term := known.get(w)) is None:
+                            is_term = known[w] = _in_bitmap(bitmap, w)
+                        if is_term:
+                            found[w, ""] += 1
+                            if k:
+                                two = f"{words[k - 1]} {w}"
+                                if (is_term := known.get(two)) is None:
+                                    is_term = known[two] = _in_bitmap(bitmap, two)
+                                if is_term:
+                                    found[two, ""] += 1
+                if len(known) > COUNTED_AT_ONCE:
+                    known.clear()
+                if len(found) > COUNTED_AT_ONCE:
+                    yield _counts(found)
+                    found.clear()
         found["", ""] = n
         yield _counts(found)
 
@@ -192,22 +230,21 @@ def _places(terms: frozenset[str]):
 def revealing_terms(documents: DataFrame, name_parts: DataFrame) -> list[tuple[str, str, float, float]]:
     """(term, kind, share, bits) beyond the disclosure thresholds, from the co-occurrence in the whole corpus."""
     texts = present(documents).select("text")
-    before = texts.mapInArrow(_terms(_names(name_parts)), "term string, kind string, n bigint").groupBy("term", "kind").agg(F.sum("n").alias("n"))
-    rows = before.where(F.col("n") >= SEEN).orderBy(F.desc("n"), "term", "kind").limit(TERMS_AT_MOST + 1).collect()
-    if len(rows) > TERMS_AT_MOST:
-        raise ValueError(f"more than {TERMS_AT_MOST} terms stand before entities; raise SEEN")
-    of_kind = {r.kind: r.n for r in rows if not r.term}
-    rows = [r for r in rows if r.term]
-    terms = frozenset(r.term for r in rows)
-    places = texts.mapInArrow(_places(terms), "term string, kind string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    all_places = {r.term: r.n for r in places.collect()}
-    out = []
-    for r in rows:
-        share = min(1.0, r.n / max(1, all_places.get(r.term, 0)))
-        bits = log2(share / (of_kind[r.kind] / max(1, all_places.get("", 0)))) if share else 0.0
-        if share >= SHARE and bits >= INFORMATION:
-            out.append((r.term, r.kind, share, bits))
-    return out
+    counted = texts.mapInArrow(_terms(_names(name_parts)), "term string, kind string, n bigint").groupBy("term", "kind").agg(F.sum("n").alias("n"))
+    before = checkpointed(counted.where(F.col("n") >= SEEN))
+    of_kind = {r.kind: r.n for r in before.where("term = ''").collect()}
+    terms = before.where("term <> ''")
+    if not of_kind or terms.isEmpty():
+        return []
+    bitmap = _bitmap(terms.select("term").distinct())
+    places = checkpointed(texts.mapInArrow(_places(bitmap), "term string, kind string, n bigint").groupBy("term").agg(F.sum("n").alias("places")))
+    words = max(1, places.where("term = ''").agg(F.sum("places").alias("n")).first().n or 0)
+    share = F.least(F.lit(1.0), F.col("n") / F.greatest(F.lit(1), F.coalesce("places", F.lit(0))))
+    general = F.create_map(*(F.lit(x) for k, n in of_kind.items() for x in (k, n / words)))[F.col("kind")]
+    # The bound on information is a hair lower here, so that its exact value is told by one logarithm, below.
+    beyond = terms.join(places, "term", "left").withColumn("share", share).where((F.col("share") >= SHARE) & (F.col("share") >= general * (2**INFORMATION * (1 - 1e-9))))
+    out = [(r.term, r.kind, r.share, log2(r.share / (of_kind[r.kind] / words))) for r in beyond.orderBy(F.desc("n"), "term", "kind").collect()]
+    return [x for x in out if x[3] >= INFORMATION]
 
 
 def _names(name_parts: DataFrame) -> list[str]:

@@ -311,6 +311,39 @@ def test_terms_that_reveal_are_learned(spark):
     assert {r.kind for r in personal.personal_details(docs, names, common).where("doc_id = 2").collect()} == {"phone", "person"}
 
 
+def plain_revealing_terms(texts, names):
+    scan, before, places, words = personal.Scanner(names), Counter(), Counter(), 0
+    for text in unify.one_form(texts):
+        at = [(kind, start) for kind, start, *_ in scan.numbers(text)]
+        at += [("person", personal._with_initials(text, a)) for a, b, mark in scan.hits(text) if mark & personal.NAME_MARK and personal._whole(text, a, b)]
+        before.update((t, kind) for kind, start in at for t in ["", *personal.terms_before(text, start)])
+        for line in text.lower().split("\n"):
+            line = [t for w in line.split(" ") if (t := w.strip(personal.TERM_EDGE))]
+            words += len(line)
+            places.update(line)
+            places.update(map(" ".join, zip(line, line[1:])))
+    out = {}
+    for (t, kind), n in before.items():
+        if t and n >= personal.SEEN:
+            share = min(1.0, n / max(1, places[t]))
+            bits = np.log2(share / (before["", kind] / words))
+            if share >= personal.SHARE and bits >= personal.INFORMATION:
+                out[t, kind] = (share, bits)
+    return out
+
+
+@pytest.mark.parametrize("bits", [personal.BUCKET, 1 << 27])
+def test_any_number_of_terms(spark, monkeypatch, bits):
+    monkeypatch.setattr(personal, "TERMS_AT_MOST", 10, raising=False)
+    monkeypatch.setattr(personal, "BITS_AT_MOST", bits)
+    rows = [(k, f"Call w{k // 3}x on 50{k:08d} after six, and wait. The sum was {k}. Signed by Ms. {'Madinaran' if k % 2 else 'Otherwise'} there, w{k // 2}x too.") for k in range(300)]
+    rows += [(900 + r.doc_id, r.text) for r in table(spark, "documents").where("length(text) > 0").select("doc_id", "text").collect()]
+    docs, names = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([("Madinaran",)], "name_part string")
+    got = {(t, k): (share, n) for t, k, share, n in personal.revealing_terms(docs, names)}
+    want = plain_revealing_terms([x for _, x in rows], ["Madinaran"])
+    assert got.keys() == want.keys() and len(want) > 90 and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
 def test_many_short_texts(spark):
     rows = [(k, f"{k:06d} short") for k in range(2_500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
