@@ -111,7 +111,7 @@ def q_reject_reasons(spark, folder):
 def q_source_thresholds(spark, folder):
     t = Tables(spark, folder)
     domains = t.dataset_configs.select(F.col("config_key").alias("source"), "domain")
-    return merge.thresholded(_documents(spark, folder, "source").join(F.broadcast(domains.limit(100_000)), "source")).select("doc_id", "domain")
+    return merge.thresholded(_documents(spark, folder, "source").join(domains, "source")).select("doc_id", "domain")
 
 
 @query
@@ -506,7 +506,7 @@ def q_label_counts(spark, folder):
     t = Tables(spark, folder)
     names = t.lang_codes.select(F.lower(F.trim("label")).alias("label"), F.col("lang").alias("code"))
     labels = t.documents.select(F.lower(F.trim("lang")).alias("label"))
-    return labels.join(F.broadcast(names.limit(100_000)), "label", "left").groupBy(F.coalesce("code", F.lit("none")).alias("code")).agg(F.count("*").alias("documents"))
+    return labels.join(names, "label", "left").groupBy(F.coalesce("code", F.lit("none")).alias("code")).agg(F.count("*").alias("documents"))
 
 
 @query

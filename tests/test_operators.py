@@ -87,6 +87,22 @@ def test_document_shingle_pairs(spark, tmp_path):
     assert {(r.a, r.b): r.similarity for r in QUERIES["q_document_shingle_pairs"](spark, str(tmp_path)).collect()} == want and len(want) > 20
 
 
+def test_large_side_tables_are_not_cut(spark, tmp_path):
+    from sorkuvai.plans.queries import QUERIES
+
+    n = 100_050
+    ids = spark.range(0, n, 1, 1)
+    ids.selectExpr("id as doc_id", "'x' as text", "concat('l', id) as lang", "concat('s', id) as source").write.parquet(f"{tmp_path}/documents.parquet")
+    ids.selectExpr("concat('l', id) as label", "'known' as lang").write.parquet(f"{tmp_path}/lang_codes.parquet")
+    ids.selectExpr("concat('s', id) as config_key", "'d' as domain").write.parquet(f"{tmp_path}/dataset_configs.parquet")
+    assert [tuple(r) for r in QUERIES["q_label_counts"](spark, str(tmp_path)).select("code", "documents").collect()] == [("known", n)]
+    joined = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(merge, "thresholded", lambda rows: joined.append(rows.count()) or rows)
+        QUERIES["q_source_thresholds"](spark, str(tmp_path))
+    assert joined == [n]
+
+
 def test_running_sums(spark):
     values = [(k, (k * 7) % 11 if k % 5 else None) for k in range(100)]
     random.Random(1).shuffle(values)
