@@ -103,39 +103,59 @@ def packing_report(sizes: DataFrame, specs: DataFrame) -> DataFrame:
 
 #: A public tokenizer's file; found at the same place on every executor.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-WORDS_KEPT = 300_000
 
 
-def _counted(path: str, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if kind == "sentencepiece":
-            import sentencepiece
+def encoder(path: str, kind: str):
+    """A function from texts to the number of tokens of each."""
+    if kind == "sentencepiece":
+        import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            count = lambda words: [len(x) for x in model.encode(words, num_threads=1)]
-        else:
-            from tokenizers import Tokenizer
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+    if kind == "tokenizers":
+        from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
-            model.encode_special_tokens = True
-            count = lambda words: [len(x) for x in model.encode_batch([" " + w for w in words], add_special_tokens=False)]
-        known: dict[str, int] = {}
+        model = Tokenizer.from_file(path)
+        model.encode_special_tokens = True
+        return lambda texts: [len(x) for x in model.encode_batch(texts, add_special_tokens=False)]
+    raise ValueError(f"no such kind of tokenizer: {kind}")
+
+
+def _counted(path: str, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = encoder(path, kind)
         for part, texts in pieces(batches):
-            words = [x.split() for x in texts]
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            new = list({w for x in words for w in x}.difference(known))
-            known.update(zip(new, count(new), strict=True))
-            sizes = [sum(map(known.__getitem__, x)) for x in words]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64())], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count(texts), pa.int64())], ["doc_id", "tokens"])
 
     return run
 
 
 def public_sizes(documents: DataFrame, path: str = TOKENIZER, kind: str = "sentencepiece") -> DataFrame:
-    """doc_id, tokens of the documents with text under a public tokenizer; each word is encoded once a task.
+    """doc_id, tokens of the documents with text: each text is encoded whole under a public tokenizer.
 
-    kind: sentencepiece or tokenizers. A run of white space counts as the one blank that goes with the next
-    word. Repeated rows give repeated rows.
+    kind: sentencepiece or tokenizers. Repeated rows give repeated rows.
     """
     return present(documents).mapInArrow(_counted(path, kind), "doc_id bigint, tokens bigint")
+
+
+def packing_invariants(sizes: DataFrame, specs: DataFrame, slack: float = 0.02) -> DataFrame:
+    """spec_id, documents, tokens_lost, blocks_over, needless_cuts, tight, for each capacity in use.
+
+    What must hold of any packing: no token is lost or doubled, no block is over its capacity, only documents
+    larger than a block are cut, and (tight) there are at most `slack` more blocks than the tokens need, a
+    block for each shard aside.
+    """
+    sizes = checkpointed(sizes.where("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("all_tokens")))
+    rows = checkpointed(packed(sizes.withColumnRenamed("all_tokens", "tokens"), specs))
+    capacity = specs.groupBy("spec_id").agg(F.max("capacity").alias("capacity"))
+    blocks = rows.groupBy("spec_id", "shard", "block").agg(F.sum("tokens").alias("n")).join(capacity, "spec_id")
+    blocks = blocks.groupBy("spec_id").agg(
+        F.count_if(F.col("n") > F.col("capacity")).alias("blocks_over"),
+        (F.count("*") <= (1 + slack) * F.ceil(F.sum("n") / F.max("capacity")) + F.countDistinct("shard")).alias("tight"),
+    )
+    documents = rows.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("n"), F.count("*").alias("pieces")).join(sizes, "doc_id").join(capacity, "spec_id")
+    documents = documents.groupBy("spec_id").agg(
+        F.count("*").alias("documents"), F.sum(F.abs(F.col("n") - F.col("all_tokens"))).alias("tokens_lost"),
+        F.count_if(F.col("pieces") > F.ceil(F.col("all_tokens") / F.col("capacity"))).alias("needless_cuts"),
+    )
+    return documents.join(blocks, "spec_id").select("spec_id", "documents", "tokens_lost", "blocks_over", "needless_cuts", "tight")

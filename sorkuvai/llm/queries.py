@@ -41,8 +41,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_overlap_report": _of(overlap.overlap_report, "documents"),
         "p7_found": _of(unify.changed_documents, "documents"),
         "p7_texts": _of(unify.unify_documents, "documents"),
-        "p8_packing_report": _of(lambda documents, specs: packing.packing_report(packing.public_sizes(documents), specs), "documents", "block_specs"),
         "p8_blocks": _of(lambda documents, specs: packing.packed(packing.public_sizes(documents), specs), "documents", "block_specs"),
+        "p8_packing_report": _of(lambda documents, specs: packing.packing_report(packing.public_sizes(documents), specs), "documents", "block_specs"),
+        "p8_packing_invariants": _of(lambda documents, specs: packing.packing_invariants(packing.public_sizes(documents), specs), "documents", "block_specs"),
         "p9_found": _of(lambda documents, items: leak.leaks(documents, items).select("doc_id", "item_id"), "documents", "eval_items"),
         "p9_leaked_items": _of(leak.leaked_items, "documents", "eval_items"),
         "p10_found": _of(personal.personal_details, "documents", "name_parts", "common_words"),
@@ -79,4 +80,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _PLAN + "select config_key from plan where short",
         "p1_source_plan": _PLAN + "select * from plan",
+        "p8_packing_invariants": """select spec_id, (select count(distinct doc_id) from documents where length(text) > 0) as documents,
+            cast(0 as bigint) as tokens_lost, cast(0 as bigint) as blocks_over, cast(0 as bigint) as needless_cuts, true as tight from block_specs where capacity > 0""",
     }

@@ -207,6 +207,15 @@ def test_packing_covers_every_token(spark):
         assert sum(full.values()) > 0.9 * capacity * len(full)
 
 
+def test_sizes_are_those_of_whole_texts(spark):
+    import sentencepiece
+
+    docs = table(spark, "documents")
+    model = sentencepiece.SentencePieceProcessor(model_file=packing.TOKENIZER)
+    want = {r.doc_id: len(model.encode(r.text)) for r in docs.where("length(text) > 0").collect()}
+    assert {r.doc_id: r.tokens for r in packing.public_sizes(docs).collect()} == want
+
+
 # --- mixing -----------------------------------------------------------------------------------------------
 
 
