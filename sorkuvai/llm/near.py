@@ -1,29 +1,34 @@
 """Problems 2 and 6: texts that are the same but for small edits, and those that cross the splits.
 
-T-occurrence search. The sets of five-character sequences are cut into M groups by hash; a group's
-content is a key with an inverted list of the texts that hold exactly it. Two texts at least 0.8 alike
-differ in few sequences, so they share at least T whole groups. As in DivideSkip, short and long lists are
-treated apart: short ones are merged shard by shard in sorted order, long ones never come together but are
-gone through pair of blocks by pair of blocks, each text with all its long lists, so that a pair is probed
-once for all of them. Pairs that reach T over both kinds are probed by binary search in the sorted
-sequences of the other text, which gives the exact similarity.
-
-Below 256 sequences M = d + T, where d is the largest possible difference, so T holds for certain
-(pigeonhole). Beyond, M is a third or a quarter of the class's lower size; a pair at exactly 0.8 then
-shares 14 groups or more in the mean and misses T = 2 with a chance of less than one in 100,000.
+T-occurrence search with DivideSkip. A text's set of five-character sequences is cut into M groups by hash;
+a group with just this content (nothing, too) is an inverted list, of the texts that have it so. Texts that
+differ in d sequences have T = M - d lists in common at least. Each text's lists are divided by their
+length, which one table of counts tells for all lists: the M - T + HITS shortest are merged, and a pair
+that comes together in HITS of them is a candidate; the T - HITS longest are never merged but only probed
+for the candidates, and those that reach T in all are compared exactly. As all texts order their lists alike,
+a pair with T lists in common has HITS of the short ones in common, so that none is lost; and a list that many
+texts share is merged only for a text that has no shorter ones.
+
+The merge is a sort-merge join of the short lists, which walks them in order as a heap would, in as many
+tasks as it takes; adaptive execution splits a list that is long all the same. A long list is probed where it
+stands in a text's row of lists, which tells more directly than a binary search whether the text is in it.
+
+Sets of fewer than 2**SAMPLED_FROM sequences are taken whole, and no pair of theirs is lost. Of larger ones
+the sequences whose hash is below the limit of the size class are taken, SAMPLE to 2 * SAMPLE of them, and T
+is what a pair at exactly 0.8 misses with a chance of MISSED at most.
 
 Copies are collapsed to one key (a hash of the folded text) before anything is paired.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import comb, exp
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import checkpointed
@@ -32,15 +37,24 @@ from .unify import one_form, present
 
 GRAM = 5
 SIMILARITY = 0.8
-#: Lists that similar texts share at least.
-T = 2
-#: Lists with more texts are long.
-LONG = 2000
-#: Classes below this power of two have enough groups for certainty; in those above, groups of fewer than LEAST sequences say too little and are no lists.
-EXACT_UPTO = 8
-LEAST = np.array([0] * EXACT_UPTO + [3, 5, 6, 7])
-SHARD_BYTES = 16_000_000
-FLUSH = 3_000_000
+#: Short lists in which a pair must come together, for sets from how many sequences on.
+HITS = ((1, 1), (16, 2), (64, 3))
+#: Size classes are powers of two; sets from this one on are sampled, and cut into SAMPLED_GROUPS groups.
+SAMPLED_FROM = 8
+SAMPLE, SAMPLED_GROUPS = 1 << (SAMPLED_FROM - 1), 64
+MISSED = 1e-6
+#: Groups that two sets of the largest difference have in common at least, where they are taken whole.
+SPARE = 4
+#: A set differs by this share of its size at most from one alike, and from a smaller one alike.
+DIFFER, DIFFER_LARGER = 0.25, 2 / 9
+#: Buckets of the table of counts: for each text, at least and at most (a byte each, held by every task).
+BUCKETS_A_TEXT, FEWEST_BUCKETS, MOST_BUCKETS = 64, 1 << 16, 1 << 24
+SLOT = 1 << 16
+COUNTED_AT_ONCE = 4_000_000
+#: Keys that a task remembers, so as to sketch copies once.
+KEYS_KEPT = 1_000_000
+#: Copies of one text beyond which they are paired in parts.
+MANY_COPIES = 2_000
 
 
 def fold(texts: list[str]) -> list[str]:
@@ -74,209 +88,250 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(h, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(40))
 
 
+def size_class(size: np.ndarray) -> np.ndarray:
+    return (np.frexp(np.maximum(size, 1))[1] - 1).astype(np.int64)
+
+
+def reaches_down(size: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Whether a set can be similar to one of the class below."""
+    return (size * SIMILARITY <= np.left_shift(1, power)) & (power > 0)
+
+
+def limit_bits(power: np.ndarray) -> np.ndarray:
+    """Sequences of a class are taken if their 32-bit hash has no more bits than this."""
+    return 32 - np.maximum(0, power - SAMPLED_FROM + 1)
+
+
 def groups_in_class(power: np.ndarray) -> np.ndarray:
-    """M of the size class from 2**power; see the module's text."""
-    low = np.left_shift(1, power)
-    return np.where(power < EXACT_UPTO, low // 2 + T, np.where(power == EXACT_UPTO, low // 3, low // 4))
+    """M of a size class."""
+    return np.where(power < SAMPLED_FROM, (DIFFER_LARGER * 2.5 * np.exp2(power)).astype(np.int64) + SPARE, SAMPLED_GROUPS)
+
+
+def _sampled_least(share: float) -> np.ndarray:
+    """T of samples by their size: of SAMPLED_GROUPS groups each stays the same with a chance p, and fewer than T do with one of MISSED at most."""
+    out = []
+    for n in range(8 * SAMPLE):
+        p, t, below = exp(-share * n / SAMPLED_GROUPS), 0, 0.0
+        while t < SAMPLED_GROUPS and (below := below + comb(SAMPLED_GROUPS, t) * p**t * (1 - p) ** (SAMPLED_GROUPS - t)) <= MISSED:
+            t += 1
+        out.append(max(1, t))
+    return np.array(out, np.int64)
+
+
+SAMPLED_LEAST = np.stack([_sampled_least(DIFFER), _sampled_least(DIFFER_LARGER)])
 
 
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the groups, and the number of the text of each.
+def least_shared(taken: np.ndarray, power: np.ndarray, down: int) -> np.ndarray:
+    """T of texts of which `taken` sequences count in a class, their own or (down = 1) the one below."""
+    whole = groups_in_class(power) - np.floor((DIFFER, DIFFER_LARGER)[down] * taken + 1e-9).astype(np.int64)
+    return np.where(power < SAMPLED_FROM, whole, SAMPLED_LEAST[down][np.minimum(taken, SAMPLED_LEAST.shape[1] - 1)])
 
-    A text belongs to the class of its size, and to the one below if a text of that one can be similar.
+
+def sketches_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of each text: the size of its set; how many sequences are taken, in its class and 16 bits higher in the one below; its groups' hashes.
+
+    There are as many hashes (32 bits each) as groups in the class, then as many as in the class below if the
+    text reaches down; 0 is an empty group.
     """
     h, starts = grams(texts)
     size = np.diff(starts)
-    power = np.frexp(np.maximum(size, 1))[1] - 1
-    both = (size * SIMILARITY <= np.left_shift(1, power)) & (power > 0)
+    own = size_class(size)
     owner = (h >> np.uint64(40)).astype(np.int64)
     h &= np.uint64((1 << 40) - 1)
-    mixed = mix64(h.copy())
-    out, of = [], []
-    for down in (0, 1):
-        m = groups_in_class(power - down).astype(np.uint64)
-        part = (h * m[owner]) >> np.uint64(40)  # grows with h: the sequences of a group stand together
-        change = np.flatnonzero((part[1:] != part[:-1]) | (owner[1:] != owner[:-1])) + 1
-        first = np.concatenate(([0], change)) if len(h) else np.zeros(0, np.int64)
-        sums = np.add.reduceat(mixed, first) if len(h) else mixed
-        who = owner[first]
-        long_enough = (np.diff(np.append(first, len(h))) >= LEAST[np.minimum(power - down, len(LEAST) - 1)][who])
-        first, sums, who = first[long_enough], sums[long_enough], who[long_enough]
-        key = mix64(sums ^ mix64(part[first] << np.uint64(8) | (power - down)[who].astype(np.uint64)))
-        if down:
-            keep = both[who]
-            key, who = key[keep], who[keep]
-        out.append(key)
-        of.append(who)
-    return np.concatenate(out), np.concatenate(of)
+    short, mixed = h >> np.uint64(8), mix64(h.copy())
+    levels, taken = [], []
+    for power, counts in ((own, np.ones(len(texts), bool)), (own - 1, reaches_down(size, own))):
+        bits = limit_bits(power)
+        take = counts[owner] & (short >> bits[owner].astype(np.uint64) == 0)
+        who, x = owner[take], short[take]
+        groups = np.where(counts, groups_in_class(power), 0)
+        ends = np.cumsum(groups)
+        place = (ends - groups)[who] + (x * groups[who].astype(np.uint64) >> bits[who].astype(np.uint64)).astype(np.int64)
+        out = np.zeros(ends[-1] if len(ends) else 0, np.uint32)
+        if len(place):
+            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            out[place[first]] = (mix64(np.add.reduceat(mixed[take], first)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        levels.append([out[e - g : e].tobytes() for g, e in zip(groups.tolist(), ends.tolist(), strict=True)])
+        taken.append(np.minimum(np.bincount(who, minlength=len(texts)), 0x7FFF))
+    return size, taken[0] | taken[1] << 16, [a + b for a, b in zip(*levels, strict=True)]
+
+
+def _sketched(hashed: Callable[[str], str | None] | None):
+    """doc_id, key, size, taken, groups, the columns after text, and a hash of the folded text; copies within a task have no groups again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for part, texts in pieces(batches):
+            yield sketch(part, texts, seen)
+
+    def sketch(part: pa.RecordBatch, texts: list[str], seen: set[int]) -> pa.RecordBatch:
+        folded = fold(texts)
+        keys = [text_key(x) if x else None for x in folded]
+        new = {k: x for k, x in zip(keys, folded, strict=True) if k is not None and k not in seen}
+        if len(seen) > KEYS_KEPT:
+            seen.clear()
+        seen.update(new)
+        size, taken, groups = sketches_of(list(new.values()))
+        of = dict(zip(new, zip(size.tolist(), taken.tolist(), groups, strict=True), strict=True))
+        rows = [of.pop(k, (None, None, None)) for k in keys]
+        rest = {n: part.column(n) for n in part.schema.names[2:]}
+        if hashed:
+            rest["hash"] = pa.array(map(hashed, folded), pa.string())
+        return pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": pa.array(keys, pa.int64()), **{n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("size", pa.int32()), ("taken", pa.int32()), ("groups", pa.binary())))}, **rest})
+
+    return run
 
-POSTED = "shard int, texts binary, which binary, lists binary, hot binary"
 
+def sketched(documents: DataFrame, *columns: str, hashed: Callable[[str], str | None] | None = None) -> DataFrame:
+    """doc_id, key, size, taken, groups of the documents with text, string columns of theirs, and hash if asked for; texts of nothing but blanks have no row."""
+    schema = "doc_id bigint, key bigint, size int, taken int, groups binary" + "".join(f", {c} string" for c in (*columns, *["hash"] * (hashed is not None)))
+    return checkpointed(present(documents, *columns).mapInArrow(_sketched(hashed), schema).where("key is not null"))
 
-def list_names(sig: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
-    """A list's name over all shards, from its name in a shard."""
-    return sig.astype(np.int64) << 24 | shard
 
+def one_a_key(rows: DataFrame) -> DataFrame:
+    """key, size, taken, groups of each distinct text."""
+    return rows.where("groups is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "taken", "groups")))
 
-def _posted(shards: int, long: int):
-    """Batches of texts -> rows of a shard: the keys of some texts, which text has which list, and its hot lists.
 
-    A list that is long among the texts of one flush already doesn't go to its shard, which only learns that
-    it is hot; its postings go to one of as many further shards again, which pass them on. So a list of any
-    length never comes together in a task.
+def _lists(sizes: np.ndarray, taken: np.ndarray, groups: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text, name of the list, T of the text) of all lists of each text, in its class and in the one below.
+
+    A list's name is its class, the number of its group and the group's hash.
     """
+    flat, own = np.frombuffer(b"".join(groups), np.uint32).astype(np.int64), size_class(sizes)
+    ends = np.cumsum([len(x) // 4 for x in groups])
+    both = reaches_down(sizes, own)
+    at = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    for down in (0, 1):
+        power = own - down
+        n = np.where(both, groups_in_class(power), 0) if down else groups_in_class(power)
+        who = np.repeat(np.arange(len(sizes)), n)
+        part = np.arange(len(who)) - (np.cumsum(n) - n)[who]
+        yield who, power[who] << 48 | part << 32 | flat[at[who] + part], least_shared(taken >> 16 if down else taken & 0xFFFF, power, down)
+        at = at + n
+
 
-    def flush(keys: list[int], sigs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-        sig, who = np.concatenate(sigs), np.concatenate(owners)
-        order = np.argsort(sig, kind="stable")
-        sig, who = sig[order], who[order]
-        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        length = np.diff(np.append(start, len(sig)))
-        is_hot = np.repeat(length > long, length)
-        shard, keys_of = (sig % np.uint64(shards)).astype(np.int32), np.array(keys, np.int64)
-        name = (sig >> np.uint64(32)).astype(np.uint32)
-        rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
-        if is_hot.any():
-            rows[0].append(shards + keys[0] % shards)
-            for k, x in enumerate((keys_of[who[is_hot]].tobytes(), b"", list_names(name[is_hot], shard[is_hot]).tobytes(), b"")):
-                rows[k + 1].append(x)
-        order = np.argsort(shard, kind="stable")
-        name, who, is_hot, shard = name[order], who[order], is_hot[order], shard[order]
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        for k in range(shards):
-            part = slice(cut[k], cut[k + 1])
-            if cut[k] < cut[k + 1]:
-                cold = ~is_hot[part]
-                own, local = np.unique(who[part][cold], return_inverse=True)
-                rows[0].append(k)
-                rows[1].append(keys_of[own].tobytes())
-                rows[2].append(local.astype(np.uint16).tobytes())
-                rows[3].append(name[part][cold].tobytes())
-                rows[4].append(np.unique(name[part][~cold]).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["shard", "texts", "which", "lists", "hot"])
+def _bucket(lists: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix64(lists.astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    return *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2)), batch.column(3).to_pylist()
+
+
+def _counted(buckets: int):
+    """Sketches -> slot, places, counts: how often the lists of a bucket occur."""
+
+    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(parts), return_counts=True)
+        cut = np.searchsorted(at, np.arange(0, buckets + 1, SLOT))
+        slots = np.flatnonzero(np.diff(cut))
+        columns = [[x[cut[k] : cut[k + 1]].tobytes() for k in slots] for x in ((at % SLOT).astype(np.uint16), np.minimum(n, 0xFFFF).astype(np.uint16))]
+        return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), *(pa.array(x, pa.binary()) for x in columns)], ["slot", "places", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        sigs: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        seen: set[int] = set()
-        for _, texts in pieces(batches):
-            new = {}
-            for x in fold(texts):
-                if (k := text_key(x)) not in seen and x:
-                    new[k] = x
-            seen.update(new)
-            if new:
-                sig, who = signatures(list(new.values()))
-                sigs.append(sig)
-                owners.append(who + len(keys))
-                keys += new
-            if sum(map(len, sigs)) > FLUSH or len(keys) > 40_000:
-                yield flush(keys, sigs, owners)
-                keys, sigs, owners = [], [], []
-                seen = set()
-        if sigs:
-            yield flush(keys, sigs, owners)
+        parts: list[np.ndarray] = []
+        for batch in batches:
+            parts += [_bucket(lists, buckets) for _, lists, _ in _lists(*_columns(batch))]
+            if sum(map(len, parts)) > COUNTED_AT_ONCE:
+                yield flush(parts)
+                parts = []
+        if parts:
+            yield flush(parts)
 
     return run
 
 
-def _pairs_of_runs(key: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs within the runs of sorted keys, as rows of two, and in how many runs each is."""
-    out = [np.zeros((0, 2), np.int64)]
-    for n in np.unique(length):
-        rows = key[start[length == n][:, None] + np.arange(n)]
-        a, b = np.triu_indices(n, 1)
-        out.append(np.stack((rows[:, a].ravel(), rows[:, b].ravel()), 1))
-    pairs = np.concatenate(out)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    first = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))) if len(pairs) else np.zeros(0, np.int64)
-    return pairs[first], np.diff(np.append(first, len(pairs)))
-
-
-def _merged(shards: int, long: int):
-    """The rows of a shard -> pairs that share a short list, and (list, text) of the long ones."""
-
-    def run(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        column = lambda name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        if shard >= shards:  # postings of hot lists
-            key, name = np.concatenate(column("texts", np.int64)), np.concatenate(column("lists", np.int64))
-            return pa.table({"a": key, "b": pa.nulls(len(key), pa.int64()), "shared": pa.array(np.zeros(len(key), np.int32)), "list": name})
-        key = np.concatenate([t[w] for t, w in zip(column("texts", np.int64), column("which", np.uint16), strict=True)])
-        sig, hot = np.concatenate(column("lists", np.uint32)), np.unique(np.concatenate(column("hot", np.uint32)))
-        del table
-        order = np.argsort(sig, kind="stable")
-        sig = sig[order]
-        same = sig[1:] == sig[:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(sig) else np.zeros(0, bool)
-        if len(hot):
-            several |= np.isin(sig, hot)
-        sig, key = sig[several], key[order[several]]
-        order = np.lexsort((key, sig))
-        sig, key = sig[order], key[order]
-        if len(sig):
-            once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-            sig, key = sig[once], key[once]
-        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(sig)))
-        is_long = (length > long) | np.isin(sig[start], hot)
-        short = (length > 1) & ~is_long
-        pairs, shared = _pairs_of_runs(key, start[short], length[short])
-        in_long = np.repeat(is_long, length)
-        name = list_names(sig[in_long], shard)
-        n, k = len(pairs), len(name)
-        return pa.table({
-            "a": pa.array(np.concatenate((pairs[:, 0], key[in_long])), pa.int64()),
-            "b": pa.array(np.concatenate((pairs[:, 1], np.zeros(k, np.int64))), pa.int64(), mask=np.arange(n + k) >= n),
-            "shared": pa.array(np.concatenate((shared, np.zeros(k, np.int64))).astype(np.int32), pa.int32()),
-            "list": pa.array(np.concatenate((np.zeros(n, np.int64), name)), pa.int64(), mask=np.arange(n + k) < n),
-        })
+def _summed(table: pa.Table) -> pa.Table:
+    """The counts of a slot over all tasks, as a byte: 1 is once, n is less than 2**n times."""
+    total = np.zeros(SLOT, np.int64)
+    for places, counts in zip(table.column("places").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint16)
+    return pa.table({"slot": table.column("slot")[:1], "counts": pa.array([np.frexp(total)[1].astype(np.uint8).tobytes()], pa.binary())})
+
+
+def list_lengths(sketches: DataFrame) -> bytes:
+    """A byte for each bucket of lists: how long they are, see _summed. Its size has the bound MOST_BUCKETS."""
+    n, buckets = sketches.count() * BUCKETS_A_TEXT, FEWEST_BUCKETS
+    while buckets < min(n, MOST_BUCKETS):
+        buckets *= 2
+    parts = sketches.select("key", "size", "taken", "groups").mapInArrow(_counted(buckets), "slot int, places binary, counts binary").groupBy("slot").applyInArrow(_summed, "slot int, counts binary")
+    out = bytearray(buckets)
+    for r in parts.toLocalIterator():
+        out[r.slot * SLOT : (r.slot + 1) * SLOT] = r.counts
+    return bytes(out)
+
+
+def _short(lengths: bytes):
+    """Sketches and more columns -> list, key, meta (size, class and hits that are asked) and the further columns, of each text's short lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(lengths, np.uint8)
+        first, hits = (np.array(x) for x in zip(*HITS, strict=True))
+        for batch in batches:
+            sizes, taken, groups = _columns(batch)
+            own = size_class(sizes)
+            asked = hits[np.searchsorted(first, np.maximum(sizes, 1), "right") - 1]
+            for who, lists, least in _lists(sizes, taken, groups):
+                length = table[_bucket(lists, len(table))]
+                order = np.lexsort((lists, length, who))
+                who, lists, length = who[order], lists[order], length[order]
+                held = np.bincount(who, minlength=len(batch))
+                place = np.arange(len(who)) - (np.cumsum(held) - held)[who]
+                n = np.minimum(asked, least)
+                # A list that only one text has is a short one of it, but there is nothing to merge.
+                keep = (place < (held - least + n)[who]) & (length > 1)
+                who, lists = who[keep], lists[keep]
+                at = pa.array(who)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lists, pa.int64()), batch.column(0).take(at), pa.array((sizes << 16 | own << 8 | n)[who], pa.int64()), *(c.take(at) for c in batch.columns[4:])], ["list", "key", "meta", *batch.schema.names[4:]]
+                )
 
     return run
 
 
-def _block_pairs(one: pd.DataFrame) -> pd.DataFrame:
-    """The pairs between two blocks of a long list (or within one); of the lists that a pair shares only the first makes it."""
-    name, x, y = one["list"].iloc[0], one["x"].iloc[0], one["y"].iloc[0]
-    left, right = (list(zip(*(one.loc[one.block == k, c].tolist() for c in ("a", "lists")), strict=True)) for k in (x, y))
-    out = []
-    left, right = ([(a, set(s)) for a, s in side] for side in (left, right))
-    for a, s in left:
-        for b, t in right:
-            if (x != y or a < b) and min(both := s & t) == name:
-                out.append((min(a, b), max(a, b), len(both)))
-    return pd.DataFrame(out, columns=["a", "b", "shared"], dtype="int64")
-
-
-def _from_long_lists(postings: DataFrame, long: int) -> DataFrame:
-    """a, b, shared: the pairs in the long lists, in blocks of about `long` texts, and how many long lists they share."""
-    of_text = postings.groupBy("a").agg(F.array_sort(F.collect_set("list")).alias("lists"))
-    each = of_text.select("a", "lists", F.explode("lists").alias("list"))
-    length = each.groupBy("list").agg(F.ceil(F.count("*") / long).cast("int").alias("blocks"))
-    placed = each.join(length, "list").withColumn("block", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    return met.select("list", "x", "y", "block", "a", "lists").groupBy("list", "x", "y").applyInPandas(_block_pairs, "a bigint, b bigint, shared bigint")
-
-
-def candidates(documents: DataFrame, long: int = LONG) -> DataFrame:
-    """a, b: keys, the smaller first, of texts that may be similar; each pair once."""
-    texts = present(documents).select("text")
-    shards = max(24, -(-documents.count() * 170 * 6 // SHARD_BYTES))
-    posted = texts.mapInArrow(_posted(shards, long), POSTED)
-    merged = checkpointed(posted.groupBy("shard").applyInArrow(_merged(shards, long), "a bigint, b bigint, shared int, list bigint"))
-    pairs = merged.where("list is null").select("a", "b", "shared")
-    postings = merged.where("list is not null").select("a", "list")
-    if not postings.isEmpty():
-        pairs = pairs.union(_from_long_lists(postings, long))
-    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= T).select("a", "b")
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in pieces(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_key(x) if x else None for x in fold(texts)], pa.int64())], ["doc_id", "key"])
+def merged(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+    """a, b of the postings (list, key, meta as a and b) that come together in as many short lists as are asked."""
+    size, power, hits = (lambda x: F.shiftright(x, 16)), (lambda x: F.shiftright(x, 8).bitwiseAND(255)), (lambda x: F.col(x).bitwiseAND(255))
+    sizes, powers = [size(F.col(x)) for x in ("meta_a", "meta_b")], [power(F.col(x)) for x in ("meta_a", "meta_b")]
+    in_class = F.shiftright("list", 48) == F.least(*powers)
+    met = left.join(right, "list").where(apart & (F.least(*sizes) >= SIMILARITY * F.greatest(*sizes)) & in_class)
+    met = met.select("a", "b", F.least(hits("meta_a"), hits("meta_b")).alias("asked"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).where("n >= asked").select("a", "b")
+
+
+def side(postings: DataFrame, name: str) -> DataFrame:
+    return postings.select("list", F.col("key").alias(name), F.col("meta").alias(f"meta_{name}"))
+
+
+def short_lists(sketches: DataFrame, more: str = "") -> DataFrame:
+    """list, key, meta of the lists to merge; more: the sketches' further columns with their types."""
+    return sketches.mapInArrow(_short(list_lengths(sketches)), "list bigint, key bigint, meta bigint" + more)
+
+
+def _in_class(sizes: np.ndarray, taken: np.ndarray, groups: list[bytes], power: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The groups' hashes and T of texts in a class, their own or the one below."""
+    own = size_class(sizes)
+    down = (own > power).astype(np.int64)
+    start, n = np.where(down, groups_in_class(own), 0).tolist(), groups_in_class(power).tolist()
+    least = np.where(down, least_shared(taken >> 16, power, 1), least_shared(taken & 0xFFFF, power, 0))
+    return [np.frombuffer(g, np.uint32, k, 4 * s) for g, s, k in zip(groups, start, n, strict=True)], least
+
+
+def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates that have T of all lists in common, long ones too."""
+    for batch in batches:
+        column = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+        power = np.minimum(size_class(column("size_a")), size_class(column("size_b")))
+        (a, least_a), (b, least_b) = (_in_class(column(f"size_{x}"), column(f"taken_{x}"), batch.column(f"groups_{x}").to_pylist(), power) for x in "ab")
+        both = np.fromiter((np.count_nonzero(x == y) for x, y in zip(a, b, strict=True)), np.int64, len(batch))
+        yield batch.select(["a", "b"]).filter(pa.array(both >= np.maximum(least_a, least_b)))
+
+
+def candidates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b of the pairs that reach T over all their lists."""
+    one, other = (sketches.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "taken", "groups"))) for x in "ab")
+    return pairs.join(one, "a").join(other, "b").mapInArrow(_probed, "a bigint, b bigint")
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,34 +368,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
-def keys_of(documents: DataFrame) -> DataFrame:
-    """doc_id, key of the documents with text."""
-    return checkpointed(present(documents).mapInArrow(_keyed, "doc_id bigint, key bigint").where("key is not null").distinct())
+def verified(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, similarity of the pairs of keys whose texts are at least SIMILARITY alike. rows: doc_id, key, groups."""
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    first = rows.where("groups is not null").join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    texts = present(documents).join(first, "doc_id").select("key", "text").dropDuplicates(["key"]).mapInArrow(_folded, "key bigint, text string")
+    with_texts = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint, similarity double")
 
 
-def similar_texts(documents: DataFrame, long: int = LONG, members: DataFrame | None = None, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def similar_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of the texts at least SIMILARITY alike.
 
     pairs: a, b (keys of different texts, a < b), similarity. members: doc_id, key; the documents with one
     key are copies. Null and empty texts, and texts of nothing but blanks, are in neither. Repeated rows
-    count once. Other columns are ignored. members may be given if they are known; more names pairs of keys
-    that another search suggests, to be verified like those found here.
+    count once. Other columns are ignored.
     """
-    members = keys_of(documents) if members is None else members
-    found = candidates(documents, long)
-    pairs = checkpointed(found if more is None else found.union(more.select("a", "b")).distinct())
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    first = members.join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = present(documents).join(first, "doc_id").select("key", "text").dropDuplicates(["key"]).mapInArrow(_folded, "key bigint, text string")
-    with_texts = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint, similarity double"), members
+    rows = sketched(documents)
+    sketches = checkpointed(one_a_key(rows))
+    postings = short_lists(sketches)
+    pairs = merged(side(postings, "a"), side(postings, "b"), F.col("a") < F.col("b"))
+    found = checkpointed(candidates(pairs, sketches))
+    return verified(found, documents, rows), rows.select("doc_id", "key").distinct()
+
+
+def in_parts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The rows of left and right of one key, joined; the many rows of a key are cut into parts on the left, each of which meets all on the right."""
+    n = left.groupBy("key").agg(F.ceil(F.count("*") / MANY_COPIES).cast("int").alias("parts"))
+    cut = left.join(n, "key").withColumn("part", F.pmod(F.xxhash64("x"), "parts").cast("int")).drop("parts")
+    spread = right.join(n, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return cut.join(spread, ["key", "part"])
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b of every pair of documents whose texts are similar or the same."""
-    left, right = members.select(F.col("key").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("key").alias("b"), F.col("doc_id").alias("y"))
-    apart = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    copies = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    left, right = members.select("key", F.col("doc_id").alias("x")), members.select("key", F.col("doc_id").alias("y"))
+    apart = pairs.select("a", "b").join(left.withColumnRenamed("key", "a"), "a").join(right.withColumnRenamed("key", "b"), "b").select("x", "y")
+    several = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    copies = in_parts(left.join(several, "key"), right.join(several, "key")).where("x < y").select("x", "y")
     return apart.union(copies).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.storage import checkpointed
 from .batches import pieces
-from .near import fold, similar_texts, text_key
+from .near import candidates, in_parts, merged, one_a_key, short_lists, side, sketched, verified
 from .unify import one_form, present
 
 TRAIN, EVALUATION = "train", ("validation", "test")
@@ -38,13 +38,6 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), hashes], ["doc_id", "split", "source", "hash"])
 
 
-def _hashed_and_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in pieces(batches):
-        folded = fold(texts)
-        keys, hashes = [text_key(x) if x else None for x in folded], [canonical_hash(x) for x in folded]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(keys, pa.int64()), pa.array(hashes, pa.string())], ["doc_id", "split", "key", "hash"])
-
-
 def split_of(column: str = "split"):
     """The split without regard to case and outer blanks."""
     return F.lower(F.trim(column))
@@ -70,24 +63,26 @@ def overlap_counts(documents: DataFrame) -> DataFrame:
 def across_splits(documents: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b: similar documents (see near), one in train and one in an evaluation split.
 
-    Copies and near copies alike; of pairs within one split none is made.
+    Copies and near copies alike. The lists of the evaluation texts are the index, those of the train texts
+    are looked up in it; pairs within train or within the evaluation splits are never made.
     """
-    side = F.when(split_of() == TRAIN, 0).when(split_of().isin(*EVALUATION), 1)
-    rows = present(documents, "split").mapInArrow(_hashed_and_keyed, "doc_id bigint, split string, key bigint, hash string")
-    rows = checkpointed(rows.where("key is not null").select("doc_id", "key", "hash", side.alias("side")).distinct())
-    train, held = (rows.where(F.col("side") == k).select("hash", F.col("key").alias(f"key_{k}")).distinct() for k in (0, 1))
-    same = train.join(held, "hash").where("key_0 <> key_1").select(F.least("key_0", "key_1").alias("a"), F.greatest("key_0", "key_1").alias("b"))
-    pairs, members = similar_texts(documents, members=rows.select("doc_id", "key").distinct(), more=same)
-    sided = rows.where("side is not null").select("doc_id", "key", "side").distinct()
-    keys = sided.groupBy("key").agg(F.min("side").alias("low"), F.max("side").alias("high"))
-    pairs = pairs.join(keys.selectExpr("key a", "low low_a", "high high_a"), "a").join(keys.selectExpr("key b", "low low_b", "high high_b"), "b")
-    pairs = pairs.where("least(low_a, low_b) = 0 and greatest(high_a, high_b) = 1").select("a", "b")
-    crossing = sided.join(keys.where("low = 0 and high = 1").select("key"), "key", "left_semi")
-    train, evaluation = (sided.where(F.col("side") == k).select("key", F.col("doc_id").alias(x)) for k, x in ((0, "x"), (1, "y")))
-    copies = crossing.where("side = 0").select("key", F.col("doc_id").alias("x")).join(crossing.where("side = 1").select("key", F.col("doc_id").alias("y")), "key").select("x", "y")
-    one = pairs.join(train, pairs.a == train.key).drop("key").join(evaluation, pairs.b == evaluation.key).select("x", "y")
-    other = pairs.join(train, pairs.b == train.key).drop("key").join(evaluation, pairs.a == evaluation.key).select("x", "y")
-    return one.union(other).union(copies).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    kind = F.when(split_of() == TRAIN, 1).when(split_of().isin(*EVALUATION), 2)
+    rows = sketched(documents, "split", hashed=canonical_hash).withColumn("side", kind).where("side is not null")
+    sides = rows.groupBy("key").agg(F.bit_or("side").alias("sides"))
+    sketches = checkpointed(one_a_key(rows).join(sides, "key"))
+    postings = short_lists(sketches.select("key", "size", "taken", "groups", "sides"), ", sides int")
+    index, train = side(postings.where("sides & 2 > 0"), "a"), side(postings.where("sides & 1 > 0"), "b")
+    found = candidates(merged(index, train, F.col("a") != F.col("b")), sketches)
+    hashes, wanted = rows.where("hash is not null").select("hash", "key", "side").distinct(), F.col("side")
+    held, seen = hashes.where(wanted == 2).select("hash", F.col("key").alias("a")), hashes.where(wanted == 1).select("hash", F.col("key").alias("b"))
+    same = held.join(seen, "hash").where("a <> b").select("a", "b")
+    pairs = verified(checkpointed(found.union(same).distinct()), documents, rows)
+    members = rows.select("doc_id", "key", "side").distinct()
+    x, y = (members.where(wanted == k).select("key", F.col("doc_id").alias(n)) for k, n in ((2, "x"), (1, "y")))
+    near = pairs.join(x.withColumnRenamed("key", "a"), "a").join(y.withColumnRenamed("key", "b"), "b").select("x", "y")
+    both = sides.where("sides = 3").select("key")
+    copies = in_parts(x.join(both, "key"), y.join(both, "key")).select("x", "y")
+    return near.union(copies).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
 
 def overlap_report(documents: DataFrame) -> DataFrame:

@@ -90,25 +90,61 @@ def brute_pairs(rows, least=near.SIMILARITY):
     return {(i, j) for k, (i, a) in enumerate(sets) for j, b in sets[k + 1 :] if len(a & b) >= least * len(a | b)}
 
 
-@pytest.mark.parametrize("long", [64, 2])
-def test_near_duplicates(spark, long):
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(near, "MANY_COPIES", 2)
     rows = made_documents()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = {(r.doc_id_a, r.doc_id_b) for r in near.expanded(*near.similar_texts(df, long)).collect()}
+    found = [(r.doc_id_a, r.doc_id_b) for r in near.near_duplicates(df).collect()]
+    true = brute_pairs(rows)
+    assert set(found) == true and len(true) > 60 and len(found) == len(true)
+
+
+def short_pairs(draw, n, lengths):
+    """Texts, each with some that differ in a few characters."""
+    out = []
+    for _ in range(n):
+        x = "".join(draw.choices("abcdefgh ", k=draw.randrange(*lengths)))
+        out.append(x)
+        for _ in range(3):
+            y = list(x)
+            for _ in range(draw.choice([0, 1, 1, 2])):
+                k = draw.randrange(len(y)) if y else 0
+                y[k : k + 1] = draw.choice([[], ["z"], [*y[k : k + 1], "q"]])
+            out.append("".join(y))
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("lengths", [(1, 8), (5, 41), (60, 300)])
+def test_short_texts_lose_no_pair(spark, lengths):
+    rows = [r for r in short_pairs(random.Random(11), 120, lengths) if r[1].strip()]
+    rows += [(10_000 + k, "-" * (5 + k)) for k in range(3)] + [(20_000 + k, "abc" * (4 + k)) for k in range(3)]
+    found = {(r.doc_id_a, r.doc_id_b) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     true = brute_pairs(rows)
     assert found == true and len(true) > 60
 
 
+def test_long_texts_at_the_threshold(spark):
+    """Pairs of sampled texts that are just at 0.8 and beyond."""
+    draw, rows = random.Random(4), []
+    for k in range(40):
+        text = "".join(draw.choices("கஙசடதநபமயரலவழளறன ", k=draw.choice([300, 700, 2600])))
+        cut = int(len(text) * 0.805)
+        rows += [(2 * k, text), (2 * k + 1, text[:cut] if k % 2 else "".join(c if draw.random() > 0.018 else "x" for c in text))]
+    found = {(r.doc_id_a, r.doc_id_b) for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == brute_pairs(rows) and len(found) >= 20
+
+
 def test_near_duplicates_of_the_tables(spark):
     docs = table(spark, "documents")
     rows = [(r.doc_id, r.text) for r in docs.where("length(text) > 0").collect()]
     assert {(r.doc_id_a, r.doc_id_b) for r in near.near_duplicates(docs).collect()} == brute_pairs(sorted(rows))
 
 
-def test_groups_of_size_classes_share_enough():
-    power = np.arange(0, near.EXACT_UPTO)
-    largest = 2.25 * 2.0 ** (power + 1)  # both texts of a class, one at the upper end of the next
-    assert (near.groups_in_class(power) >= largest * (1 - near.SIMILARITY) / (1 + near.SIMILARITY) + near.T - 1).all()
+def test_groups_in_common_are_at_least_those_asked():
+    power = np.arange(0, near.SAMPLED_FROM)
+    for down, largest in ((0, 2 ** (power + 1) - 1), (1, np.floor(2.5 * 2.0**power).astype(int))):
+        assert (near.least_shared(largest, power, down) >= near.SPARE).all()
+    assert (near.SAMPLED_LEAST > 0).all() and near.SAMPLED_LEAST[0, near.SAMPLE] > 15
 
 
 def test_overlaps_cross_the_splits(spark):
@@ -354,8 +390,9 @@ def test_any_number_of_terms(spark, monkeypatch, bits):
 
 
 def test_many_short_texts(spark):
-    rows = [(k, f"{k:06d} short") for k in range(2_500)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
-    sample = [r for r in rows if r[0] % 97 == 0]
+    rows = [(k, f"{k:06d} {'short' if k % 50 else 'short one, of a few'} text") for k in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {(r.doc_id_a, r.doc_id_b) for r in near.near_duplicates(df).collect()}
-    assert brute_pairs(sample) <= found and all(a < b for a, b in found)
+    sample = [r for r in rows if r[0] % 50 == 0]
+    true = brute_pairs(sample)
+    assert true and true == {(a, b) for a, b in found if a % 50 == 0 and b % 50 == 0}
