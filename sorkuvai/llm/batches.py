@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Characters that are held in NumPy arrays at once; a longer text is still taken whole.
 CHARS_AT_ONCE = 1_000_000
@@ -43,3 +45,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Bits of a bitmap, for each row and at most; what shares a bit with another row costs work, never a result.
+BITS_A_ROW, BITS_AT_MOST, BUCKET = 16, 1 << 27, 32_768
+
+
+def bitmap(rows: DataFrame, number: Column) -> bytes:
+    """A bit for each number, modulo the bits, of which there is a power of two; little end first."""
+    bits, n = BUCKET, rows.count()
+    while bits < min(BITS_AT_MOST, BITS_A_ROW * n):
+        bits *= 2
+    at = F.pmod(number, F.lit(bits)) + 1  # Spark's first position is 1
+    parts = rows.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("part"))
+    out = bytearray(bits // 8)
+    for r in parts.toLocalIterator():
+        out[(r.bucket - 1) * BUCKET // 8 : r.bucket * BUCKET // 8] = r.part
+    return bytes(out)

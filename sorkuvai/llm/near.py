@@ -1,21 +1,22 @@
 """Problems 2 and 6: texts that are the same but for small edits, and those that cross the splits.
 
-T-occurrence search with DivideSkip. A text's set of five-character sequences is cut into M groups by hash;
-a group with just this content (nothing, too) is an inverted list, of the texts that have it so. Texts that
-differ in d sequences have T = M - d lists in common at least. Each text's lists are divided by their
-length, which one table of counts tells for all lists: the M - T + HITS shortest are merged, and a pair
-that comes together in HITS of them is a candidate; the T - HITS longest are never merged but only probed
-for the candidates, and those that reach T in all are compared exactly. As all texts order their lists alike,
-a pair with T lists in common has HITS of the short ones in common, so that none is lost; and a list that many
-texts share is merged only for a text that has no shorter ones.
+T-occurrence search with DivideSkip. A text is its set of five-character sequences in the order of their
+hashes, cut into parts; a part with just this content is an inverted list, of the texts that have it so.
+Texts that are alike have T lists in common at least. Each text's lists are divided by their length, which
+one table of counts tells for all: all but the T - HITS longest are merged, and a pair that comes together
+in HITS of them is a candidate; the longest are never merged but binary-searched for the candidates alone,
+and those that reach T in all are compared exactly. As all texts order their lists alike, a pair with T
+lists in common has HITS of the short ones in common, so that none is lost; and a list that many texts share
+is merged only for a text that has no shorter ones.
 
 The merge is a sort-merge join of the short lists, which walks them in order as a heap would, in as many
-tasks as it takes; adaptive execution splits a list that is long all the same. A long list is probed where it
-stands in a text's row of lists, which tells more directly than a binary search whether the text is in it.
+tasks as it takes; adaptive execution splits a list that is long all the same.
 
-Sets of fewer than 2**SAMPLED_FROM sequences are taken whole, and no pair of theirs is lost. Of larger ones
-the sequences whose hash is below the limit of the size class are taken, SAMPLE to 2 * SAMPLE of them, and T
-is what a pair at exactly 0.8 misses with a chance of MISSED at most.
+Sets of fewer than 2**SAMPLED_FROM sequences are cut into M groups by hash, empty ones count too. A pair
+that differs in d sequences has T = M - d groups in common, so that none is lost. Of larger sets, LISTS to
+2 * LISTS runs of RUN neighbouring sequences are the parts, those that begin with a sequence whose second
+hash is below the limit of the size class; T is what a pair at exactly 0.8 misses with a chance of MISSED at
+most. Runs of single sequences would not do: in texts of one language every sequence has a long list.
 
 Copies are collapsed to one key (a hash of the folded text) before anything is paired.
 """
@@ -23,7 +24,7 @@ Copies are collapsed to one key (a hash of the folded text) before anything is p
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import comb, exp
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +33,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import checkpointed
-from .batches import CHARS_AT_ONCE, code_points, mix64, pieces
+from .batches import CHARS_AT_ONCE, bitmap, code_points, mix64, pieces
 from .unify import one_form, present
 
 GRAM = 5
 SIMILARITY = 0.8
-#: Short lists in which a pair must come together, for sets from how many sequences on.
-HITS = ((1, 1), (16, 2), (64, 3))
-#: Size classes are powers of two; sets from this one on are sampled, and cut into SAMPLED_GROUPS groups.
-SAMPLED_FROM = 8
-SAMPLE, SAMPLED_GROUPS = 1 << (SAMPLED_FROM - 1), 64
-MISSED = 1e-6
-#: Groups that two sets of the largest difference have in common at least, where they are taken whole.
+#: Short lists in which a pair must come together.
+HITS = 2
+#: Size classes are powers of two; sets from this one on are cut into runs, smaller ones into groups.
+SAMPLED_FROM = 9
+LISTS, RUN = 48, 6
+MISSED = 1e-5
+#: Groups that two sets of the largest difference have in common at least, where no pair may be missed.
 SPARE = 4
 #: A set differs by this share of its size at most from one alike, and from a smaller one alike.
 DIFFER, DIFFER_LARGER = 0.25, 2 / 9
+NAME_BITS = 40
 #: Buckets of the table of counts: for each text, at least and at most (a byte each, held by every task).
-BUCKETS_A_TEXT, FEWEST_BUCKETS, MOST_BUCKETS = 64, 1 << 16, 1 << 24
+BUCKETS_A_TEXT, FEWEST_BUCKETS, MOST_BUCKETS = 256, 1 << 16, 1 << 24
 SLOT = 1 << 16
 COUNTED_AT_ONCE = 4_000_000
 #: Keys that a task remembers, so as to sketch copies once.
@@ -97,67 +99,86 @@ def reaches_down(size: np.ndarray, power: np.ndarray) -> np.ndarray:
     return (size * SIMILARITY <= np.left_shift(1, power)) & (power > 0)
 
 
-def limit_bits(power: np.ndarray) -> np.ndarray:
-    """Sequences of a class are taken if their 32-bit hash has no more bits than this."""
-    return 32 - np.maximum(0, power - SAMPLED_FROM + 1)
-
-
 def groups_in_class(power: np.ndarray) -> np.ndarray:
-    """M of a size class."""
-    return np.where(power < SAMPLED_FROM, (DIFFER_LARGER * 2.5 * np.exp2(power)).astype(np.int64) + SPARE, SAMPLED_GROUPS)
+    """M of a size class whose sets are cut into groups."""
+    return (DIFFER_LARGER * 2.5 * np.exp2(np.minimum(power, SAMPLED_FROM))).astype(np.int64) + SPARE
 
 
-def _sampled_least(share: float) -> np.ndarray:
-    """T of samples by their size: of SAMPLED_GROUPS groups each stays the same with a chance p, and fewer than T do with one of MISSED at most."""
-    out = []
-    for n in range(8 * SAMPLE):
-        p, t, below = exp(-share * n / SAMPLED_GROUPS), 0, 0.0
-        while t < SAMPLED_GROUPS and (below := below + comb(SAMPLED_GROUPS, t) * p**t * (1 - p) ** (SAMPLED_GROUPS - t)) <= MISSED:
+def _least_runs() -> np.ndarray:
+    """T of texts by the number of their runs: each is in a text alike with a chance of SIMILARITY**RUN at least, and fewer than T are with one of MISSED at most."""
+    out, p = [], SIMILARITY**RUN
+    for n in range(8 * LISTS):
+        t, below = 0, 0.0
+        while t < n and (below := below + comb(n, t) * p**t * (1 - p) ** (n - t)) <= MISSED:
             t += 1
         out.append(max(1, t))
     return np.array(out, np.int64)
 
 
-SAMPLED_LEAST = np.stack([_sampled_least(DIFFER), _sampled_least(DIFFER_LARGER)])
+LEAST_RUNS = _least_runs()
+
+
+def least_shared(size: np.ndarray, lists: np.ndarray, power: np.ndarray, down: int) -> np.ndarray:
+    """T of texts with so many lists in a class, their own or (down = 1) the one below."""
+    whole = lists - np.floor((DIFFER, DIFFER_LARGER)[down] * size + 1e-9).astype(np.int64)
+    return np.where(power < SAMPLED_FROM, whole, LEAST_RUNS[np.minimum(lists, len(LEAST_RUNS) - 1)])
+
+
+def _groups(h: np.ndarray, owner: np.ndarray, mixed: np.ndarray, groups: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """number of the text << NAME_BITS | name of the list, of the groups of each text (0: none)."""
+    ends = np.cumsum(groups)
+    base = ends - groups
+    who = np.repeat(np.arange(len(groups)), groups)
+    sums = np.zeros(len(who), np.uint64)
+    place = base[owner] + (h * groups[owner].astype(np.uint64) >> np.uint64(40)).astype(np.int64)  # grows with h
+    if len(place):
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        sums[place[first]] = np.add.reduceat(mixed, first)
+    part = (np.arange(len(who)) - base[who]) << 6 | power[who]
+    return who.astype(np.uint64) << np.uint64(NAME_BITS) | mix64(sums ^ mix64(part.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - NAME_BITS)
 
 
-def least_shared(taken: np.ndarray, power: np.ndarray, down: int) -> np.ndarray:
-    """T of texts of which `taken` sequences count in a class, their own or (down = 1) the one below."""
-    whole = groups_in_class(power) - np.floor((DIFFER, DIFFER_LARGER)[down] * taken + 1e-9).astype(np.int64)
-    return np.where(power < SAMPLED_FROM, whole, SAMPLED_LEAST[down][np.minimum(taken, SAMPLED_LEAST.shape[1] - 1)])
+def _runs(owner: np.ndarray, mixed: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """The same of the runs of each text."""
+    limit = (LISTS << 24) >> power
+    start = np.flatnonzero((mixed >> np.uint64(40)).astype(np.int64) < limit[owner])
+    start = start[start + RUN <= len(owner)]
+    start = start[owner[start] == owner[start + RUN - 1]]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
+    who = owner[start]
+    name = mix64(total[start + RUN] - total[start] ^ mix64(power[who].astype(np.uint64) + np.uint64(1)))
+    return who.astype(np.uint64) << np.uint64(NAME_BITS) | name >> np.uint64(64 - NAME_BITS)
 
 
 def sketches_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Of each text: the size of its set; how many sequences are taken, in its class and 16 bits higher in the one below; its groups' hashes.
+    """Of each text: the size of its set; how many lists it has, in its class and 16 bits higher in the one below; their names.
 
-    There are as many hashes (32 bits each) as groups in the class, then as many as in the class below if the
-    text reaches down; 0 is an empty group.
+    The names in the class are in ascending order, then those in the class below if the text reaches down;
+    first the low 32 bits of all, then the high 8.
     """
     h, starts = grams(texts)
-    size = np.diff(starts)
+    size, n = np.diff(starts), len(texts)
     own = size_class(size)
     owner = (h >> np.uint64(40)).astype(np.int64)
     h &= np.uint64((1 << 40) - 1)
-    short, mixed = h >> np.uint64(8), mix64(h.copy())
-    levels, taken = [], []
-    for power, counts in ((own, np.ones(len(texts), bool)), (own - 1, reaches_down(size, own))):
-        bits = limit_bits(power)
-        take = counts[owner] & (short >> bits[owner].astype(np.uint64) == 0)
-        who, x = owner[take], short[take]
-        groups = np.where(counts, groups_in_class(power), 0)
-        ends = np.cumsum(groups)
-        place = (ends - groups)[who] + (x * groups[who].astype(np.uint64) >> bits[who].astype(np.uint64)).astype(np.int64)
-        out = np.zeros(ends[-1] if len(ends) else 0, np.uint32)
-        if len(place):
-            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            out[place[first]] = (mix64(np.add.reduceat(mixed[take], first)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        levels.append([out[e - g : e].tobytes() for g, e in zip(groups.tolist(), ends.tolist(), strict=True)])
-        taken.append(np.minimum(np.bincount(who, minlength=len(texts)), 0x7FFF))
-    return size, taken[0] | taken[1] << 16, [a + b for a, b in zip(*levels, strict=True)]
+    mixed = mix64(h.copy())
+    levels = []
+    for power, counts in ((own, np.ones(n, bool)), (own - 1, reaches_down(size, own))):
+        in_runs = power >= SAMPLED_FROM
+        take = (counts & in_runs)[owner]
+        runs = _runs(owner[take], mixed[take], power)
+        rest = (counts & ~in_runs)[owner]
+        names = np.concatenate((runs, _groups(h[rest], owner[rest], mixed[rest], np.where(counts & ~in_runs, groups_in_class(power), 0), power)))
+        names.sort()
+        cut = np.searchsorted(names, np.arange(n + 1, dtype=np.uint64) << np.uint64(NAME_BITS))
+        levels.append((names.astype(np.uint32), (names >> np.uint64(32)).astype(np.uint8), cut))
+    lists = np.diff(levels[0][2]) | np.diff(levels[1][2]) << 16
+    (low, high, at), (low_, high_, at_) = levels
+    return size, lists, [b"".join((low[a:b].tobytes(), low_[c:d].tobytes(), high[a:b].tobytes(), high_[c:d].tobytes())) for a, b, c, d in zip(at, at[1:], at_, at_[1:], strict=False)]
 
 
 def _sketched(hashed: Callable[[str], str | None] | None):
-    """doc_id, key, size, taken, groups, the columns after text, and a hash of the folded text; copies within a task have no groups again."""
+    """doc_id, key, size, held, lists, the columns after text, and a hash of the folded text; copies within a task have no lists again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -171,44 +192,43 @@ def _sketched(hashed: Callable[[str], str | None] | None):
         if len(seen) > KEYS_KEPT:
             seen.clear()
         seen.update(new)
-        size, taken, groups = sketches_of(list(new.values()))
-        of = dict(zip(new, zip(size.tolist(), taken.tolist(), groups, strict=True), strict=True))
+        size, held, lists = sketches_of(list(new.values()))
+        of = dict(zip(new, zip(size.tolist(), held.tolist(), lists, strict=True), strict=True))
         rows = [of.pop(k, (None, None, None)) for k in keys]
         rest = {n: part.column(n) for n in part.schema.names[2:]}
         if hashed:
             rest["hash"] = pa.array(map(hashed, folded), pa.string())
-        return pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": pa.array(keys, pa.int64()), **{n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("size", pa.int32()), ("taken", pa.int32()), ("groups", pa.binary())))}, **rest})
+        return pa.RecordBatch.from_pydict({"doc_id": part.column(0), "key": pa.array(keys, pa.int64()), **{n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("size", pa.int32()), ("held", pa.int32()), ("lists", pa.binary())))}, **rest})
 
     return run
 
 
 def sketched(documents: DataFrame, *columns: str, hashed: Callable[[str], str | None] | None = None) -> DataFrame:
-    """doc_id, key, size, taken, groups of the documents with text, string columns of theirs, and hash if asked for; texts of nothing but blanks have no row."""
-    schema = "doc_id bigint, key bigint, size int, taken int, groups binary" + "".join(f", {c} string" for c in (*columns, *["hash"] * (hashed is not None)))
+    """doc_id, key, size, held, lists of the documents with text, string columns of theirs, and hash if asked for; texts of nothing but blanks have no row."""
+    schema = "doc_id bigint, key bigint, size int, held int, lists binary" + "".join(f", {c} string" for c in (*columns, *["hash"] * (hashed is not None)))
     return checkpointed(present(documents, *columns).mapInArrow(_sketched(hashed), schema).where("key is not null"))
 
 
 def one_a_key(rows: DataFrame) -> DataFrame:
-    """key, size, taken, groups of each distinct text."""
-    return rows.where("groups is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "taken", "groups")))
+    """key, size, held, lists of each distinct text."""
+    return rows.where("lists is not null").groupBy("key").agg(*(F.first(c).alias(c) for c in ("size", "held", "lists")))
 
 
-def _lists(sizes: np.ndarray, taken: np.ndarray, groups: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(number of the text, name of the list, T of the text) of all lists of each text, in its class and in the one below.
+def _names(lists: list[bytes]) -> np.ndarray:
+    """The names of the lists of several texts, one text after the other."""
+    low = np.frombuffer(b"".join(x[: len(x) // 5 * 4] for x in lists), np.uint32)
+    return np.frombuffer(b"".join(x[len(x) // 5 * 4 :] for x in lists), np.uint8).astype(np.int64) << 32 | low
 
-    A list's name is its class, the number of its group and the group's hash.
-    """
-    flat, own = np.frombuffer(b"".join(groups), np.uint32).astype(np.int64), size_class(sizes)
-    ends = np.cumsum([len(x) // 4 for x in groups])
-    both = reaches_down(sizes, own)
-    at = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    for down in (0, 1):
-        power = own - down
-        n = np.where(both, groups_in_class(power), 0) if down else groups_in_class(power)
+
+def _lists(sizes: np.ndarray, held: np.ndarray, lists: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text, name of the list with its class, lists a text, T of the text) of all lists of each text, in its class and in the one below."""
+    names, own = _names(lists), size_class(sizes)
+    first, below = held & 0xFFFF, held >> 16
+    start = np.cumsum(first + below) - first - below
+    for down, n, at in ((0, first, start), (1, below, start + first)):
         who = np.repeat(np.arange(len(sizes)), n)
-        part = np.arange(len(who)) - (np.cumsum(n) - n)[who]
-        yield who, power[who] << 48 | part << 32 | flat[at[who] + part], least_shared(taken >> 16 if down else taken & 0xFFFF, power, down)
-        at = at + n
+        power = own - down
+        yield who, power[who] << 48 | names[at[who] + np.arange(len(who)) - (np.cumsum(n) - n)[who]], n, least_shared(sizes, n, power, down)
 
 
 def _bucket(lists: np.ndarray, buckets: int) -> np.ndarray:
@@ -232,7 +252,7 @@ def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[np.ndarray] = []
         for batch in batches:
-            parts += [_bucket(lists, buckets) for _, lists, _ in _lists(*_columns(batch))]
+            parts += [_bucket(lists, buckets) for _, lists, _, _ in _lists(*_columns(batch))]
             if sum(map(len, parts)) > COUNTED_AT_ONCE:
                 yield flush(parts)
                 parts = []
@@ -255,7 +275,7 @@ def list_lengths(sketches: DataFrame) -> bytes:
     n, buckets = sketches.count() * BUCKETS_A_TEXT, FEWEST_BUCKETS
     while buckets < min(n, MOST_BUCKETS):
         buckets *= 2
-    parts = sketches.select("key", "size", "taken", "groups").mapInArrow(_counted(buckets), "slot int, places binary, counts binary").groupBy("slot").applyInArrow(_summed, "slot int, counts binary")
+    parts = sketches.select("key", "size", "held", "lists").mapInArrow(_counted(buckets), "slot int, places binary, counts binary").groupBy("slot").applyInArrow(_summed, "slot int, counts binary")
     out = bytearray(buckets)
     for r in parts.toLocalIterator():
         out[r.slot * SLOT : (r.slot + 1) * SLOT] = r.counts
@@ -267,24 +287,21 @@ def _short(lengths: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(lengths, np.uint8)
-        first, hits = (np.array(x) for x in zip(*HITS, strict=True))
         for batch in batches:
-            sizes, taken, groups = _columns(batch)
+            sizes, held, packed = _columns(batch)
             own = size_class(sizes)
-            asked = hits[np.searchsorted(first, np.maximum(sizes, 1), "right") - 1]
-            for who, lists, least in _lists(sizes, taken, groups):
+            for who, lists, n, least in _lists(sizes, held, packed):
                 length = table[_bucket(lists, len(table))]
                 order = np.lexsort((lists, length, who))
                 who, lists, length = who[order], lists[order], length[order]
-                held = np.bincount(who, minlength=len(batch))
-                place = np.arange(len(who)) - (np.cumsum(held) - held)[who]
-                n = np.minimum(asked, least)
+                place = np.arange(len(who)) - (np.cumsum(n) - n)[who]
+                hits = np.minimum(HITS, least)
                 # A list that only one text has is a short one of it, but there is nothing to merge.
-                keep = (place < (held - least + n)[who]) & (length > 1)
+                keep = (place < (n - least + hits)[who]) & (length > 1)
                 who, lists = who[keep], lists[keep]
                 at = pa.array(who)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists, pa.int64()), batch.column(0).take(at), pa.array((sizes << 16 | own << 8 | n)[who], pa.int64()), *(c.take(at) for c in batch.columns[4:])], ["list", "key", "meta", *batch.schema.names[4:]]
+                    [pa.array(lists, pa.int64()), batch.column(0).take(at), pa.array((sizes << 16 | own << 8 | hits)[who], pa.int64()), *(c.take(at) for c in batch.columns[4:])], ["list", "key", "meta", *batch.schema.names[4:]]
                 )
 
     return run
@@ -309,36 +326,38 @@ def short_lists(sketches: DataFrame, more: str = "") -> DataFrame:
     return sketches.mapInArrow(_short(list_lengths(sketches)), "list bigint, key bigint, meta bigint" + more)
 
 
-def _in_class(sizes: np.ndarray, taken: np.ndarray, groups: list[bytes], power: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The groups' hashes and T of texts in a class, their own or the one below."""
-    own = size_class(sizes)
-    down = (own > power).astype(np.int64)
-    start, n = np.where(down, groups_in_class(own), 0).tolist(), groups_in_class(power).tolist()
-    least = np.where(down, least_shared(taken >> 16, power, 1), least_shared(taken & 0xFFFF, power, 0))
-    return [np.frombuffer(g, np.uint32, k, 4 * s) for g, s, k in zip(groups, start, n, strict=True)], least
+def _in_class(sizes: np.ndarray, held: np.ndarray, lists: list[bytes], power: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The names of the lists and T of texts in a class, their own or the one below."""
+    down = size_class(sizes) > power
+    first, below = held & 0xFFFF, held >> 16
+    least = np.where(down, least_shared(sizes, below, power, 1), least_shared(sizes, first, power, 0))
+    at = np.cumsum(first + below) - below
+    at, n = np.where(down, at, at - first), np.where(down, below, first)
+    names = _names(lists)
+    return [names[a : a + k] for a, k in zip(at.tolist(), n.tolist(), strict=True)], least
+
+
+def _in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of the ascending a are in the ascending b, by binary search."""
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
 
 
 def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The candidates that have T of all lists in common, long ones too."""
+    """The candidates that have T of all lists in common, the long ones too."""
     for batch in batches:
         column = lambda name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
         power = np.minimum(size_class(column("size_a")), size_class(column("size_b")))
-        (a, least_a), (b, least_b) = (_in_class(column(f"size_{x}"), column(f"taken_{x}"), batch.column(f"groups_{x}").to_pylist(), power) for x in "ab")
-        both = np.fromiter((np.count_nonzero(x == y) for x, y in zip(a, b, strict=True)), np.int64, len(batch))
+        (a, least_a), (b, least_b) = (_in_class(column(f"size_{x}"), column(f"held_{x}"), batch.column(f"lists_{x}").to_pylist(), power) for x in "ab")
+        both = np.fromiter((_in_both(x, y) for x, y in zip(a, b, strict=True)), np.int64, len(batch))
         yield batch.select(["a", "b"]).filter(pa.array(both >= np.maximum(least_a, least_b)))
 
 
 def candidates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b of the pairs that reach T over all their lists."""
-    one, other = (sketches.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "taken", "groups"))) for x in "ab")
+    one, other = (sketches.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "held", "lists"))) for x in "ab")
     return pairs.join(one, "a").join(other, "b").mapInArrow(_probed, "a bigint, b bigint")
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in pieces(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fold(texts), pa.string())], ["key", "text"])
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Of all distinct sequences in either, the share that is in both; the shorter is probed in the longer."""
     if len(a) > len(b):
@@ -368,11 +387,28 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
+def _wanted(bitmap: bytes):
+    """key, text of the documents that are in the bitmap, folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap, np.uint8)
+        for batch in batches:
+            at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % (8 * len(bits))
+            for _, texts in pieces(iter([batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))])):
+                folded = [x for x in fold(texts) if x]
+                yield pa.RecordBatch.from_arrays([pa.array(map(text_key, folded), pa.int64()), pa.array(folded, pa.string())], ["key", "text"])
+
+    return run
+
+
 def verified(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFrame:
-    """a, b, similarity of the pairs of keys whose texts are at least SIMILARITY alike. rows: doc_id, key, groups."""
+    """a, b, similarity of the pairs of keys whose texts are at least SIMILARITY alike. rows: doc_id, key, lists.
+
+    A bitmap of the documents concerned keeps the other texts out of the shuffle.
+    """
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    first = rows.where("groups is not null").join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    texts = present(documents).join(first, "doc_id").select("key", "text").dropDuplicates(["key"]).mapInArrow(_folded, "key bigint, text string")
+    first = rows.where("lists is not null and doc_id is not null").join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    texts = present(documents).mapInArrow(_wanted(bitmap(first, F.col("doc_id"))), "key bigint, text string").dropDuplicates(["key"])
     with_texts = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     return with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint, similarity double")
 

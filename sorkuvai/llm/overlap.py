@@ -70,7 +70,7 @@ def across_splits(documents: DataFrame) -> DataFrame:
     rows = sketched(documents, "split", hashed=canonical_hash).withColumn("side", kind).where("side is not null")
     sides = rows.groupBy("key").agg(F.bit_or("side").alias("sides"))
     sketches = checkpointed(one_a_key(rows).join(sides, "key"))
-    postings = short_lists(sketches.select("key", "size", "taken", "groups", "sides"), ", sides int")
+    postings = short_lists(sketches.select("key", "size", "held", "lists", "sides"), ", sides int")
     index, train = side(postings.where("sides & 2 > 0"), "a"), side(postings.where("sides & 1 > 0"), "b")
     found = candidates(merged(index, train, F.col("a") != F.col("b")), sketches)
     hashes, wanted = rows.where("hash is not null").select("hash", "key", "side").distinct(), F.col("side")

@@ -140,11 +140,11 @@ def test_near_duplicates_of_the_tables(spark):
     assert {(r.doc_id_a, r.doc_id_b) for r in near.near_duplicates(docs).collect()} == brute_pairs(sorted(rows))
 
 
-def test_groups_in_common_are_at_least_those_asked():
+def test_lists_in_common_are_at_least_those_asked():
     power = np.arange(0, near.SAMPLED_FROM)
     for down, largest in ((0, 2 ** (power + 1) - 1), (1, np.floor(2.5 * 2.0**power).astype(int))):
-        assert (near.least_shared(largest, power, down) >= near.SPARE).all()
-    assert (near.SAMPLED_LEAST > 0).all() and near.SAMPLED_LEAST[0, near.SAMPLE] > 15
+        assert (near.least_shared(largest, near.groups_in_class(power), power, down) >= near.SPARE).all()
+    assert near.LEAST_RUNS[near.LISTS] >= near.HITS
 
 
 def test_overlaps_cross_the_splits(spark):
