@@ -67,7 +67,8 @@ def across_splits(documents: DataFrame) -> DataFrame:
     are looked up in it; pairs within train or within the evaluation splits are never made.
     """
     kind = F.when(split_of() == TRAIN, 1).when(split_of().isin(*EVALUATION), 2)
-    rows = sketched(documents, "split", hashed=canonical_hash).withColumn("side", kind).where("side is not null")
+    documents = documents.where(kind.isNotNull())  # before copies are sketched once
+    rows = sketched(documents, "split", hashed=canonical_hash).withColumn("side", kind)
     sides = rows.groupBy("key").agg(F.bit_or("side").alias("sides"))
     sketches = checkpointed(one_a_key(rows).join(sides, "key"))
     postings = short_lists(sketches.select("key", "size", "held", "lists", "sides"), ", sides int")
