@@ -352,9 +352,30 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(both >= np.maximum(least_a, least_b)))
 
 
+def marked(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose first column is in a bitmap."""
+    at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % (8 * len(bits))
+    return batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
+
+
+def _kept(keys: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(keys, np.uint8)
+        for batch in batches:
+            yield marked(batch, bits)
+
+    return run
+
+
+def keys_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
 def candidates(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b of the pairs that reach T over all their lists."""
-    one, other = (sketches.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "held", "lists"))) for x in "ab")
+    """a, b of the pairs that reach T over all their lists. A bitmap of their keys keeps the other texts' lists out of the shuffle."""
+    pairs = checkpointed(pairs)
+    rows = sketches.select("key", "size", "held", "lists").mapInArrow(_kept(bitmap(keys_in(pairs), F.col("key"))), "key bigint, size int, held int, lists binary")
+    one, other = (rows.select(F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("size", "held", "lists"))) for x in "ab")
     return pairs.join(one, "a").join(other, "b").mapInArrow(_probed, "a bigint, b bigint")
 
 
@@ -387,14 +408,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
-def _wanted(bitmap: bytes):
+def _wanted(documents: bytes):
     """key, text of the documents that are in the bitmap, folded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, np.uint8)
+        bits = np.frombuffer(documents, np.uint8)
         for batch in batches:
-            at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % (8 * len(bits))
-            for _, texts in pieces(iter([batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))])):
+            for _, texts in pieces(iter([marked(batch, bits)])):
                 folded = [x for x in fold(texts) if x]
                 yield pa.RecordBatch.from_arrays([pa.array(map(text_key, folded), pa.int64()), pa.array(folded, pa.string())], ["key", "text"])
 
@@ -406,7 +426,7 @@ def verified(pairs: DataFrame, documents: DataFrame, rows: DataFrame) -> DataFra
 
     A bitmap of the documents concerned keeps the other texts out of the shuffle.
     """
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    keys = keys_in(pairs)
     first = rows.where("lists is not null and doc_id is not null").join(keys, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     texts = present(documents).mapInArrow(_wanted(bitmap(first, F.col("doc_id"))), "key bigint, text string").dropDuplicates(["key"])
     with_texts = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
