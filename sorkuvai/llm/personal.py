@@ -29,18 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import checkpointed
-from .batches import pieces
+from .batches import bitmap, pieces
 from .unify import one_form, present
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 #: A term reveals a kind if such an entity follows at this share of its places, with so many bits more than in general, and was seen this often.
 SHARE, INFORMATION, SEEN = 0.25, 3.0, 2
 TERM_EDGE = " .,:;<>()[]{}\"'=-–"
-#: Bits of the bitmap, for each term and at most. Terms that share a bit cost places counted in vain, never a result.
-BITS_A_TERM, BITS_AT_MOST = 16, 1 << 27
 #: Words and terms that a task remembers at once.
 COUNTED_AT_ONCE = 100_000
-BUCKET = 32_768
 NAME_PARTS_AT_MOST = 1_000_000
 
 TAMIL_DIGITS = str.maketrans("௦௧௨௩௪௫௬௭௮௯", "0123456789")
@@ -63,9 +60,9 @@ ADDRESS = regex.compile(
 )
 ADDRESS_REST = regex.compile(r"(?:, [\p{L}\p{M}]+(?: (?:Main Road|அஞ்சல்|Post))?){0,2}(?: ?- ?| )?(?:\d{6})?")
 STREET_WORDS = tuple(STREETS.replace("\\", "").split("|"))
-#: Every number shape has four digits in a row; these characters may stand around them.
-FOUR_DIGITS = re.compile(r"\d{4}")
-AROUND = 20
+#: A number with what may stand between its digits; every number shape lies in one, but for capitals around it.
+NUMBER_RUN = re.compile(r"[+(]*\d(?:[\d ().\-+/]*\d)?")
+FEWEST_DIGITS, CAPITALS_AROUND = 8, 5
 TAMIL_DIGIT = re.compile("[௦-௯]")
 MAIL_RUN = re.compile(r"[A-Za-z0-9._+\-@]*")
 AT_SIGN = re.compile(r"[\[({<] ?[aA][tT] ?[\])}>]")
@@ -90,8 +87,12 @@ def as_term(word: str) -> str:
 
 def terms_before(text: str, at: int) -> list[str]:
     """The word before a place on its line, and the last two, in lower case without punctuation at their ends."""
-    line = text[max(text.rfind("\n", 0, at) + 1, at - 60) : at]
-    words = [t for w in line.split(" ") if (t := as_term(w))][-2:]
+    start, words = text.rfind("\n", 0, at) + 1, []
+    while at > start and len(words) < 2:
+        cut = max(text.rfind(" ", start, at), start - 1)
+        if t := as_term(text[cut + 1 : at]):
+            words.insert(0, t)
+        at = cut
     return [words[-1], " ".join(words)] if len(words) == 2 else words
 
 
@@ -119,16 +120,16 @@ class Scanner:
 
     def numbers(self, text: str) -> Iterator[tuple[str, int, int, bool]]:
         """(kind, start, end, sure) of what has the shape of a telephone or identity number."""
-        plain, upto = _digits(text), 0
-        for four in FOUR_DIGITS.finditer(plain):
-            if four.start() < upto:
+        plain = _digits(text)
+        for run in NUMBER_RUN.finditer(plain):
+            start, end = run.span()
+            if not plain[start - 1 : start].isupper() and (end - start < FEWEST_DIGITS or sum(map(str.isdigit, run.group())) < FEWEST_DIGITS):
                 continue
-            start, end = max(upto, four.start() - AROUND), four.end() + AROUND
+            # Two characters more on either side, for what must not stand there.
+            start, end = max(0, start - CAPITALS_AROUND - 2), end + 3
             for kind, sure, shape in (("phone", True, PHONE_SURE), ("phone", False, PHONE_LIKE), ("id_number", False, ID_LIKE)):
                 for m in shape.finditer(plain, start, end):
-                    if m.end() < end or m.end() == len(plain):  # else it goes on beyond what was looked at
-                        yield kind, m.start(), m.end(), sure
-                        upto = max(upto, m.end())
+                    yield kind, m.start(), m.end(), sure
 
     def is_name(self, word: str) -> bool:
         return word.lower() in self.parts
@@ -141,13 +142,16 @@ def _whole(text: str, start: int, end: int) -> bool:
     run = MAIL_RUN.match(text, end)
     if run.end() > end and "@" in run.group() or MAIL_SIGNS.match(text, run.end()):
         return False
-    before = text[max(0, start - 40) : start].rpartition(" ")[2]
-    return "@" not in before
+    return text.find("@", text.rfind(" ", 0, start) + 1, start) < 0
 
 
 def _with_initials(text: str, start: int) -> int:
-    m = BEFORE_NAME.search(text, max(0, start - 16), start)
-    return m.start() if m else start
+    back = 16
+    while m := BEFORE_NAME.search(text, max(0, start - back), start):
+        if start - back <= 0 or m.start() - (start - back) > 4:
+            return m.start()
+        back *= 2  # the initials may go on before
+    return start
 
 
 def _terms(parts: list[str]):
@@ -172,19 +176,6 @@ def _counts(found: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([k for _, k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "kind", "n"])
 
 
-def _bitmap(terms: DataFrame) -> bytes:
-    """A bit for each hash of a term, little end first; as many as a power of two, by the number of terms."""
-    bits = BUCKET
-    while bits < min(BITS_AT_MOST, BITS_A_TERM * terms.count()):
-        bits *= 2
-    at = F.pmod(F.xxhash64("term"), F.lit(bits)) + 1  # Spark's first position is 1
-    parts = terms.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("part"))
-    out = bytearray(bits // 8)
-    for r in parts.collect():
-        out[(r.bucket - 1) * BUCKET // 8 : r.bucket * BUCKET // 8] = r.part
-    return bytes(out)
-
-
 def _in_bitmap(bitmap: bytes, term: str) -> bool:
     at = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42) & (len(bitmap) * 8 - 1)  # as Spark's xxhash64
     return bitmap[at >> 3] >> (at & 7) & 1 > 0
@@ -236,8 +227,8 @@ def revealing_terms(documents: DataFrame, name_parts: DataFrame) -> list[tuple[s
     terms = before.where("term <> ''")
     if not of_kind or terms.isEmpty():
         return []
-    bitmap = _bitmap(terms.select("term").distinct())
-    places = checkpointed(texts.mapInArrow(_places(bitmap), "term string, kind string, n bigint").groupBy("term").agg(F.sum("n").alias("places")))
+    marked = bitmap(terms.select("term").distinct(), F.xxhash64("term"))
+    places = checkpointed(texts.mapInArrow(_places(marked), "term string, kind string, n bigint").groupBy("term").agg(F.sum("n").alias("places")))
     words = max(1, places.where("term = ''").agg(F.sum("places").alias("n")).first().n or 0)
     share = F.least(F.lit(1.0), F.col("n") / F.greatest(F.lit(1), F.coalesce("places", F.lit(0))))
     general = F.create_map(*(F.lit(x) for k, n in of_kind.items() for x in (k, n / words)))[F.col("kind")]
@@ -291,11 +282,11 @@ class Finder:
                     yield *span, "person"
             if mark & STREET_MARK and start >= upto:
                 plain = plain or _digits(text)
-                left, right = max(plain.rfind("\n", 0, start) + 1, start - 90, upto), plain.find("\n", end)
-                for m in ADDRESS.finditer(plain, left, min(end + 30, right if right >= 0 else len(plain))):
+                upto = plain.find("\n", end)
+                upto = upto if upto >= 0 else len(plain)
+                for m in ADDRESS.finditer(plain, plain.rfind("\n", 0, start) + 1, upto):
                     rest = ADDRESS_REST.match(plain, m.end())
-                    upto = rest.end() if rest else m.end()
-                    yield m.start(), upto, "address"
+                    yield m.start(), rest.end() if rest else m.end(), "address"
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the details, apart from each other and in order."""
