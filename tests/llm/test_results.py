@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sorkuvai.llm import language, leak, mixing, near, overlap, packing, personal, quality, tokens, unify
+from sorkuvai.llm import batches, language, leak, mixing, near, overlap, packing, personal, quality, tokens, unify
 from sorkuvai.operators.bpe import Bpe, decode
 
 DATA = "/root/testdata/sf0.001"
@@ -278,26 +278,37 @@ def test_language_of_held_out_samples(spark):
     model = language.Classifier([r for k, r in enumerate(rows) if k % 3])
     held = [r for k, r in enumerate(rows) if not k % 3]
     best, _ = model.decide([language.WORD.findall(x.lower()) for _, x in held])
-    right = sum(model.classes[k].split("-")[0] == lang for k, (lang, _) in zip(best, held, strict=True))
+    right = sum(model.languages[k] == lang for k, (lang, _) in zip(best, held, strict=True))
     assert right >= 0.97 * len(held)
 
 
 def test_mixed_lines_and_segments(spark):
     model = language.Classifier([(r.lang, r.text) for r in table(spark, "lang_samples").collect()])
     text = "நான் office-ல report பண்ணலாம் இன்னைக்கு meeting\nThe forest guard repaired the narrow kitchen during the festival.\nmakkal puthiya paalaththai katta muyanranar"
-    assert [x[2] for x in language.line_languages([text], model)[0]] == ["ta", "en", "ta"]
+    assert [x[2] for x in language.line_languages([text], model)[0][0]] == ["ta", "en", "ta"]
+    text = "The forest guard repaired the narrow kitchen during the festival. La maison est près de la rivière et les enfants jouent dans le jardin. The teacher wrote a letter."
+    segments = language.segments_of(language.line_languages([text], model)[0][1])
+    assert [x["lang"] for x in segments] == ["en", "fr", "en"] and text[segments[1]["start"] :].startswith("La maison") and sum(x["length"] for x in segments) == len(text)
+
+
+def test_more_classes_than_sixteen():
+    rows = [(f"l{k}", " ".join(chr(0x4E00 + 40 * k + j) * 3 + chr(0x4E00 + 40 * k + (j * 7) % 30) for j in range(30))) for k in range(20)]
+    model = language.Classifier(rows)
+    best, sure = model.decide([language.WORD.findall(x) for _, x in rows])
+    assert [model.languages[k] for k in best] == [lang for lang, _ in rows] and (sure > 0.5).all()
 
 
 def test_codewords_are_far_apart():
-    codes = language.code_table(10)
+    codes = language.code_table(17)
     assert min((a != b).sum() for k, a in enumerate(codes) for b in codes[k + 1 :]) >= 8
 
 
 @pytest.mark.parametrize(
     ("text", "reason"),
     [
-        ("• one\n• two\n• three\n• four", "bullets"), ("a | b | c\nd | e | f", "table"), ("12 34 567\n89 1011 12", "numbers"), ("The lamp is here.\n" * 6, "repeated"),
-        ("lamp, roof, tank, boat, song, well, map, fence, loom, road", "word heap"), ("#@!$ %^&* ~~~ ab", "symbols"),
+        ("• one\n• two\n• three\n• four", "gopher bullets"), ("a | b | c\nd | e | f", "own table"), ("12 34 567\n89 1011 12", "own numbers"), ("12 34 567\n89 1011 12", "gopher words without letters"),
+        ("The lamp is here.\n" * 6, "gopher duplicate lines"), ("The lamp is here.\n" * 6, "gopher duplicate characters"), ("lamp, roof, tank, boat, song, well, map, fence, loom, road", "own word heap"),
+        ("#@!$ %^&* ~~~ ab", "own special characters"), ("# one # two # three", "gopher symbols"), ("\n".join(f"the w{k}..." for k in range(12)), "gopher ellipses"), ("ÂfÎzØ ÎxÓ{ÛzÞ~ gÜxÚzØÕ~ÕwÞ~ ÂßÎ~Î ÂÕ~ÕxÓØ~", "own garbled"),
     ],
 )
 def test_unnatural(text, reason):
@@ -316,8 +327,8 @@ VERSE = "அந்த ஊரில் ஒரு\nபெரிய மரம் 
 @pytest.mark.parametrize(
     ("text", "reason"),
     [
-        ("Home\nAbout us\nContact\nLogin", "short lines"), ("Red lamps\nBlue pots\nOld maps\nNew ropes\nBig drums", "short lines"), (" ".join(ITEMS), "word heap"), ("\n".join(" ".join(ITEMS[k : k + 5]) for k in (0, 5, 10, 15)), "word heap"),
-        ("a b c d e f g h i j", "word length"), ("QmFzZTY0IGRhdGEgaGVyZQ aW4gYSBsb25nIGR1bXAgb2Y bm90aGluZyBidXQgbGV0dGVycw dGhhdCBubyBvbmUgY2FuIHJlYWQ b3IgZXZlciB3aWxsIGFnYWlu", "word length"),
+        ("Home\nAbout us\nContact\nLogin", "fineweb lines"), ("Red lamps\nBlue pots\nOld maps\nNew ropes\nBig drums", "fineweb lines"), (" ".join(ITEMS), "gopher stop words, fineweb line ends"), ("\n".join(" ".join(ITEMS[k : k + 5]) for k in (0, 5, 10, 15)), "gopher stop words, fineweb line ends"),
+        ("a b c d e f g h i j", "gopher word length"), ("QmFzZTY0IGRhdGEgaGVyZQ aW4gYSBsb25nIGR1bXAgb2Y bm90aGluZyBidXQgbGV0dGVycw dGhhdCBubyBvbmUgY2FuIHJlYWQ b3IgZXZlciB3aWxsIGFnYWlu", "gopher word length"),
     ],
 )
 def test_unnatural_by_words_and_lines(text, reason):
@@ -326,7 +337,27 @@ def test_unnatural_by_words_and_lines(text, reason):
 
 @pytest.mark.parametrize("text", [VERSE, "\n".join(["我们昨天去了河边的老磨坊", "那里没有人", "水很清", "我们坐了很久", "天黑才回家"] * 5), "so we went down to the well and the water was cold and she said that it was good and we sat there until the evening came " * 2])
 def test_natural_without_line_ends(text):
-    assert not {"word heap", "short lines", "word length"} & set(quality.judge(text, frozenset({"the", "and", "we", "it", "to", "அந்த", "ஒரு"}))[1])
+    assert not quality.BY_WORDS & set(quality.judge(text, frozenset({"the", "and", "we", "it", "to", "அந்த", "ஒரு"}))[1])
+
+
+def plain_statistics(text, common):
+    words, lines = text.split(), [x for x in map(str.strip, text.split("\n")) if x]
+    bare, n, seen = [w.lower().strip(quality.STRIP) for w in words], len(words), Counter(lines)
+    return {
+        "words": n, "mean_word_length": sum(map(len, words)) / n, "words_with_letter": sum(any(c.isalpha() for c in w) for w in words) / n, "common_words": sum(w in common for w in bare if w),
+        "ends_in_punctuation": sum(x[-1] in quality.ENDS for x in lines) / len(lines), "duplicate_lines": 1 - len(seen) / len(lines), "duplicate_characters": sum(len(x) * (k - 1) for x, k in seen.items()) / sum(map(len, lines)),
+        "short_lines": sum(len(x) < 30 for x in lines) / len(lines), "lines_a_word": len(lines) / n, "distinct_share": len(set(bare)) / n, "comma_share": text.count(",") / n,
+        "bullet_lines": sum(x[0] in quality.BULLETS and (len(x) == 1 or x[1].isspace()) for x in lines) / len(lines), "ellipsis_lines": sum(x.endswith(("...", "…")) for x in lines) / len(lines),
+    }
+
+
+def test_statistics_agree_with_plain_ones(spark):
+    texts = [r.text for r in table(spark, "documents").where("length(text) > 0").collect()] + ["x", " \n a\n\na ", "...\n…", "•\n- b", "İstanbul ΑΣ, ſ"]
+    common = {r.word.lower() for r in table(spark, "common_words").where("word is not null").collect()}
+    got = quality.statistics(texts, quality.word_hashes(sorted(common)))
+    for k, x in enumerate(texts):
+        for name, value in plain_statistics(x, common).items():
+            assert got[name][k] == pytest.approx(value), (name, x[:60])
 
 
 REVEALING = [("phone", "phone", 1.0, 9.0), ("id is", "id_number", 1.0, 9.0), ("ms", "person", 1.0, 9.0), ("திருமதி", "person", 1.0, 9.0)]
@@ -339,6 +370,8 @@ REVEALING = [("phone", "phone", 1.0, 9.0), ("id is", "id_number", 1.0, 9.0), ("m
         ("call +91-55274-34828 now", "call [PHONE] now"), ("Phone: 5031167863.", "Phone: [PHONE]."), ("The count was 5031167863.", "The count was 5031167863."), ("File 049585/844/2018, ISBN 978-0-2480-8266-0", "File 049585/844/2018, ISBN 978-0-2480-8266-0"),
         ("Her voter ID is VCY0419961", "Her voter ID is [ID_NUMBER]"), ("at Door No: 155, Casbay Lane, Bamis 671024 please", "at [ADDRESS] please"), ("பொருளை கதவு எண் 40/5, வரகந்தோப்பு தெரு, சாமைவாடி - 619455 க்கு", "பொருளை [ADDRESS] க்கு"),
         ("Ms. K. Unknownname spoke. Madinaran came.", "Ms. [PERSON] spoke. [PERSON] came."), ("திருமதி ப. கயல்நலாழி நன்றி கூறினார்", "திருமதி [PERSON] நன்றி கூறினார்"), ("கைபேசி +91 ௫௧௧௭௭ ௯௧௧௩௬", "கைபேசி [PHONE]"),
+        ("call +91 123 456 789, (044) 234 567 or +91 (552) 748-282 now", "call [PHONE], [PHONE] or [PHONE] now"), ("9-12, 1990-2018 and 12.05.2019 of 3 455 200", "9-12, 1990-2018 and 12.05.2019 of 3 455 200"),
+        ("near Door No: 155, " + "Kamarajarnagarvilvanathanpuram" * 4 + " Street, Bamis 671024", "near [ADDRESS]"), ("by " + "K. R. " * 12 + "Madinaran.", "by [PERSON]."),
     ],
 )
 def test_personal_details(text, out):
@@ -377,10 +410,9 @@ def plain_revealing_terms(texts, names):
     return out
 
 
-@pytest.mark.parametrize("bits", [personal.BUCKET, 1 << 27])
+@pytest.mark.parametrize("bits", [batches.BUCKET, 1 << 27])
 def test_any_number_of_terms(spark, monkeypatch, bits):
-    monkeypatch.setattr(personal, "TERMS_AT_MOST", 10, raising=False)
-    monkeypatch.setattr(personal, "BITS_AT_MOST", bits)
+    monkeypatch.setattr(batches, "BITS_AT_MOST", bits)
     rows = [(k, f"Call w{k // 3}x on 50{k:08d} after six, and wait. The sum was {k}. Signed by Ms. {'Madinaran' if k % 2 else 'Otherwise'} there, w{k // 2}x too.") for k in range(300)]
     rows += [(900 + r.doc_id, r.text) for r in table(spark, "documents").where("length(text) > 0").select("doc_id", "text").collect()]
     docs, names = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([("Madinaran",)], "name_part string")
