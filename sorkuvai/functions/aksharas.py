@@ -46,8 +46,9 @@ def akshara_table(documents: DataFrame) -> DataFrame:
 
 
 def akshara_stats(documents: DataFrame) -> DataFrame:
-    """type, total, distinct_units."""
-    return akshara_table(documents).groupBy("type").agg(F.count("*").alias("total"), F.countDistinct("text").alias("distinct_units"))
+    """type, total, distinct_units. Units are counted first, so that each kind of unit is classified once."""
+    n = documents.select(F.explode(aksharas(F.col("text"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
+    return n.groupBy(kind(F.col("unit")).alias("type")).agg(F.sum("n").alias("total"), F.count("*").alias("distinct_units"))
 
 
 def _column(spark: SparkSession, values, name: str) -> DataFrame:

@@ -81,6 +81,20 @@ def is_special(token: Column) -> Column:
     return token.startswith("<") & token.endswith(">")
 
 
+#: Kinds of Tamil characters by name.
+CHARACTER_KINDS = {"vowel": P.VOWELS, "consonant": P.CONSONANTS, "sign": P.VOWEL_SIGNS, "pulli": P.PULLI, "grantha": P.GRANTHA, "aytham": P.AYTHAM}
+
+
+def is_kind(character: Column, kind: str) -> Column:
+    """Whether one character is of a kind of CHARACTER_KINDS, or with `tamil` of the script at all."""
+    return character.rlike(rf"^[{TAMIL.letters if kind == 'tamil' else CHARACTER_KINDS[kind]}]\z")
+
+
+def is_invalid_boundary(word: Column, at: Column) -> Column:
+    """Whether a cut after `at` characters, inside the word, would part a mark from its letter."""
+    return (at > 0) & (at < F.length(word)) & starts_with_mark(F.substring(word, at + 1, F.lit(1)))
+
+
 def starts_with_mark(text: Column) -> Column:
     """Whether a piece begins with a sign that belongs to a letter before it."""
     return text.rlike(r"^[\p{Mn}\p{Mc}]")

@@ -29,6 +29,24 @@ def script_pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SCRIPT_SPLIT[:-1] + rf"|[{WS}_\p{{N}}]+?(?=\p{{Nd}}|\p{{L}}|[^{WS}\p{{L}}\p{{N}}_]|\z))"), F.lit(1))
 
 
+#: Bytes that are shown as the character of their number; the others as those from U+0100 on, in order.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+HIDDEN = [b for b in range(256) if b not in SHOWN]
+#: Contractions, words and numbers with the blank before them, other signs, blanks.
+BYTE_LEVEL_SPLIT = rf"('s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+)"
+
+
+def byte_level(text: Column) -> Column:
+    """The UTF-8 bytes of a text, each as a character that can be seen. As Latin-1 every byte is a character, so that this stays in the JVM."""
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "".join(map(chr, HIDDEN)), "".join(chr(256 + k) for k in range(len(HIDDEN))))
+
+
+def byte_level_pieces(pieces: Column, split: bool = True) -> Column:
+    """Pieces as bytes, cut before as a byte-level tokenizer cuts them, or not."""
+    each = F.flatten(F.transform(pieces, lambda x: F.regexp_extract_all(x, F.lit(BYTE_LEVEL_SPLIT), F.lit(1)))) if split else pieces
+    return F.transform(each, byte_level)
+
+
 def at_marker(text: Column, marker: str = " @@ ", keep: bool = True) -> Column:
     """Cut at a marker, which stays as a piece of its own or goes."""
     if not keep:

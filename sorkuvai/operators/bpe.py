@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD_START = "▁"
 WORDS_KEPT = 300_000
@@ -96,21 +97,23 @@ def _encoded(vocab: list[str], merges: list[tuple[str, str]]):
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
-                cut = [bpe.encode(x or "") for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cut, pa.list_(pa.string())), pa.array(map(decode, cut), pa.string())], ["doc_id", "pieces", "decoded"])
+                cut = [bpe.encode(x or "") for x in part.column(part.schema.get_field_index("text")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cut, pa.list_(pa.string())), pa.array(map(decode, cut), pa.string())], [*part.schema.names, "pieces", "decoded"])
 
     return run
 
 
 def encoded(documents: DataFrame, vocab: DataFrame, merges: DataFrame) -> DataFrame:
-    """doc_id, pieces, decoded of every document; a null text has no pieces."""
-    return documents.select("doc_id", "text").mapInArrow(_encoded(*tables(vocab, merges)), "doc_id bigint, pieces array<string>, decoded string")
+    """The documents' columns, pieces, decoded; a null text has no pieces. Columns named so in the documents are replaced."""
+    rest = documents.drop("pieces", "decoded")
+    schema = T.StructType([*rest.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("decoded", T.StringType())])
+    return rest.mapInArrow(_encoded(*tables(vocab, merges)), schema)
 
 
 def token_table(documents: DataFrame, vocab: DataFrame, merges: DataFrame) -> DataFrame:
     """doc_id, pos, token_id, piece; token_id is null for bytes that the vocabulary has no token for."""
     ids = vocab.where("token is not null").groupBy(F.col("token").alias("piece")).agg(F.min("token_id").alias("token_id"))
-    rows = encoded(documents, vocab, merges).select("doc_id", F.posexplode("pieces").alias("pos", "piece"))
+    rows = encoded(documents.select("doc_id", "text"), vocab, merges).select("doc_id", F.posexplode("pieces").alias("pos", "piece"))
     return rows.join(ids, "piece", "left").select("doc_id", "pos", "token_id", "piece")
 
 

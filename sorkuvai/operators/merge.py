@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import line_reason
-from ..functions.text import normalize_basic, ustrip
+from ..functions.profiles import LATIN, TAMIL
+from ..functions.text import count, normalize_basic, ustrip
 from .dedup import first_wins, line_key
 from .ordering import under_budget
 from .storage import checkpointed
@@ -88,6 +89,25 @@ def corpus_estimate(lines: DataFrame, inside: str) -> DataFrame:
     return lines.agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count("*").alias("lines"), F.sum(F.regexp_count("line", F.lit(f"[{inside}]"))).alias("script_characters"))
 
 
+def validation(lines: DataFrame, inside: str = TAMIL.letters) -> DataFrame:
+    """lines, characters, mean_length, script_share and latin_share of the characters, over all lines."""
+    n = lines.where("line is not null").select(F.length("line").alias("n"), count(F.col("line"), inside).alias("own"), count(F.col("line"), LATIN).alias("latin"))
+    total = n.agg(F.count("*").alias("lines"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.sum("own").alias("own"), F.sum("latin").alias("latin"))
+    share = lambda x: F.coalesce(F.col(x) / F.nullif("characters", F.lit(0)), F.lit(0.0))
+    return total.select("lines", "characters", (F.col("characters") / F.greatest("lines", F.lit(1))).alias("mean_length"), share("own").alias("script_share"), share("latin").alias("latin_share"))
+
+
+def first_lines(lines: DataFrame, order: list[str], n: int = 5, longest: int = 100) -> DataFrame:
+    """line: the first n lines in the order, each cut at `longest` characters."""
+    return lines.where("line is not null").orderBy(*order).limit(n).select(F.substring("line", 1, longest).alias("line"))
+
+
+def sources_under_budget(documents: DataFrame, sources: list[str], budget: int) -> DataFrame:
+    """The documents of the named sources, one source after the other and by doc_id, until their bytes fill the budget; the one that crosses it is the last."""
+    place = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+    return under_budget(documents.where(F.col("source").isin(*sources)).withColumn("_place", place), ["_place", "doc_id"], F.octet_length("text"), budget).drop("_place")
+
+
 def file_summary(lines: DataFrame) -> DataFrame:
     """file_name, megabytes, lines."""
     return lines.groupBy("file_name").agg((F.sum(F.octet_length("line") + 1) / 1e6).alias("megabytes"), F.count("*").alias("lines"))

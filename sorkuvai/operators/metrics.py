@@ -15,12 +15,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[{WS}]*[^{WS}]+"))
 
 
+def size_of(rows: DataFrame, tokens: str) -> Column:
+    """How many tokens a row has, of an array of them or a column of their number."""
+    return F.size(tokens) if dict(rows.dtypes)[tokens].startswith("array") else F.col(tokens)
+
+
 def fertility(rows: DataFrame, *by: str, tokens: str = "pieces") -> DataFrame:
     """avg_fertility (all tokens over all words), median_fertility (the upper one), words, tokens of the rows with words.
 
-    rows: text and an array of pieces. The median is taken by rank over the counts of equal values.
+    rows: text and an array of pieces, or their number. The median is taken by rank over the counts of equal values.
     """
-    sized = rows.select(*by, word_count(F.col("text")).alias("_w"), F.size(tokens).alias("_t"))
+    sized = rows.select(*by, word_count(F.col("text")).alias("_w"), size_of(rows, tokens).alias("_t"))
     counts = sized.where("_w > 0").groupBy(*by, "_w", "_t").agg(F.count("*").alias("_c"))  # rows of one size count once
     counts = counts.groupBy(*by, (F.col("_t") / F.col("_w")).alias("_f")).agg(F.sum("_c").alias("_c"), F.sum(F.col("_t") * F.col("_c")).alias("_t"), F.sum(F.col("_w") * F.col("_c")).alias("_w"))
     if by:
@@ -36,7 +41,7 @@ def fertility(rows: DataFrame, *by: str, tokens: str = "pieces") -> DataFrame:
 
 def compression(rows: DataFrame, *by: str, tokens: str = "pieces") -> DataFrame:
     """bytes, tokens, bytes_per_token."""
-    out = rows.groupBy(*by).agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.size(tokens)).alias("tokens"))
+    out = rows.groupBy(*by).agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(size_of(rows, tokens)).cast("bigint").alias("tokens"))
     return out.withColumn("bytes_per_token", F.col("bytes") / F.greatest("tokens", F.lit(1)))
 
 
@@ -46,6 +51,12 @@ def roundtrip(rows: DataFrame) -> DataFrame:
     return rows.where("text is not null").agg(F.count("*").alias("documents"), F.avg(same.cast("int")).alias("accuracy"))
 
 
+def roundtrip_failures(rows: DataFrame, n: int = 5, longest: int = 200) -> DataFrame:
+    """doc_id, text, decoded of the first n texts that don't come back, each cut at `longest` characters."""
+    bad = rows.where(F.regexp_replace(ustrip(F.col("text")), f"[{WS}]+", " ") != ustrip(F.col("decoded")))
+    return bad.orderBy("doc_id", "text").limit(n).select("doc_id", *(F.substring(c, 1, longest).alias(c) for c in ("text", "decoded")))
+
+
 def coverage(units: DataFrame, vocab: DataFrame, unit: str = "syllable", token: str = "token") -> DataFrame:
     """total, covered, share: units that are a token by themselves, with or without the mark of a word's start."""
     tokens = vocab.select(clean_piece(F.col(token)).alias(unit)).where(F.length(unit) > 0).distinct().withColumn("_in", F.lit(1))
@@ -73,10 +84,13 @@ def boundary_accuracy(rows: DataFrame) -> DataFrame:
     return rows.select("word", F.when(F.size("expected") > 1, hit / F.size(F.array_distinct(boundaries(F.col("expected"))))).otherwise(whole).alias("accuracy"))
 
 
-def leakage(vocab: DataFrame, token: str = "token") -> DataFrame:
-    """The tokens that hold letters of the script and Latin ones; special tokens don't count."""
+def leakage(vocab: DataFrame, token: str = "token", strict: bool = False) -> DataFrame:
+    """The tokens that hold letters of the script and Latin ones; special tokens don't count. strict: digits of any script beside the script's letters leak too."""
     piece = clean_piece(F.col(token))
-    return vocab.where(~predicates.is_special(F.col(token)) & predicates.is_cross_script(piece))
+    leaks = predicates.is_cross_script(piece)
+    if strict:
+        leaks = leaks | predicates.has(piece, TAMIL.letters) & piece.rlike(r"\p{Nd}")
+    return vocab.where(~predicates.is_special(F.col(token)) & leaks)
 
 
 def composition(vocab: DataFrame, token: str = "token") -> DataFrame:
@@ -102,7 +116,10 @@ def shredding(tokens: DataFrame, token: str = "piece") -> DataFrame:
     return tokens.agg(F.count("*").alias("tokens"), F.sum(bad).alias("shredded")).withColumn("share", F.col("shredded") / F.greatest("tokens", F.lit(1)))
 
 
-def unigram_counts(tokens: DataFrame, token: str = "piece") -> DataFrame:
+def unigram_counts(tokens: DataFrame, token: str = "piece", most: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """token, n of all tokens, or of the `most` first ones in an order that tells any two rows apart."""
+    if most is not None:
+        tokens = running(tokens.select(token, *order), order, _place=F.lit(1)).where(F.col("_place") < most)
     return tokens.groupBy(F.col(token).alias("token")).agg(F.count("*").alias("n"))
 
 
@@ -125,18 +142,26 @@ def unigram_perplexity(train: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def bigram_perplexity(train: DataFrame, held_out: DataFrame) -> DataFrame:
-    """perplexity, tokens of the add-one bigram model; both: doc_id, pos, piece."""
+    """perplexity, tokens of the add-one bigram model; both: rows with an array of pieces, whose neighbours are paired where they are."""
 
     def pairs(t: DataFrame) -> DataFrame:
-        return t.withColumn("next", F.lead("piece").over(Window.partitionBy("doc_id").orderBy("pos"))).where("next is not null").groupBy("piece", "next").agg(F.count("*").alias("n"))
+        two = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda x, k: F.struct(x.alias("piece"), F.get("pieces", k + 1).alias("next")))
+        return t.where(F.size("pieces") > 1).select(F.explode(two).alias("p")).groupBy("p.piece", "p.next").agg(F.count("*").alias("n"))
 
-    pair, size = pairs(train), train.agg(F.countDistinct("piece").alias("_v"))
+    pair, size = pairs(train), train.select(F.explode("pieces").alias("piece")).agg(F.countDistinct("piece").alias("_v"))
     first = pair.groupBy("piece").agg(F.sum("n").alias("_first"))
     rows = pairs(held_out).withColumnRenamed("n", "_m").join(pair, ["piece", "next"], "left").join(first, "piece", "left").join(F.broadcast(size))
     log_p = F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("_first", F.lit(0)) + F.col("_v") + 1))
     return rows.agg(F.exp(-F.sum(F.col("_m") * log_p) / F.sum("_m")).alias("perplexity"), F.sum("_m").alias("tokens"))
 
 
+def token_stats(rows: DataFrame, *by: str, tokens: str = "pieces") -> DataFrame:
+    """tokens_per_word, bytes_per_token, bits_per_token (eight for each byte) of rows with text."""
+    n = rows.groupBy(*by).agg(F.sum(size_of(rows, tokens)).alias("_t"), F.sum(word_count(F.col("text"))).alias("_w"), F.sum(F.octet_length("text")).alias("_b"))
+    each = F.col("_b") / F.greatest("_t", F.lit(1))
+    return n.select(*by, (F.col("_t") / F.greatest("_w", F.lit(1))).alias("tokens_per_word"), each.alias("bytes_per_token"), (each * 8).alias("bits_per_token"))
+
+
 def bits_per_character(loss: Column, bytes_per_token: Column) -> Column:
     """A model's loss a token (natural logarithm) as bits a byte."""
     return loss * F.lit(1.4426950408889634) / bytes_per_token

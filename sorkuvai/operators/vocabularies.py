@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import has, is_special
 from ..functions.profiles import TAMIL, ScriptProfile
 from ..functions.text import clean_piece
+from .ordering import running
 
 
 def script_tokens(vocab: DataFrame, script: ScriptProfile = TAMIL) -> DataFrame:
@@ -31,11 +32,11 @@ def new_tokens(candidates: DataFrame, base: DataFrame) -> DataFrame:
 def joined(base: DataFrame, candidates: DataFrame) -> DataFrame:
     """token_id, token, added: the base's tokens, then the new ones in the order of their text.
 
-    A number for each new token is taken by rank, so new ones are meant to be a vocabulary, not a corpus.
+    New ones are numbered range by range, so that any number of them spreads over the tasks.
     """
     last = base.agg(F.coalesce(F.max("token_id"), F.lit(-1)).alias("last"))
-    fresh = new_tokens(candidates, base).withColumn("k", F.row_number().over(Window.orderBy("token"))).join(F.broadcast(last))
-    fresh = fresh.select((F.col("last") + F.col("k")).alias("token_id"), "token", F.lit(True).alias("added"))
+    fresh = running(new_tokens(candidates, base), ["token"], k=F.lit(1)).join(F.broadcast(last))  # one row
+    fresh = fresh.select((F.col("last") + F.col("k") + 1).cast("int").alias("token_id"), "token", F.lit(True).alias("added"))
     return base.select("token_id", "token", F.lit(False).alias("added")).unionByName(fresh)
 
 
@@ -66,6 +67,15 @@ def with_noise(vectors: DataFrame, deviation: float = 0.02, seed: int = 42) -> D
     return vectors.withColumn("embedding", F.transform("embedding", lambda x, k: x + deviation * normal(k)))
 
 
+def random_embeddings(tokens: DataFrame, embeddings: DataFrame, seed: int = 42) -> DataFrame:
+    """token, embedding: normal numbers with the mean and deviation that each dimension has in the given vectors."""
+    dims = embeddings.select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    shape = dims.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "sd"))).alias("dims"))  # a row of as many entries as dimensions
+    zero = tokens.select("token").distinct().join(shape).select("token", "dims", F.transform("dims", lambda d: F.lit(0.0)).alias("embedding"))
+    noisy = with_noise(zero, 1.0, seed)
+    return noisy.select("token", F.zip_with("embedding", "dims", lambda x, d: d["mean"] + x * d["sd"]).alias("embedding"))
+
+
 def norm(vector):
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 

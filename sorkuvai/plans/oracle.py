@@ -7,7 +7,7 @@ from ..functions import profiles as P
 from ..functions.predicates import CONSECUTIVE
 from ..operators.merge import PRIORITY, THRESHOLDS
 from ..operators.metrics import TARGETS
-from .queries import GOLD
+from .queries import GOLD, LINKS
 
 T, WS, LATIN = P.TAMIL.letters, P.WS, P.LATIN
 ORACLE: dict[str, str] = {}
@@ -102,7 +102,8 @@ def reason(x: str, least: str = "0.6") -> str:
 
 
 JUDGED = f"judged as (select *, {reason('line')} as reject_reason from (select source, doc_id, line_no, {basic('line')} as line from lines))"
-GOLD_LINES = "gold as (select line_id as line_no, max(domain) as domain, max(file_name) as file_name, max(line) as line from merge_gold group by line_id)"
+GOLD_LINES = """gold as (select line_id as line_no, domain, file_name, line from (select *, row_number() over (partition by line_id
+    order by merged_at desc nulls last, encode(line) desc nulls last, encode(domain) desc nulls last, encode(file_name) desc nulls last) as latest from merge_gold where line_id is not null) where latest = 1)"""
 RANK = "case " + " ".join(f"when domain = '{d}' then {k}" for k, d in enumerate(PRIORITY)) + f" else {len(PRIORITY)} end"
 ORDER = "priority, domain nulls first, file_name nulls first, line_no"
 MERGED = f"""{GOLD_LINES}, clean as (select *, {reason('line')} as reject_reason, {RANK} as priority from (select line_no, domain, file_name, {basic('line')} as line from gold)),
@@ -141,7 +142,8 @@ for _name, _f in (("basic", basic), ("unicode_only", unicode_only), ("deep", dee
 ORACLE["q_isolate_scripts"] = f"select doc_id, length(t) as n, md5(t) as hash from (select doc_id, {isolate('text')} as t from ({DOCS}))"
 ORACLE["q_strip_links"] = f"select doc_id, md5(t) as hash from (select doc_id, text, {no_links('text')} as t from ({DOCS})) where t <> text"
 ORACLE["q_numerals"] = f"select doc_id, md5(translate(text, '{P.TAMIL_DIGITS}', '0123456789')) as arabic, md5(translate(text, '0123456789', '{P.TAMIL_DIGITS}')) as tamil from ({DOCS})"
-_tidy = strip(sub("text", (r"(?i)\[\[Category:.*?\]\]", ""), (r"\[\[பகுப்பு:.*?\]\]", ""), (r"\{\{[^}]*\}\}", ""), (r"(?s)\{\|.*?\|\}", ""), (r"==+\s*", "\n"), (r"\s*==+", "\n"), (r"\n{3,}", "\n\n")))
+_flat = sub("text", *[(r"\{\{[^{}]*\}\}", "")] * 4)  # templates from the inside out, as deep as these texts have them
+_tidy = strip(sub(_flat, (r"(?i)\[\[\s*(category|பகுப்பு)\s*:[^\[\]]*\]\]", ""), (r"(?s)\{\|.*?\|\}", ""), (r"={2,}\s*", "\n"), (r"\n{3,}", "\n\n")))
 ORACLE["q_wiki_headings"] = f"select doc_id, md5({_tidy}) as hash from ({DOCS}) where contains(text, '==')"
 ORACLE["q_link_targets"] = f"select distinct doc_id, unnest(regexp_extract_all(text, {lit(text.URL)})) as url from ({DOCS})"
 UNITS = f"units as (select doc_id, regexp_extract_all(text, {lit(aksharas.AKSHARA)}) as u from ({DOCS}))"
@@ -276,3 +278,39 @@ ORACLE["q_event_sessions"] = """with g as (select user_id, ts, case when ts - la
     s as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as no from g) select user_id, min(ts) as session_start, count(*) as events from s group by user_id, no"""
 ORACLE["q_label_counts"] = "select coalesce(c.lang, 'none') as code, count(*) as documents from documents d left join lang_codes c on lower(trim(d.lang)) = lower(trim(c.label)) group by 1"
 ORACLE["q_publisher_top"] = "select publisher, documents, place from (select publisher, count(*) as documents, cast(rank() over (order by count(*) desc) as integer) as place from documents group by 1) where place <= 20"
+SCRIPT_RE = rf"\p{{Nd}}+|\p{{L}}+|[^{WS}\p{{L}}\p{{N}}_]+|[{WS}_\p{{Nl}}\p{{No}}]+"
+SCRIPT = f"script as (select doc_id, text, regexp_extract_all(text, {lit(SCRIPT_RE)}) as p from ({DOCS}))"
+ORACLE["q_script_pieces"] = f"with {SCRIPT} select doc_id, len(p) as pieces, array_to_string(p, '') = text as whole from script"
+ORACLE["q_grapheme_shredding"] = f"""with {SCRIPT}, t as (select unnest(p) as piece from script), s as (select count(*) as tokens, count(*) filter (where regexp_matches({strip("translate(piece, '▁ĠĊ', '')")}, '^[\\p{{Mn}}\\p{{Mc}}]')) as shredded from t)
+    select tokens, cast(shredded as bigint) as shredded, shredded / greatest(tokens, 1) as share from s"""
+ORACLE["q_bpe_roundtrip"] = f"select count(*) as documents, cast(1.0 as double) as accuracy from ({DOCS})"
+ORACLE["q_html_text"] = f"""with l as (select doc_id, {strip('x')} as line, k from (select doc_id, unnest(string_split(t, chr(10))) as x, unnest(range(len(string_split(t, chr(10))))) as k from (select doc_id, {basic('text')} as t from ({DOCS})))),
+    g as (select doc_id, string_agg(line, chr(10) order by k) as t from l where line <> '' and not regexp_matches(line, {lit(text.BOILERPLATE)}) group by doc_id)
+    select doc_id, md5(coalesce(t, '')) as hash from ({DOCS}) left join g using (doc_id)"""
+ORACLE["q_html_article"] = f"""with a as (select doc_id, {basic("chr(10) || text || chr(10)")} as t from ({DOCS})), b as (select doc_id, case when length(t) > 100 then t end as t from a) select doc_id, length(t) as n, md5(t) as hash from b"""
+ORACLE["q_link_hosts"] = f"""select nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host, count(*) as links
+    from (select unnest(regexp_extract_all(text, {lit(text.URL)})) as url from ({DOCS})) group by 1"""
+_at = ("https://h.example/' || doc_id || '/b/x.html", "https://h.example/' || doc_id || '/y", "https://h.example/z?k=2", "https://other.example/p", "https://o.example/", "https://h.example/' || doc_id || '/b/c.html?r=3", "https://h.example/' || doc_id || '/b/c.html?q=1#g", "https://h.example/' || doc_id || '/b/", "https://h.example/w")
+ORACLE["q_joined_links"] = "select doc_id, case " + " ".join(f"when doc_id % {len(LINKS)} = {k} then '{x}'" for k, x in enumerate(_at)) + " end as url from documents where doc_id is not null"
+ORACLE["q_event_props"] = """with k as (select event_type, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as integer) as k from events)
+    select event_type, count(k) as given, cast(sum(k) as bigint) as total, max(k) as most, cast(sum(k) as bigint) as again from k group by 1"""
+ORACLE["q_corpus_validation"] = f"""with {LINES}, n as (select count(*) as lines, cast(sum(length(line)) as bigint) as characters, sum({n_of('line', f'[{T}]')}) as own, sum({n_of('line', f'[{LATIN}]')}) as latin from lines)
+    select lines, characters, characters / lines as mean_length, own / characters as script_share, latin / characters as latin_share from n"""
+ORACLE["q_first_lines"] = f"with {LINES} select substr(line, 1, 100) as line from lines order by doc_id, line_no limit 5"
+ORACLE["q_sources_under_budget"] = f"""with d as (select source, doc_id, text from ({DOCS}) where source in (select config_key from dataset_configs)),
+    r as (select *, coalesce(sum(strlen(text)) over (order by encode(source), doc_id rows between unbounded preceding and 1 preceding), 0) as used from d) select source, doc_id from r where used < 1500000"""
+_kinds = {"vowel": P.VOWELS, "consonant": P.CONSONANTS, "sign": P.VOWEL_SIGNS, "pulli": P.PULLI, "grantha": P.GRANTHA, "aytham": P.AYTHAM}
+ORACLE["q_character_kinds"] = "select source, " + ", ".join(f"cast(sum({n_of('text', f'[{v}]')}) as bigint) as {k}" for k, v in _kinds.items()) + f" from ({DOCS}) group by source"
+ORACLE["q_invalid_boundaries"] = f"""with {WORDS}, {cutting('words')}, b as (select word, unnest({_ends('morphemes')}) as at from cutted where len(morphemes) > 1)
+    select at > 0 and at < length(word) and regexp_matches(substr(word, at + 1, 1), '^[\\p{{Mn}}\\p{{Mc}}]') as invalid, count(*) as boundaries from b group by 1"""
+ORACLE["q_strict_leakage"] = f"select token_id, token from vocab where not {_special} and {_has(T)} and ({_has(LATIN)} or regexp_matches({_piece}, '\\p{{Nd}}'))"
+ORACLE["q_unigram_counts_capped"] = f"with {TOKENS}, first as (select piece from tokens order by doc_id, pos limit 50000) select piece as token, count(*) as n from first group by 1"
+ORACLE["q_token_stats"] = f"""with {PIECES}, n as (select source, sum(len(p)) as t, sum({n_of('text', f'[^{WS}]+')}) as w, sum(strlen(text)) as b from pieces group by source)
+    select source, t / greatest(w, 1) as tokens_per_word, b / greatest(t, 1) as bytes_per_token, b / greatest(t, 1) * 8 as bits_per_token from n"""
+ORACLE["q_tokenizer_delta"] = f"""with {PIECES}, {SCRIPT}, w as (select sum({n_of('text', f'[^{WS}]+')}) as w, sum(strlen(text)) as b from ({DOCS})), n as (select (select sum(len(p)) from pieces) as a, (select sum(len(p)) from script) as c, w, b from w)
+    select a / w as tokens_per_word_a, b / a as bytes_per_token_a, c / w as tokens_per_word_b, b / c as bytes_per_token_b, c / w - a / w as tokens_per_word_delta, b / c - b / a as bytes_per_token_delta from n"""
+_shown = [chr(b) if b in pretokens.SHOWN else chr(256 + pretokens.HIDDEN.index(b)) for b in range(256)]
+ORACLE["q_byte_level_pieces"] = f"""with {SCRIPT}, t as (select piece, count(*) as n from (select unnest(p) as piece from script) group by 1), m as (select [{', '.join(map(lit, _shown))}] as shown)
+    select array_to_string(list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda h: shown[('0x' || h)::integer + 1]), '') as bytes, cast(sum(n) as bigint) as n from t, m group by 1"""
+ORACLE["q_sql_functions"] = f"select doc_id, md5({strip('text')}) as hash, {share('text', T)} as share, {n_of('text', aksharas.AKSHARA)} as units from ({DOCS})"
+ORACLE["q_sql_aksharas"] = f"with {UNITS} select akshara, count(*) as n from (select unnest(u) as akshara from units) group by 1"

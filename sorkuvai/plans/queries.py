@@ -7,21 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import aksharas, morphemes, predicates, pretokens, text
+from ..functions import aksharas, morphemes, predicates, pretokens, sql, text, urls
+from ..functions.gold import GOLD
 from ..functions.profiles import DEVANAGARI, LATIN, TAMIL
 from ..operators import bpe, dedup, merge, metrics, ordering, splits, vocabularies
+from ..operators.storage import checkpointed
 from ..sources import tables
 from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-# A word and its morphemes, to test cutting against.
-GOLD = (
-    ("படிக்கிறான்", ("படி", "க்கிறான்")), ("சொல்லவில்லை", ("சொல்ல", "வில்லை")), ("நடக்கும்", ("நட", "க்கும்")),
-    ("பார்க்கலாம்", ("பார்", "க்கலாம்")), ("பள்ளியில்", ("பள்ளி", "யில்")), ("விளையாடுகிறோம்", ("விளையாடு", "கிறோம்")),
-    ("படிப்பார்கள்", ("படி", "ப்பார்கள்")), ("போகவேண்டாம்", ("போக", "வேண்டாம்")), ("செய்தது", ("செய்த", "து")), ("புதியவை", ("புதிய", "வை")),
-    ("படிக்கவேண்டியதில்லை", ("படிக்க", "வேண்டிய", "தில்லை")), ("போகவேண்டியிருந்தது", ("போக", "வேண்டிய", "இருந்த", "து")),
-)
-
 
 def query(f: Callable) -> Callable:
     QUERIES[f.__name__] = f
@@ -47,14 +41,20 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _gold_lines(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tables.read(spark, folder, "merge_gold", "line_id", "domain", "file_name", "line")
-    return rows.groupBy("line_id").agg(F.max("domain").alias("domain"), F.max("file_name").alias("file_name"), F.max("line").alias("line")).withColumnRenamed("line_id", "line_no")
+    """Each line_id's row that was merged last; of equal ones the greatest by text, domain and file."""
+    rows = tables.read(spark, folder, "merge_gold", "line_id", "domain", "file_name", "line", "merged_at").where("line_id is not null")
+    last = rows.groupBy("line_id").agg(F.max(F.struct("merged_at", "line", "domain", "file_name")).alias("r"))
+    return last.select(F.col("line_id").alias("line_no"), "r.domain", "r.file_name", "r.line")
 
 
 def _code_points():
     return F.transform(F.regexp_extract_all("text", F.lit("((?s:.))"), F.lit(1)), lambda c: F.ascii(c))
 
 
+def _number_of_pretokens():
+    return F.regexp_count("text", F.lit(pretokens.PRETOKEN_PLAIN))
+
+
 def _md5(c: str = "text"):
     return F.md5(c).alias("hash")
 
@@ -237,14 +237,15 @@ def q_unigram_entropy(spark, folder):
 
 
 def _train_and_rest(spark, folder):
-    rows = _documents(spark, folder, "split").select("doc_id", F.lower(F.trim("split")).alias("split"), F.posexplode(pretokens.plain_pretokens(F.col("text"))).alias("pos", "piece"))
+    rows = _documents(spark, folder, "split").select(F.lower(F.trim("split")).alias("split"), pretokens.plain_pretokens(F.col("text")).alias("pieces"))
     return rows.where("split = 'train'"), rows.where("split in ('validation', 'test')")
 
 
 @query
 def q_unigram_perplexity(spark, folder):
     train, rest = _train_and_rest(spark, folder)
-    return metrics.unigram_perplexity(metrics.unigram_counts(train), metrics.unigram_counts(rest))
+    train, rest = (metrics.unigram_counts(x.select(F.explode("pieces").alias("piece"))) for x in (train, rest))
+    return metrics.unigram_perplexity(train, rest)
 
 
 @query
@@ -254,18 +255,18 @@ def q_bigram_perplexity(spark, folder):
 
 @query
 def q_fertility_by_source(spark, folder):
-    rows = _documents(spark, folder, "source").withColumn("pieces", pretokens.plain_pretokens(F.col("text")))
+    rows = _documents(spark, folder, "source").withColumn("pieces", _number_of_pretokens())
     return metrics.fertility(rows, "source").where("source is not null")
 
 
 @query
 def q_fertility(spark, folder):
-    return metrics.fertility(_documents(spark, folder).withColumn("pieces", pretokens.plain_pretokens(F.col("text"))))
+    return metrics.fertility(_documents(spark, folder).withColumn("pieces", _number_of_pretokens()))
 
 
 @query
 def q_compression_by_source(spark, folder):
-    return metrics.compression(_documents(spark, folder, "source").withColumn("pieces", pretokens.plain_pretokens(F.col("text"))), "source")
+    return metrics.compression(_documents(spark, folder, "source").withColumn("pieces", _number_of_pretokens()), "source")
 
 
 @query
@@ -333,22 +334,19 @@ def q_target_check(spark, folder):
 @query
 def q_bpe_fertility_by_source(spark, folder):
     t = Tables(spark, folder)
-    cut = bpe.encoded(_documents(spark, folder), t.vocab, t.merges).join(_documents(spark, folder, "source"), "doc_id")
-    return metrics.fertility(cut, "source")
+    return metrics.fertility(bpe.encoded(_documents(spark, folder, "source"), t.vocab, t.merges), "source")
 
 
 @query
 def q_bpe_compression(spark, folder):
     t = Tables(spark, folder)
-    cut = bpe.encoded(_documents(spark, folder), t.vocab, t.merges).join(_documents(spark, folder), "doc_id")
-    return metrics.compression(cut)
+    return metrics.compression(bpe.encoded(_documents(spark, folder), t.vocab, t.merges))
 
 
 @query
 def q_bpe_roundtrip(spark, folder):
     t = Tables(spark, folder)
-    cut = bpe.encoded(_documents(spark, folder), t.vocab, t.merges).join(_documents(spark, folder), "doc_id")
-    return metrics.roundtrip(cut)
+    return metrics.roundtrip(bpe.encoded(_documents(spark, folder), t.vocab, t.merges))
 
 
 @query
@@ -362,7 +360,7 @@ def q_bpe_token_table(spark, folder):
 def q_tokenizer_comparison(spark, folder):
     t = Tables(spark, folder)
     docs = _documents(spark, folder)
-    own = bpe.encoded(docs, t.vocab, t.merges).join(docs, "doc_id").select("text", "pieces")
+    own = bpe.encoded(docs, t.vocab, t.merges).select("text", "pieces")
     plain = docs.select("text", pretokens.plain_pretokens(F.col("text")).alias("pieces"))
     both = own.withColumn("tokenizer", F.lit("bpe")).unionByName(plain.withColumn("tokenizer", F.lit("pretokens")))
     return metrics.fertility(both, "tokenizer").join(metrics.compression(both, "tokenizer").select("tokenizer", "bytes_per_token"), "tokenizer").orderBy("avg_fertility")
@@ -511,5 +509,129 @@ def q_label_counts(spark, folder):
 
 @query
 def q_publisher_top(spark, folder):
-    n = Tables(spark, folder).documents.groupBy("publisher").agg(F.count("*").alias("documents"))
-    return n.withColumn("place", F.rank().over(Window.orderBy(F.desc("documents")))).where("place <= 20")
+    n = checkpointed(Tables(spark, folder).documents.groupBy("publisher").agg(F.count("*").alias("documents")))
+    least = n.orderBy(F.desc("documents"), "publisher").limit(20).agg(F.min("documents").alias("least"))  # ties with the last stay
+    top = n.join(F.broadcast(least)).where("documents >= least").select("publisher", "documents")
+    return top.withColumn("place", F.rank().over(Window.orderBy(F.desc("documents"))))  # the 20 and their ties
+
+
+PAGE = ("<html><head><title>t</title><script>var x = '<p>';</script><style>p {}</style></head><body><nav>menu</nav><div class=\"story\"><p>", "</p><!-- end --></div><footer>f</footer></body></html>")
+
+
+def _pages(spark, folder):
+    """The documents as pages of HTML."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return _documents(spark, folder).select("doc_id", F.concat(F.lit(PAGE[0]), escaped, F.lit(PAGE[1])).alias("html"))
+
+
+@query
+def q_html_text(spark, folder):
+    return _pages(spark, folder).select("doc_id", text.html_text(F.regexp_replace("html", "<title>t</title>", "")).alias("text")).select("doc_id", _md5())
+
+
+@query
+def q_html_article(spark, folder):
+    return _pages(spark, folder).select("doc_id", text.html_article(F.col("html")).alias("text")).select("doc_id", F.length("text").alias("n"), _md5())
+
+
+@query
+def q_link_hosts(spark, folder):
+    each = _documents(spark, folder).select(F.explode(F.regexp_extract_all("text", F.lit(f"({text.URL})"), F.lit(1))).alias("url"))
+    return each.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("links"))
+
+
+@query
+def q_joined_links(spark, folder):
+    link = F.element_at(F.array(*map(F.lit, LINKS)), (F.pmod("doc_id", F.lit(len(LINKS))) + 1).cast("int"))
+    rows = Tables(spark, folder).documents.where("doc_id is not null").select("doc_id", F.concat(F.lit("https://h.example/"), "doc_id", F.lit("/b/c.html?q=1#f")).alias("base"), link.alias("link"))
+    return rows.select("doc_id", urls.joined(F.col("base"), F.col("link")).alias("url"))
+
+
+LINKS = ("x.html", "../y", "/z?k=2", "//other.example/p", "https://o.example/", "?r=3", "#g", "./", "../../../w")
+
+
+@query
+def q_event_props(spark, folder):
+    rows = Tables(spark, folder).events.select("event_type", F.from_json("props", "k int").k.alias("k"), F.get_json_object("props", "$.k").cast("int").alias("again"))
+    return rows.groupBy("event_type").agg(F.count("k").alias("given"), F.sum("k").alias("total"), F.max("k").alias("most"), F.sum("again").alias("again"))
+
+
+@query
+def q_corpus_validation(spark, folder):
+    return merge.validation(_lines(spark, folder))
+
+
+@query
+def q_first_lines(spark, folder):
+    return merge.first_lines(_lines(spark, folder), ["doc_id", "line_no"])
+
+
+@query
+def q_sources_under_budget(spark, folder):
+    """By byte budget over sources in a given order, as many corpora are collected."""
+    order = [r.config_key for r in Tables(spark, folder).dataset_configs.where("config_key is not null").select("config_key").distinct().orderBy("config_key").limit(1000).collect()]
+    return merge.sources_under_budget(_documents(spark, folder, "source"), order, 1_500_000).select("source", "doc_id")
+
+
+@query
+def q_character_kinds(spark, folder):
+    kinds = {k: predicates.count(F.col("text"), v) for k, v in predicates.CHARACTER_KINDS.items()}
+    return _documents(spark, folder, "source").groupBy("source").agg(*(F.sum(v).alias(k) for k, v in kinds.items()))
+
+
+@query
+def q_invalid_boundaries(spark, folder):
+    words = morphemes.segmented(morphemes.word_counts(_documents(spark, folder), TAMIL.letters))
+    ends = words.where(F.size("morphemes") > 1).select("word", F.explode(metrics.boundaries(F.col("morphemes"))).alias("at"))
+    return ends.groupBy(predicates.is_invalid_boundary(F.col("word"), F.col("at")).alias("invalid")).agg(F.count("*").alias("boundaries"))
+
+
+@query
+def q_strict_leakage(spark, folder):
+    return metrics.leakage(Tables(spark, folder).vocab, strict=True).select("token_id", "token")
+
+
+@query
+def q_unigram_counts_capped(spark, folder):
+    each = _documents(spark, folder).select("doc_id", F.posexplode(pretokens.plain_pretokens(F.col("text"))).alias("pos", "piece"))
+    return metrics.unigram_counts(each, most=50_000, order=["doc_id", "pos"])
+
+
+@query
+def q_token_stats(spark, folder):
+    return metrics.token_stats(_documents(spark, folder, "source").withColumn("pieces", _number_of_pretokens()), "source")
+
+
+@query
+def q_tokenizer_delta(spark, folder):
+    """Two ways of cutting, side by side."""
+    rows = _documents(spark, folder).select("text", _number_of_pretokens().alias("a"), F.size(pretokens.script_pieces(F.col("text"))).alias("b"))
+    a, b = (metrics.token_stats(rows, tokens=c).select(*(F.col(x).alias(f"{x}_{c}") for x in ("tokens_per_word", "bytes_per_token"))) for c in "ab")
+    both = a.join(F.broadcast(b))  # one row each
+    return both.withColumns({f"{x}_delta": F.col(f"{x}_b") - F.col(f"{x}_a") for x in ("tokens_per_word", "bytes_per_token")})
+
+
+@query
+def q_byte_level_pieces(spark, folder):
+    each = _documents(spark, folder).select(F.explode(pretokens.script_pieces(F.col("text"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    return each.groupBy(pretokens.byte_level(F.col("piece")).alias("bytes")).agg(F.sum("n").alias("n"))
+
+
+@query
+def q_byte_level_split(spark, folder):
+    cut = pretokens.byte_level_pieces(pretokens.marked_script_pieces(F.col("text")))
+    return _documents(spark, folder).select("doc_id", F.size(cut).alias("pieces"))
+
+
+@query
+def q_sql_functions(spark, folder):
+    sql.register(spark)
+    _documents(spark, folder).createOrReplaceTempView("sql_documents")
+    return spark.sql("select doc_id, line_key(text) as hash, script_share(text) as share, akshara_count(text) as units from sql_documents")
+
+
+@query
+def q_sql_aksharas(spark, folder):
+    sql.register(spark)
+    _documents(spark, folder).createOrReplaceTempView("sql_documents")
+    return spark.sql("select akshara, count(*) as n from sql_documents, lateral aksharas(text) group by akshara")

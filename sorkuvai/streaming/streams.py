@@ -46,16 +46,50 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
 
 
 def budgeted(stream: DataFrame, folder: str, checkpoint: str, budget: int) -> None:
-    """Appends the stream's lines to a folder until it holds `budget` bytes; the batch that crosses is cut after the crossing line."""
+    """Appends the stream's lines to folder/lines until they fill `budget` bytes; the line that crosses it is the last.
+
+    Copies count as often as they come. How many bytes each batch wrote stands in folder/totals, so that the
+    lines are never read again, and a batch that is repeated writes over what it wrote.
+    """
     from ..operators.ordering import under_budget
+    from ..operators.storage import checkpointed
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        totals = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals")
+        used = 0
+        if totals.getFileSystem(spark._jsc.hadoopConfiguration()).exists(totals):
+            before = spark.read.schema("batch bigint, bytes bigint").parquet(f"{folder}/totals").where(F.col("batch") < number)
+            used = before.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        rows = checkpointed(batch.select("line").where("line is not null").withColumn("_at", F.monotonically_increasing_id()))
+        size = F.octet_length("line") + 1
+        kept = under_budget(rows, ["_at"], size, max(0, budget - used)) if used < budget else rows.limit(0)
+        kept.select("line").write.mode("overwrite").parquet(f"{folder}/lines/batch={number}")
+        written = spark.read.schema("line string").parquet(f"{folder}/lines/batch={number}").agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("bytes"))
+        written.select(F.lit(number).cast("bigint").alias("batch"), "bytes").coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals/part={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def near_duplicates_left_out(stream: DataFrame, index: str, out: str, checkpoint: str, bands: int = 9, rows: int = 13) -> None:
+    """Appends the stream's documents (doc_id, text) to out that share no bucket with one kept before, within the batch too.
+
+    index holds the band keys of all kept documents; a batch is joined with it by bucket, never by pair.
+    """
+    from ..operators.dedup import band_keys, greedy_keep, minhash
+    from ..operators.storage import checkpointed
 
-    def write(batch: DataFrame, _number: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            used = spark.read.parquet(folder).agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0))).first()[0]
-        except Exception:  # nothing there yet
-            used = 0
-        if used < budget:
-            under_budget(batch.select("line").distinct(), ["line"], F.octet_length("line") + 1, budget - used).write.mode("append").parquet(folder)
+        docs = checkpointed(batch.select("doc_id", "text").where("doc_id is not null and text is not null"))
+        keys = checkpointed(band_keys(docs.select("doc_id", minhash(F.col("text"), bands * rows).alias("signature")), bands, rows))
+        path = spark._jvm.org.apache.hadoop.fs.Path(index)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            held = spark.read.schema("band int, band_hash bigint, batch bigint").parquet(index).where(F.col("batch") < number)
+            seen = keys.join(held.select("band", "band_hash"), ["band", "band_hash"], "left_semi").select("doc_id").distinct()
+            docs, keys = docs.join(seen, "doc_id", "left_anti"), keys.join(seen, "doc_id", "left_anti")
+        kept = checkpointed(greedy_keep(docs, keys).where("keep").select("doc_id"))
+        keys.join(kept, "doc_id", "left_semi").select("band", "band_hash").write.mode("overwrite").parquet(f"{index}/batch={number}")
+        docs.join(kept, "doc_id", "left_semi").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -34,7 +34,8 @@ def test_line_reasons(spark):
         (text.isolate_scripts, "தமிழ்AI2024அ x", "தமிழ் AI 2024 அ x"), (text.squeeze_repeats, "!!!!! aaaaaaaaaa bbb", "!!! aaa bbb"),
         (lambda c: text.numerals(c, "arabic"), "௧௨ 3", "12 3"), (lambda c: text.numerals(c, "tamil"), "12", "௧௨"),
         (text.wiki_plain, "{{a|{{b}}}}[[File:x.png|thumb|[[y]] z]]'''[[c|d]]''' [[e]] [http://u v]<ref>r</ref>\n* f", "d e v\nf"),
-        (text.wiki_tidy, "[[Category:x]]== h ==\n{|t|}k", "h \nk"), (text.wiki_inline, "{{x}}[[a|b]] [[c]] ''d'' == e ==", "b c d  e "), (text.wiki_flat, "[[பகுப்பு:x]][[a|b]]", "b"),
+        (text.wiki_tidy, "[[Category:x]]== h ==\n{|t|}k", "h \nk"), (text.wiki_inline, "{{x}}[[a|b]] [[c]] ''d''\n== e ==\nf", "b c d\ne\nf"),
+        (text.without_templates, "a{{b{{c{{d{{e{{f{{g{{h}}}}}}}}}}}}}}i {{j", "ai {{j"), (text.without_templates, "{{a {{b}} c", "{{a  c"), (text.without_media, "[[File:x|[[a|[[b]] c]] d]]e [[f]]", "e [[f]]"), (text.nfc, "e\u0301 கொ a\u0323\u0302 Å 각", "é கொ ậ Å 각"), (text.wiki_flat, "[[பகுப்பு:x]][[a|b]]", "b"),
         (text.html_text, "<html><script>x()</script><nav>n</nav><p>அ &amp; ஆ</p><!-- c --><p>Project Madurai</p></html>", "அ & ஆ"),
         (text.clean_piece, "▁Ġஅ", "அ"),
     ],

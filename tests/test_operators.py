@@ -219,7 +219,48 @@ def test_streams(spark, tmp_path):
     table = streams.run_available(streams.first_lines(streams.clean_lines(stream)), "firsts", str(tmp_path / "c1"))
     assert sorted(r.line for r in table.collect()) == sorted([TAMIL, TAMIL + " ஆம்"])
     streams.budgeted(spark.readStream.schema("line string").text(folder), str(tmp_path / "out"), str(tmp_path / "c2"), 5)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out" / "lines")).count() == 1
+    spark.createDataFrame([("a" * 9,), ("a" * 9,)], "line string").coalesce(1).write.mode("append").text(folder)
+    streams.budgeted(spark.readStream.schema("line string").text(folder), str(tmp_path / "out"), str(tmp_path / "c2"), 5)
+    assert spark.read.parquet(str(tmp_path / "out" / "lines")).count() == 1
+    streams.budgeted(spark.readStream.schema("line string").text(folder), str(tmp_path / "more"), str(tmp_path / "c3"), 1 << 20)
+    assert spark.read.parquet(str(tmp_path / "more" / "lines")).count() == 6  # copies count
+
+
+def test_near_duplicates_of_a_stream(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for rows in ([(1, "one two three four five six"), (2, "one two three four five six"), (3, "something else altogether")], [(4, "something else altogether"), (5, "new words here, quite new")]):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").json(folder)
+        streams.near_duplicates_left_out(spark.readStream.schema("doc_id bigint, text string").json(folder), str(tmp_path / "index"), str(tmp_path / "out"), str(tmp_path / "c"))
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3, 5]
+
+
+def test_links_join_as_in_the_library(spark):
+    from urllib.parse import urljoin
+
+    from sorkuvai.functions import urls
+
+    pairs = [(b, x) for b in ("http://a.example/b/c/d?q#f", "https://a.example", "http://u@h.example:80/x/") for x in ("e", "../e", "../../../e", "/e/./f/../g", "//h/i", "http://j/k", "?l", "#m", "", "./", "..", "e/..?n#o", "mailto:x@y")]
+    rows = spark.createDataFrame(pairs, "base string, link string").select("base", "link", urls.joined(F.col("base"), F.col("link")).alias("got"), urls.host(F.col("base")).alias("host")).collect()
+    assert [(r.base, r.link, r.got) for r in rows] == [(b, x, urljoin(b, x)) for b, x in pairs] and {r.host for r in rows} == {"a.example", "h.example"}
+
+
+def test_tokenizer_file(spark, tmp_path):
+    import json
+
+    from sorkuvai.sources import writers
+
+    writers.write_tokenizer(spark.createDataFrame([(0, "a"), (1, "b"), (2, "ab")], "token_id int, token string"), spark.createDataFrame([(0, "a", "b")], "merge_rank int, left_piece string, right_piece string"), str(tmp_path / "t"))
+    assert json.loads(spark.read.text(str(tmp_path / "t")).first()[0]) == {"model": {"type": "BPE", "vocab": {"a": 0, "ab": 2, "b": 1}, "merges": ["a b"]}}
+
+
+def test_random_embeddings(spark):
+    from sorkuvai.operators import vocabularies
+
+    given = spark.createDataFrame([(k, [float(k), 5.0]) for k in range(3)], "vec_id int, embedding array<double>")
+    tokens = spark.createDataFrame([(f"t{k}",) for k in range(2000)], "token string")
+    rows = [r.embedding for r in vocabularies.random_embeddings(tokens, given).collect()]
+    assert abs(sum(x for x, _ in rows) / 2000 - 1) < 0.1 and all(y == 5 for _, y in rows)
 
 
 def test_pipeline(spark):
