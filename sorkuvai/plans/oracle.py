@@ -314,3 +314,34 @@ ORACLE["q_byte_level_pieces"] = f"""with {SCRIPT}, t as (select piece, count(*)
     select array_to_string(list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda h: shown[('0x' || h)::integer + 1]), '') as bytes, cast(sum(n) as bigint) as n from t, m group by 1"""
 ORACLE["q_sql_functions"] = f"select doc_id, md5({strip('text')}) as hash, {share('text', T)} as share, {n_of('text', aksharas.AKSHARA)} as units from ({DOCS})"
 ORACLE["q_sql_aksharas"] = f"with {UNITS} select akshara, count(*) as n from (select unnest(u) as akshara from units) group by 1"
+
+# A byte-pair tokenizer: each distinct word is joined pair by pair until no merge applies, the lowest rank first and from left to right.
+BPE = f"""docs as (select doc_id, text, source, regexp_extract_all(text, {lit(f'[^{WS}]+')}) as w from ({DOCS})),
+    ranked as (select left_piece, right_piece, min(merge_rank) as merge_rank from merges where left_piece is not null and right_piece is not null group by all),
+    cut(word, parts) as (
+        select word, regexp_extract_all('▁' || word, '(?s:.)') from (select distinct unnest(w) as word from docs)
+        union all
+        select word, list_reduce(list_transform(parts, lambda x: [x]), lambda done, x: case when done[-1] = m.l and x[1] = m.r then list_append(done[:-2], m.l || m.r) else list_concat(done, x) end)
+        from (select word, parts, arg_min({{'l': left_piece, 'r': right_piece}}, merge_rank) as m
+            from (select word, parts, unnest(range(1, len(parts))) as k from cut) join ranked on left_piece = parts[k] and right_piece = parts[k + 1] group by word, parts)),
+    known as (select distinct token from vocab where token is not null and not coalesce(is_special, false)),
+    whole as (select word, unnest(parts) as piece from (select word, arg_min(parts, len(parts)) as parts from cut group by word)),
+    single as (select word, unnest(regexp_extract_all(piece, '(?s:.)')) as piece from whole where piece not in (select token from known)),
+    bpe as (select word, piece from whole where piece in (select token from known) union all select word, piece from single where piece in (select token from known)
+        union all select word, '<0x' || unnest(regexp_extract_all(hex(encode(piece)), '..')) || '>' from single where piece not in (select token from known)),
+    bpe_words as (select word, count(*) as n from bpe group by word),
+    bpe_docs as (select d.doc_id, source, text, len(w) as words, coalesce(t, 0) as t from docs d left join (select doc_id, sum(n) as t from (select doc_id, unnest(w) as word from docs) join bpe_words using (word) group by doc_id) using (doc_id))"""
+
+
+def rate(rows: str, by: str) -> str:
+    """tokens, words and both fertilities by a column of rows with t tokens and words words."""
+    return f"""(select {by}, cast(sum(t) as bigint) as tokens, cast(sum(words) as bigint) as words, sum(t) / sum(words) as avg_fertility, max(x) filter (where k = c // 2 + 1) as median_fertility
+        from (select *, t / words as x, row_number() over (partition by {by} order by t / words) as k, count(*) over (partition by {by}) as c from {rows} where words > 0) group by {by})"""
+
+
+ORACLE["q_bpe_fertility_by_source"] = f"with recursive {BPE} select * from {rate('bpe_docs', 'source')}"
+ORACLE["q_bpe_compression"] = f"with recursive {BPE} select cast(sum(strlen(text)) as bigint) as bytes, cast(sum(t) as bigint) as tokens, sum(strlen(text)) / sum(t) as bytes_per_token from bpe_docs"
+ORACLE["q_bpe_token_table"] = f"""with recursive {BPE}, n as (select word, count(*) as n from (select unnest(w) as word from docs) group by 1), ids as (select token, min(token_id) as token_id from vocab group by 1)
+    select piece, max(token_id) as token_id, cast(sum(n) as bigint) as n from bpe join n using (word) left join ids on token = piece group by piece"""
+ORACLE["q_tokenizer_comparison"] = f"""with recursive {BPE}, {PIECES}, both_ as (select 'bpe' as tokenizer, t, words, text from bpe_docs union all select 'pretokens', len(p), {n_of('text', f'[^{WS}]+')}, text from pieces)
+    select tokenizer, tokens, words, avg_fertility, median_fertility, bytes_per_token from {rate('both_', 'tokenizer')} join (select tokenizer, sum(strlen(text)) / sum(t) as bytes_per_token from both_ group by 1) using (tokenizer)"""
