@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import checkpointed
-from .batches import CHARS_AT_ONCE, bitmap, code_points, mix64, pieces
+from .batches import CHARS_AT_ONCE, bitmap, code_points, marked, mix64, pieces
 from .unify import one_form, present
 
 GRAM = 5
@@ -352,12 +352,6 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(both >= np.maximum(least_a, least_b)))
 
 
-def marked(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    """The rows whose first column is in a bitmap."""
-    at = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False) % (8 * len(bits))
-    return batch.filter(pa.array(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0))
-
-
 def _kept(keys: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(keys, np.uint8)

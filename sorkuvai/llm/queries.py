@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.oracle import BPE
 from ..sources.tables import read
 from . import language, leak, mixing, near, overlap, packing, personal, quality, tokens, unify
 
@@ -76,8 +77,21 @@ with last as (
 """
 
 
+#: The cubes of tokens: each document's slice, and its tokens by the byte-pair encoder in SQL.
+_CUBE = f"""with recursive {BPE},
+    lines as (select doc_id, domain, count(distinct line_id) as n from merge_gold where domain is not null and doc_id is not null group by all),
+    domains as (select doc_id, domain from (select *, row_number() over (partition by doc_id order by n desc, encode(domain)) as k from lines) where k = 1),
+    names as (select lower(trim(label)) as label, max(lang) as code from lang_codes where label is not null group by 1),
+    slices as (select doc_id, coalesce(lower(trim(d.source)), 'unknown') as source, coalesce(code, 'und') as lang, coalesce(domain, 'unknown') as domain
+        from (select doc_id, max(source) as source, max(lang) as lang from documents where length(text) > 0 group by doc_id) d left join names on label = lower(trim(d.lang)) left join domains using (doc_id)),
+    cube_ as (select s.source, lang, domain, count(*) as documents, cast(sum(t) as bigint) as tokens from slices s join bpe_docs using (doc_id) group by all)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_token_cube": _CUBE + "select *, cast(sum(tokens) over (partition by source) as bigint) as tokens_of_source from cube_ where documents <> 0 or tokens <> 0",
+        "p3_updated_cube": _CUBE + "select * from cube_ where documents <> 0 or tokens <> 0",
         "p1_found": _PLAN + "select config_key from plan where short",
         "p1_source_plan": _PLAN + "select * from plan",
         "p8_packing_invariants": """select spec_id, (select count(distinct doc_id) from documents where length(text) > 0) as documents,

@@ -11,14 +11,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.bpe import Bpe, tables
 from ..operators.storage import checkpointed
-from .batches import pieces
+from .batches import bitmap, marked, pieces
 from .unify import present
 
 
@@ -31,12 +32,14 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.drop_columns(["text"]).append_column("text_hash", pa.array(map(text_hash, texts), pa.string()))
 
 
-def _encoded(vocab: list[str], merges: list[tuple[str, str]]):
+def _encoded(vocab: list[str], merges: list[tuple[str, str]], unseen: bytes):
+    """text_hash, tokens of the texts of the documents in a bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(vocab, merges)
-        for part, texts in pieces(batches):
-            hashes = [text_hash(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.string()), pa.array(map(bpe.count, texts), pa.int64())], ["doc_id", "text_hash", "tokens"])
+        bpe, bits = Bpe(vocab, merges), np.frombuffer(unseen, np.uint8)
+        for batch in batches:
+            for _, texts in pieces(iter([marked(batch, bits)])):
+                yield pa.RecordBatch.from_arrays([pa.array(map(text_hash, texts), pa.string()), pa.array(map(bpe.count, texts), pa.int64())], ["text_hash", "tokens"])
 
     return run
 
@@ -47,25 +50,55 @@ def tokenizer(vocab: DataFrame, merges: DataFrame) -> tuple[list[str], list[tupl
     return *both, hashlib.sha256(repr(both).encode()).hexdigest()[:32]
 
 
+#: The table of counts: one row for each text, by its hash, and tokenizer.
+COUNTS = "text_hash string, tokenizer_hash string, tokens bigint"
+
+
+def load_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of counts in a folder; without rows if there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], COUNTS)
+    return spark.read.schema(COUNTS).parquet(folder)
+
+
+def store_counts(fresh: DataFrame, folder: str) -> None:
+    """Adds counts to the table in a folder, which holds those of one tokenizer together."""
+    fresh.select("text_hash", "tokenizer_hash", "tokens").write.mode("append").partitionBy("tokenizer_hash").parquet(folder)
+
+
+def hashed_documents(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash of the documents with text, each once; written once."""
+    return checkpointed(present(documents).mapInArrow(_hashed, "doc_id bigint, text_hash string").distinct())
+
+
+def fresh_counts(documents: DataFrame, hashes: DataFrame, known: DataFrame | None, vocab: DataFrame, merges: DataFrame) -> DataFrame:
+    """text_hash, tokenizer_hash, tokens of the texts that the table of counts `known` doesn't have under this tokenizer.
+
+    Each text is encoded once, however many documents hold it: by a bitmap of one document for each.
+    """
+    vocab_, merges_, name = tokenizer(vocab, merges)
+    firsts = hashes.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+    if known is not None:
+        firsts = firsts.join(known.where(F.col("tokenizer_hash") == name).select("text_hash"), "text_hash", "left_anti")
+    firsts = checkpointed(firsts.where("doc_id is not null"))
+    counted = present(documents).mapInArrow(_encoded(vocab_, merges_, bitmap(firsts, F.col("doc_id"))), "text_hash string, tokens bigint")
+    return counted.groupBy("text_hash").agg(F.max("tokens").alias("tokens")).select("text_hash", F.lit(name).alias("tokenizer_hash"), "tokens")
+
+
 def token_counts(documents: DataFrame, vocab: DataFrame, merges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, text_hash, tokenizer_hash, tokens of the documents with text.
 
-    known: such a table of an earlier run; texts whose hash it has under this tokenizer aren't encoded again.
-    Repeated rows count once. A text of nothing but blanks has no tokens.
+    known: a table of counts; texts whose hash it has under this tokenizer aren't encoded again. Repeated rows
+    count once. A text of nothing but blanks has no tokens.
     """
-    vocab_, merges_, name = tokenizer(vocab, merges)
-    texts = present(documents)
-    out = "doc_id bigint, text_hash string, tokens bigint"
-    if known is None:
-        counted = texts.mapInArrow(_encoded(vocab_, merges_), out)
-    else:
-        old = known.where(F.col("tokenizer_hash") == name).groupBy("text_hash").agg(F.max("tokens").alias("tokens"))
-        hashes = texts.mapInArrow(_hashed, "doc_id bigint, text_hash string").distinct()
-        seen = hashes.join(old, "text_hash").select("doc_id", "text_hash", "tokens")
-        unseen = hashes.join(old, "text_hash", "left_anti").select("doc_id").distinct()
-        fresh = texts.join(unseen, "doc_id", "left_semi").mapInArrow(_encoded(vocab_, merges_), out)
-        counted = seen.union(fresh)
-    return counted.distinct().select("doc_id", "text_hash", F.lit(name).alias("tokenizer_hash"), "tokens")
+    hashes = hashed_documents(documents.where("doc_id is not null"))
+    counts = fresh_counts(documents.where("doc_id is not null"), hashes, known, vocab, merges)
+    if known is not None:
+        name = tokenizer(vocab, merges)[2]
+        old = known.where(F.col("tokenizer_hash") == name).groupBy("text_hash", "tokenizer_hash").agg(F.max("tokens").alias("tokens"))
+        counts = counts.unionByName(old).groupBy("text_hash", "tokenizer_hash").agg(F.max("tokens").alias("tokens"))
+    return hashes.join(counts, "text_hash").select("doc_id", "text_hash", "tokenizer_hash", "tokens")
 
 
 def document_slices(documents: DataFrame, lines: DataFrame, codes: DataFrame) -> DataFrame:
@@ -76,9 +109,9 @@ def document_slices(documents: DataFrame, lines: DataFrame, codes: DataFrame) ->
     """
     per_line = lines.where("domain is not null and doc_id is not null").groupBy("doc_id", "domain").agg(F.countDistinct("line_id").alias("n"))
     domains = per_line.groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "domain"))["domain"].alias("domain"))
-    names = codes.select(F.lower(F.trim("label")).alias("label"), F.col("lang").alias("code")).where("label is not null").dropDuplicates(["label"])
+    names = codes.select(F.lower(F.trim("label")).alias("label"), F.col("lang").alias("code")).where("label is not null").groupBy("label").agg(F.max("code").alias("code"))
     rows = present(documents, "source", "lang").groupBy("doc_id").agg(F.max("source").alias("source"), F.max("lang").alias("lang"))
-    rows = rows.withColumn("label", F.lower(F.trim("lang"))).join(F.broadcast(names), "label", "left").join(domains, "doc_id", "left")
+    rows = rows.withColumn("label", F.lower(F.trim("lang"))).join(names, "label", "left").join(domains, "doc_id", "left")
     return rows.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")).alias("source"), F.coalesce("code", F.lit("und")).alias("lang"), F.coalesce("domain", F.lit("unknown")).alias("domain"))
 
 
