@@ -46,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_packing_report": _of(lambda documents, specs: packing.packing_report(packing.public_sizes(documents), specs), "documents", "block_specs"),
         "p8_packing_invariants": _of(lambda documents, specs: packing.packing_invariants(packing.public_sizes(documents), specs), "documents", "block_specs"),
         "p9_found": _of(lambda documents, items: leak.leaks(documents, items).select("doc_id", "item_id"), "documents", "eval_items"),
+        "p9_near_leaks": _of(leak.near_leaks, "documents", "eval_items"),
         "p9_leaked_items": _of(leak.leaked_items, "documents", "eval_items"),
         "p10_found": _of(personal.personal_details, "documents", "name_parts", "common_words"),
         "p10_texts": _of(personal.sanitised, "documents", "name_parts", "common_words"),

@@ -49,7 +49,8 @@ OPERATORS = {
     "across": lambda d, r: overlap.across_splits(d), "counts": lambda d, r: overlap.overlap_counts(d), "overlaps": lambda d, r: overlap.overlap_report(d),
     "unify": lambda d, r: unify.unify_documents(d), "changed": lambda d, r: unify.changed_documents(d),
     "packing": lambda d, r: packing.packing_report(d, r["specs"]), "public": lambda d, r: packing.public_sizes(d),
-    "leaks": lambda d, r: leak.leaks(d, r["items"]), "leaked": lambda d, r: leak.leaked_items(d, r["items"]),
+    "leaks": lambda d, r: leak.leaks(d, r["items"]), "leaked": lambda d, r: leak.leaked_items(d, r["items"]), "near_leaks": lambda d, r: leak.near_leaks(d, r["items"]),
+    "updated_cube": lambda d, r: tokens.token_cube_in_steps(d, d.where("doc_id < 5"), r["lines"], r["codes"], r["vocab"], r["merges"]), "invariants": lambda d, r: packing.packing_invariants(d, r["specs"]),
     "personal": lambda d, r: personal.personal_details(d, r["names"], r["common"]), "sanitised": lambda d, r: personal.sanitised(d, r["names"], r["common"]),
 }
 
@@ -57,7 +58,7 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_awkward_rows(name, docs, rest):
     rows = OPERATORS[name](docs, rest).collect()
-    if name not in ("mixed", "mix_report", "short", "packing", "labels", "reasons", "changed", "personal"):
+    if name not in ("mixed", "mix_report", "short", "packing", "invariants", "labels", "reasons", "changed", "personal"):
         assert rows
     assert not any(getattr(r, "doc_id", 0) in (1, 2) for r in rows)  # no text, no row
 

@@ -178,13 +178,38 @@ def test_leaks_in_blocks_of_items(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leak.leaks(docs, items).collect()} == {(1, 7), (2, 7), (1, 8), (2, 8)}
 
 
-def test_blocks_find_all_fingerprints_in_the_radius():
+@pytest.mark.parametrize("whole", [False, True])
+def test_blocks_find_all_fingerprints_in_the_radius(whole):
     draw = random.Random(1)
-    items = leak.Items([(k, " ".join(f"w{draw.randrange(50)}" for _ in range(30))) for k in range(40)])
-    probes = np.array([int(p) ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(6))) for p in items.prints], np.uint64)
-    left, right = items.near(probes)
-    want = {(i, j) for i, p in enumerate(probes) for j, q in enumerate(items.prints) if int(p ^ q).bit_count() <= leak.RADIUS}
-    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
+    items = leak.Items([(k, " ".join(f"w{draw.randrange(50)}" for _ in range(30))) for k in range(40)], whole)
+    for index in items.index.values():
+        probes = np.array([int(p) ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(12))) for p in index.prints], np.uint64)
+        left, right = index.near(probes)
+        want = {(i, j) for i, p in enumerate(probes) for j, q in enumerate(index.prints) if int(p ^ q).bit_count() <= index.radius}
+        assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
+
+
+def test_word_fingerprints_are_majorities():
+    h = leak.Words()([f"w{k}" for k in range(300)])
+    for n, prints in leak.word_fingerprints(h, (8, 24)).items():
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+        want = [np.packbits(bits[k : k + n].sum(0) > n // 2).view(np.uint64)[0] for k in range(len(h) - n + 1)]
+        assert prints.tolist() == [int(x) for x in want]
+
+
+def test_items_with_a_changed_word_are_found(spark):
+    """Recall on planted items of which one word is changed."""
+    draw = random.Random(2)
+    items = [r for r in table(spark, "eval_items").collect() if len(leak.words_of([r.text])[0]) >= 16]
+    hosts = [r.text for r in table(spark, "documents").where("length(text) between 200 and 3000").collect()]
+    docs = []
+    for k, r in enumerate(items):
+        words = r.text.split()
+        words[draw.randrange(len(words))] = "changedword"
+        docs.append((k, hosts[k % len(hosts)] + "\n" + " ".join(words) + "\n" + hosts[(k + 7) % len(hosts)]))
+    found = {(r.doc_id, r.item_id) for r in leak.near_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(r.item_id, r.text) for r in items], "item_id bigint, text string")).collect()}
+    hit = sum((k, r.item_id) in found for k, r in enumerate(items))
+    assert hit >= 0.9 * len(items)
 
 
 # --- tokens and packing -----------------------------------------------------------------------------------
