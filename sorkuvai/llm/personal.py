@@ -1,16 +1,23 @@
 """Problem 10: personal details in free text, and the text with typed placeholders instead.
 
-Information-theoretic sanitisation. What may be a detail is told by its shape: a run of digits that can
-be a telephone or identity number, a name known from a list of name parts. How strongly a term (the one or
-two words before it) reveals such an entity is estimated from the whole corpus: of all places where the
-term stands, the share that an entity of the kind follows, and the information that this is above the
-kind's share in general. A shape that many numbers have (ten digits, twelve digits) or a name in no list
-counts after terms beyond the disclosure thresholds, and is replaced; shapes that nothing else has (mail
-addresses, numbers with a country code, house number with street) count wherever they stand.
-
-Two passes over the corpus count: the terms before entities, then all places of those terms. A third
-replaces. Terms and their places stay tables; only a bitmap of the terms' hashes, which says what places to
-count, and the terms beyond the thresholds are ever brought together.
+Information-theoretic sanitisation. Patterns only suggest what may be a detail: mail addresses, numbers that
+a telephone or identity card may have, a house number with a street, parts of names from a list. Whether it
+is one is decided by what the whole corpus tells, in two steps:
+
+- A term (the one or two words before a suggestion) reveals a kind if of all its places a share of SHARE or
+  more is followed by a suggestion of the kind, and that is INFORMATION bits or more above the kind's share
+  in general.
+- A form (the layout of a number, the spelling of a mail address, a name itself) reveals a kind if a share of
+  SHARE or more of its places, and so many bits more than in general, stand after such terms. A form that was
+  hardly seen is judged as all forms of its kind together.
+
+What stands after a revealing term, or has a revealing form, is replaced, and so is a name in no list after
+a term that reveals persons. A layout that many numbers have, which are mostly none, thus counts only after
+terms; one that is hardly ever anything else counts wherever it stands.
+
+Two passes over the corpus count: the suggestions by form and terms, then all places of those terms. A third
+replaces. Terms, forms and their places stay tables; only a bitmap of the terms' hashes, which says what
+places to count, and the terms and forms beyond the thresholds are ever brought together.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from .batches import bitmap, pieces
 from .unify import one_form, present
 
 KINDS = ("email", "phone", "id_number", "address", "person")
-#: A term reveals a kind if such an entity follows at this share of its places, with so many bits more than in general, and was seen this often.
+#: Thresholds of disclosure of a term or form: share of its places, bits more than in general, and how often it must have been seen.
 SHARE, INFORMATION, SEEN = 0.25, 3.0, 2
 TERM_EDGE = " .,:;<>()[]{}\"'=-–"
 #: Words and terms that a task remembers at once.
@@ -45,7 +52,7 @@ _AT = r"(?:\s?[\[({<]\s?at\s?[\])}>]\s?|@)"
 _DOT = r"(?:\s?[\[({<]\s?dot\s?[\])}>]\s?|\.)"
 EMAIL = regex.compile(rf"(?i)[a-z0-9][a-z0-9._+\-]*(?:{_AT}[a-z0-9\-]+(?:{_DOT}[a-z0-9\-]+)+|\sat\s[a-z0-9\-]+(?:\sdot\s[a-z0-9\-]+)+)")
 _NO, _END = r"(?<![\p{L}\d+(]|\d[\-.,/ ])", r"(?![\p{L}\d]|[\-./,:]\d| \d)"
-#: Shapes of one kind only, and shapes that need a revealing term.
+#: Layouts of numbers: with a country or area code, telephone numbers without, identity numbers.
 PHONE_SURE = regex.compile(rf"{_NO}(?:(?:\+|00)91[ \-.]?\(?\d{{3,5}}\)?[ \-.]?\d{{3,5}}(?:[ \-.]?\d{{3,4}})?|\(0\d{{2,4}}\) ?\d{{3,4}}[ \-]?\d{{3,4}}){_END}")
 PHONE_LIKE = regex.compile(rf"{_NO}(?:\d{{10}}|0\d{{2,4}}[ \-]\d{{6,8}}|\d{{3}}([ .\-])\d{{3}}\1\d{{4}}|\d{{5}}[ \-]\d{{5}}){_END}")
 ID_LIKE = regex.compile(rf"{_NO}(?:\d{{4}}([ \-])\d{{4}}\1\d{{4}}|\d{{12}}|[A-Z]{{5}}\d{{4}}[A-Z]|[A-Z]{{3}}\d{{7}}|[A-Z]\d{{7}}){_END}")
@@ -74,6 +81,8 @@ BEFORE_NAME = regex.compile(rf"(?<![\p{{L}}\p{{M}}])(?:{_INITIALS})$")
 NAME_INITIALS = regex.compile(_INITIALS)
 AFTER_TERM = re.compile(r"[.,:;]* ")
 NAME_END = regex.compile(r"[,.;:!?\n]|$")
+HOUSE = regex.compile(f"(?:{HOUSES})(?![\\p{{L}}\\p{{M}}])")
+DIGIT, LETTER = re.compile(r"\d"), re.compile("[A-Z]")
 NAME_MARK, TERM_MARK, STREET_MARK = 1, 2, 4
 
 
@@ -154,20 +163,23 @@ def _with_initials(text: str, start: int) -> int:
     return start
 
 
-def _terms(parts: list[str]):
+def _suggested(parts: list[str]):
+    """Texts -> kind, form, one, two (the term of one word and of two before it), n."""
+
+    def counts(found: Counter) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) if found else [()] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(found.values()), pa.int64())], ["kind", "form", "one", "two", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan, found = Scanner(parts), Counter()
+        find, found = Finder(parts), Counter()
         for _, texts in pieces(batches):
             for text in one_form(texts):
-                for kind, start, _end, _sure in scan.numbers(text):
-                    found.update((term, kind) for term in ["", *terms_before(text, start)])
-                for start, end, mark in scan.hits(text):
-                    if mark & NAME_MARK and _whole(text, start, end):
-                        found.update((term, "person") for term in ["", *terms_before(text, _with_initials(text, start))])
+                for start, _end, kind, form in find.suggestions(text):
+                    found[kind, form, *(*terms_before(text, start), "", "")[:2]] += 1
             if len(found) > COUNTED_AT_ONCE:
-                yield _counts(found)
+                yield counts(found)
                 found.clear()
-        yield _counts(found)
+        yield counts(found)
 
     return run
 
@@ -218,24 +230,38 @@ def _places(bitmap: bytes):
     return run
 
 
-def revealing_terms(documents: DataFrame, name_parts: DataFrame) -> list[tuple[str, str, float, float]]:
-    """(term, kind, share, bits) beyond the disclosure thresholds, from the co-occurrence in the whole corpus."""
+Term = tuple[str, str, float, float]
+
+
+def revealing(documents: DataFrame, name_parts: DataFrame) -> tuple[list[Term], list[Term]]:
+    """(term, kind, share, bits) beyond the disclosure thresholds, and (form, kind, share, bits) of all forms seen often enough, "*" for all of a kind."""
     texts = present(documents).select("text")
-    counted = texts.mapInArrow(_terms(_names(name_parts)), "term string, kind string, n bigint").groupBy("term", "kind").agg(F.sum("n").alias("n"))
-    before = checkpointed(counted.where(F.col("n") >= SEEN))
-    of_kind = {r.kind: r.n for r in before.where("term = ''").collect()}
-    terms = before.where("term <> ''")
-    if not of_kind or terms.isEmpty():
-        return []
+    seen = checkpointed(texts.mapInArrow(_suggested(_names(name_parts)), "kind string, form string, one string, two string, n bigint").groupBy("kind", "form", "one", "two").agg(F.sum("n").alias("n")))
+    of_kind = {r.kind: r.n for r in seen.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    terms = seen.select("kind", F.explode(F.array_distinct(F.array("one", "two"))).alias("term"), "n").where("term <> ''")
+    terms = checkpointed(terms.groupBy("term", "kind").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN))
+    if terms.isEmpty():
+        return [], []
     marked = bitmap(terms.select("term").distinct(), F.xxhash64("term"))
     places = checkpointed(texts.mapInArrow(_places(marked), "term string, kind string, n bigint").groupBy("term").agg(F.sum("n").alias("places")))
     words = max(1, places.where("term = ''").agg(F.sum("places").alias("n")).first().n or 0)
     share = F.least(F.lit(1.0), F.col("n") / F.greatest(F.lit(1), F.coalesce("places", F.lit(0))))
     general = F.create_map(*(F.lit(x) for k, n in of_kind.items() for x in (k, n / words)))[F.col("kind")]
+    bits = lambda share, kind: log2(share / (of_kind[kind] / words)) if share > 0 else 0.0
     # The bound on information is a hair lower here, so that its exact value is told by one logarithm, below.
     beyond = terms.join(places, "term", "left").withColumn("share", share).where((F.col("share") >= SHARE) & (F.col("share") >= general * (2**INFORMATION * (1 - 1e-9))))
-    out = [(r.term, r.kind, r.share, log2(r.share / (of_kind[r.kind] / words))) for r in beyond.orderBy(F.desc("n"), "term", "kind").collect()]
-    return [x for x in out if x[3] >= INFORMATION]
+    out = [(r.term, r.kind, r.share, bits(r.share, r.kind)) for r in beyond.orderBy(F.desc("n"), "term", "kind").collect()]
+    out = [x for x in out if x[3] >= INFORMATION]
+    told = documents.sparkSession.createDataFrame([x[:2] for x in out], "term string, kind string")
+    one, two = (told.select("kind", F.col("term").alias(c), F.lit(True).alias(f"by_{c}")) for c in ("one", "two"))
+    after = seen.join(one, ["kind", "one"], "left").join(two, ["kind", "two"], "left").withColumn("after", F.when(F.coalesce("by_one", "by_two", F.lit(False)), F.col("n")).otherwise(0))
+    forms = after.select("kind", F.explode(F.array("form", F.lit("*"))).alias("form"), "n", "after").groupBy("kind", "form").agg(F.sum("n").alias("n"), F.sum("after").alias("after")).where(F.col("n") >= SEEN)
+    return out, [(r.form, r.kind, r.after / r.n, bits(r.after / r.n, r.kind)) for r in forms.orderBy("kind", "form").collect()]
+
+
+def revealing_terms(documents: DataFrame, name_parts: DataFrame) -> list[Term]:
+    """(term, kind, share, bits) beyond the disclosure thresholds, from the co-occurrence in the whole corpus."""
+    return revealing(documents, name_parts)[0]
 
 
 def _names(name_parts: DataFrame) -> list[str]:
@@ -248,14 +274,19 @@ def _names(name_parts: DataFrame) -> list[str]:
 class Finder:
     """Finds the details of a text in the one form."""
 
-    def __init__(self, parts: list[str], revealing: list[tuple[str, str, float, float]], common: frozenset[str] = frozenset()) -> None:
+    def __init__(self, parts: list[str], terms: list[Term] = (), forms: list[Term] = (), common: frozenset[str] = frozenset()) -> None:
         self.common = common
-        self.terms = {k: frozenset(t for t, kind, *_ in revealing if kind == k) for k in KINDS}
+        self.terms = {k: frozenset(t for t, kind, *_ in terms if kind == k) for k in KINDS}
+        self.forms = {(kind, form): share >= SHARE and bits >= INFORMATION for form, kind, share, bits in forms}
         self.scan = Scanner(parts, self.terms["person"])
 
     def revealed(self, kind: str, text: str, at: int) -> bool:
         return any(t in self.terms[kind] for t in terms_before(text, at))
 
+    def tells(self, kind: str, form: str) -> bool:
+        """Whether a form reveals a kind."""
+        return self.forms[kind, form] if (kind, form) in self.forms else self.forms.get((kind, "*"), False)
+
     def _person(self, text: str, start: int) -> tuple[int, int] | None:
         """The name that starts here, with initials and a second part."""
         m = NAME.match(text, start)
@@ -268,32 +299,40 @@ class Finder:
                 end = second.end()
         return _with_initials(text, start), end
 
-    def _persons_and_streets(self, text: str) -> Iterator[tuple[int, int, str]]:
-        plain, upto = "", 0
+    def suggestions(self, text: str, after: list[tuple[int, int, str]] | None = None) -> Iterator[tuple[int, int, str, str]]:
+        """(start, end, kind, form) of what may be a detail, in no order. after: gets the names in no list after terms that reveal persons."""
+        upto = 0
         for start, end, mark in self.scan.hits(text):
             if mark & NAME_MARK and _whole(text, start, end) and (span := self._person(text, start)):
-                yield *span, "person"
-            if mark & TERM_MARK and (gap := AFTER_TERM.match(text, end)):
+                yield *span, "person", text[start:end].lower()
+            if mark & STREET_MARK and start >= upto:  # each line once
+                line, upto = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+                upto = upto if upto >= 0 else len(text)
+                plain = _digits(text[line:upto])
+                for m in ADDRESS.finditer(plain):
+                    rest = ADDRESS_REST.match(plain, m.end())
+                    yield line + m.start(), line + (rest.end() if rest else m.end()), "address", "house" if HOUSE.match(m.group()) else "number"
+            if after is not None and mark & TERM_MARK and (gap := AFTER_TERM.match(text, end)):
                 at = gap.end()
                 initials = NAME_INITIALS.match(text, at)
                 at = initials.end() if initials else at
                 m = NAME.match(text, at)
                 if m and m[1].lower() not in self.common and self.revealed("person", text, initials.start() if initials else at) and (span := self._person(text, at)):
-                    yield *span, "person"
-            if mark & STREET_MARK and start >= upto:
-                plain = plain or _digits(text)
-                upto = plain.find("\n", end)
-                upto = upto if upto >= 0 else len(plain)
-                for m in ADDRESS.finditer(plain, plain.rfind("\n", 0, start) + 1, upto):
-                    rest = ADDRESS_REST.match(plain, m.end())
-                    yield m.start(), rest.end() if rest else m.end(), "address"
+                    after.append((*span, "person"))
+        yield from self._others(text)
+
+    def _others(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        if "@" in text or AT_SIGN.search(text) or " dot " in text or " DOT " in text:
+            for m in EMAIL.finditer(text):
+                yield *m.span(), "email", "@" if "@" in m.group() else "at"
+        for kind, start, end, coded in self.scan.numbers(text):
+            yield start, end, kind, "coded" if coded else LETTER.sub("A", DIGIT.sub("9", _digits(text[start:end])))
 
     def __call__(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the details, apart from each other and in order."""
-        out = list(self._persons_and_streets(text))
-        if "@" in text or AT_SIGN.search(text) or " dot " in text or " DOT " in text:
-            out += [(*m.span(), "email") for m in EMAIL.finditer(text)]
-        out += [(a, b, kind) for kind, a, b, sure in self.scan.numbers(text) if sure or self.revealed(kind, text, a)]
+        out: list[tuple[int, int, str]] = []
+        suggested = list(self.suggestions(text, out))
+        out += [(a, b, kind) for a, b, kind, form in suggested if self.tells(kind, form) or self.revealed(kind, text, a)]
         out.sort(key=lambda x: (x[0], -x[1]))
         kept: list[tuple[int, int, str]] = []
         for x in out:
@@ -310,9 +349,9 @@ def replaced(text: str, details: list[tuple[int, int, str]]) -> str:
     return "".join((*out, text[upto:]))
 
 
-def _sanitised(names: list[str], revealing: list, common: frozenset[str]):
+def _sanitised(names: list[str], terms: list[Term], forms: list[Term], common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(names, revealing, common)
+        find = Finder(names, terms, forms, common)
         detail = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string())]))
         for part, texts in pieces(batches):
             forms = one_form(texts)
@@ -325,9 +364,9 @@ def _sanitised(names: list[str], revealing: list, common: frozenset[str]):
     return run
 
 
-def _kinds(names: list[str], revealing: list, common: frozenset[str]):
+def _kinds(names: list[str], terms: list[Term], forms: list[Term], common: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Finder(names, revealing, common)
+        find = Finder(names, terms, forms, common)
         for part, texts in pieces(batches):
             rows = [(d, k) for d, x in zip(part.column(0).to_pylist(), one_form(texts), strict=True) for k in {k for *_, k in find(x)}]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.string())], ["doc_id", "kind"])
@@ -338,7 +377,7 @@ def _kinds(names: list[str], revealing: list, common: frozenset[str]):
 def _prepared(documents: DataFrame, name_parts: DataFrame, common_words: DataFrame) -> tuple:
     from .quality import common_set
 
-    return _names(name_parts), revealing_terms(documents, name_parts), common_set(common_words)
+    return _names(name_parts), *revealing(documents, name_parts), common_set(common_words)
 
 
 def sanitised(documents: DataFrame, name_parts: DataFrame, common_words: DataFrame) -> DataFrame:

@@ -387,6 +387,8 @@ def test_statistics_agree_with_plain_ones(spark):
 
 REVEALING = [("phone", "phone", 1.0, 9.0), ("id is", "id_number", 1.0, 9.0), ("ms", "person", 1.0, 9.0), ("திருமதி", "person", 1.0, 9.0)]
 
+FORMS = [(form, kind, 1.0, 9.0) for form, kind in (("@", "email"), ("at", "email"), ("coded", "phone"), ("house", "address"), ("number", "address"), ("*", "person"))] + [("9999999999", "phone", 0.1, 9.0)]
+
 
 @pytest.mark.parametrize(
     ("text", "out"),
@@ -400,7 +402,7 @@ REVEALING = [("phone", "phone", 1.0, 9.0), ("id is", "id_number", 1.0, 9.0), ("m
     ],
 )
 def test_personal_details(text, out):
-    find = personal.Finder(["Madinaran"], REVEALING)
+    find = personal.Finder(["Madinaran"], REVEALING, FORMS)
     assert personal.replaced(text, find(text)) == out
 
 
@@ -414,11 +416,20 @@ def test_terms_that_reveal_are_learned(spark):
     assert {r.kind for r in personal.personal_details(docs, names, common).where("doc_id = 2").collect()} == {"phone", "person"}
 
 
+def test_forms_that_reveal_are_learned(spark):
+    """A layout that stands after revealing terms counts without them too; one that stands anywhere doesn't."""
+    rows = [(k, f"Call me on 50{k:08d} after six. Order 1234567{k:05d} came, then 1234{k:04d}9876 went and {k} stayed. The mail to me is x{k}@host.example now.") for k in range(40)]
+    rows += [(100, "It was 5031167863."), (101, "It was 123456700001."), (102, "Then y@host.example said so.")]
+    docs, names, common = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([("Madinaran",)], "name_part string"), spark.createDataFrame([("the",)], "word string")
+    forms = {(f, k): share for f, k, share, _ in personal.revealing(docs, names)[1]}
+    assert forms["9999999999", "phone"] > 0.9 and forms["@", "email"] > 0.9
+    assert {(r.doc_id, r.kind) for r in personal.personal_details(docs, names, common).where("doc_id >= 100").collect()} >= {(100, "phone"), (102, "email")}
+
+
 def plain_revealing_terms(texts, names):
-    scan, before, places, words = personal.Scanner(names), Counter(), Counter(), 0
+    find, before, places, words = personal.Finder(names), Counter(), Counter(), 0
     for text in unify.one_form(texts):
-        at = [(kind, start) for kind, start, *_ in scan.numbers(text)]
-        at += [("person", personal._with_initials(text, a)) for a, b, mark in scan.hits(text) if mark & personal.NAME_MARK and personal._whole(text, a, b)]
+        at = [(kind, start) for start, _, kind, _ in find.suggestions(text)]
         before.update((t, kind) for kind, start in at for t in ["", *personal.terms_before(text, start)])
         for line in text.lower().split("\n"):
             line = [t for w in line.split(" ") if (t := w.strip(personal.TERM_EDGE))]
