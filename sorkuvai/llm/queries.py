@@ -63,8 +63,8 @@ with last as (
     select source, cast(sum(bytes) as bigint) as bytes, count(*) as lines from last
     where k = 1 and reject_reason is null and source is not null group by source
 ), wanted as (
-    select config_key, max(target_gb) as target_gb, max(max_repeats) as max_repeats, lower(trim(config_key)) as source
-    from dataset_configs where target_gb is not null group by config_key
+    select min(config_key) as config_key, max(target_gb) as target_gb, max(max_repeats) as max_repeats, lower(trim(config_key)) as source
+    from dataset_configs where target_gb is not null group by lower(trim(config_key))
 ), sized as (
     select config_key, w.source, coalesce(bytes, 0) as bytes, coalesce(lines, 0) as lines, max_repeats,
         target_gb / sum(target_gb) over () as share, sum(coalesce(bytes, 0)) over () as all_bytes
