@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +79,17 @@ def shingle_sets(documents: DataFrame, size: int = 5) -> DataFrame:
 PRIME = (1 << 31) - 1
 
 
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """A number below PRIME for each run of `size` characters, all at once; a shorter text has one."""
+    points = np.frombuffer(text.ljust(size, "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - size + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(size):
+        h = (h ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h % np.uint64(PRIME)
+
+
 def minhash(text: Column, hashes: int = 117, size: int = 5, seed: int = 1) -> Column:
     """The least value of each of some universal hash functions over a text's shingles (see shingles); null for null.
 
@@ -89,9 +99,7 @@ def minhash(text: Column, hashes: int = 117, size: int = 5, seed: int = 1) -> Co
     a, b = (np.array([draw.randrange(1, PRIME) for _ in range(hashes)], np.uint64) for _ in "ab")
 
     def one(x: str) -> np.ndarray:
-        low = x.lower().strip()
-        each = {low[k : k + size] for k in range(len(low) - size + 1)} or {low}
-        h = np.fromiter((xxhash.xxh32_intdigest(s) for s in each), np.uint64, len(each)) % PRIME
+        h = np.unique(shingle_hashes(x.lower().strip(), size))
         least = np.full(hashes, PRIME, np.uint64)
         for start in range(0, len(h), 4096):  # bounds the table of a very long text
             least = np.minimum(least, ((h[start : start + 4096, None] * a + b) % PRIME).min(0))

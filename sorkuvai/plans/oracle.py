@@ -268,7 +268,7 @@ ORACLE["q_domain_stats_totals"] = """select domain, count(*) as runs, cast(sum(l
     from (select distinct * from domain_stats) group by rollup (domain)"""
 ORACLE["q_shingle_pairs"] = """with s as (select item_id, case when length(t) < 5 then [t] else list_distinct(list_transform(range(1, length(t) - 3), lambda k: substr(t, k, 5))) end as s
         from (select item_id, trim(lower(text)) as t from eval_items)), p as (select a.item_id as a, b.item_id as b, len(list_intersect(a.s, b.s)) as c, len(a.s) + len(b.s) as n from s a join s b on a.item_id < b.item_id)
-    select a, b, c / (n - c) as similarity from p where c / (n - c) >= 0.3"""
+    select a, b, c / (n - c) as similarity from p where c / (n - c) >= 0.15"""
 ORACLE["q_embedding_means"] = """select 'label' || label as token, cast(dim as integer) as dim, round(avg(cast(x as double)), 9) as x from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as dim from embeddings) group by all"""
 ORACLE["q_embedding_norms"] = """with n as (select label, sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as norm from embeddings), a as (select avg(norm) as m from n)
     select label, count(*) as vectors, round(avg(norm), 9) as mean_norm, round(stddev_samp(norm), 9) as std_norm, round(avg(norm) / max(m), 9) as ratio, avg(norm) / max(m) < 0.1 or avg(norm) / max(m) > 10 as warn from n, a group by label"""

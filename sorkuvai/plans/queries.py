@@ -460,7 +460,7 @@ def q_minhash_keep(spark, folder):
 def q_shingle_pairs(spark, folder):
     items = Tables(spark, folder).eval_items.select(F.col("item_id").alias("doc_id"), dedup.shingles(F.col("text")).alias("s"))
     sets = items.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("item"))
-    return dedup.shared_pairs(sets, 0.3)
+    return dedup.shared_pairs(sets, 0.15)
 
 
 @query

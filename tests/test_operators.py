@@ -245,6 +245,16 @@ def test_links_join_as_in_the_library(spark):
     assert [(r.base, r.link, r.got) for r in rows] == [(b, x, urljoin(b, x)) for b, x in pairs] and {r.host for r in rows} == {"a.example", "h.example"}
 
 
+def test_classifier_of_hashed_words(spark):
+    from sorkuvai.operators import classify
+
+    good, bad = ("a fine day", "the meal was fine", "fine work indeed"), ("a poor day", "the meal was poor", "poor work indeed")
+    rows = spark.createDataFrame([(x, "good") for x in good] + [(x, "bad") for x in bad] + [(None, "bad"), ("x", None)], "text string, label string")
+    model = classify.trained(rows, 1 << 10)
+    out = classify.classified(model, spark.createDataFrame([("such fine weather",), ("such poor weather",)], "text string")).collect()
+    assert [r.predicted for r in out] == ["good", "bad"]
+
+
 def test_tokenizer_file(spark, tmp_path):
     import json
 
