@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.oracle import BPE
+from ..functions.profiles import WS
+from ..plans.oracle import BPE, lit, strip
 from ..sources.tables import read
 from . import language, leak, mixing, near, overlap, packing, personal, quality, tokens, unify
 
@@ -23,6 +24,19 @@ def _updated_cube(documents, *tables):
     return tokens.token_cube_in_steps(documents, documents.where("fetched_at < timestamp '2024-07-01 00:00:00'"), *tables)
 
 
+#: Statistics of problem 5 that SQL has too.
+PLAIN = ("words", "mean_word_length", "words_with_letter", "common_words", "ends_in_punctuation", "lines_a_word", "short_lines", "duplicate_lines", "comma_share")
+_WORD, _END, _AROUND = (lit(x) for x in (f"[^{WS}]+", "[.?!।…\"”)']$", r"^[.,;:!?()\[\]\"'|।…\-]+|[.,;:!?()\[\]\"'|।…\-]+$"))
+_PLAIN_SQL = f"""with d as (select doc_id, text, regexp_extract_all(text, {_WORD}) as w from documents where length(text) > 0),
+    common as (select distinct lower(word) as word from common_words where word is not null),
+    w as (select doc_id, count(*) as words, sum(length(x)) / count(*) as mean_word_length, count(*) filter (where regexp_matches(x, '\\p{{L}}')) / count(*) as words_with_letter,
+        count(*) filter (where regexp_replace(lower(x), {_AROUND}, '', 'g') in (select word from common)) as common_words from (select doc_id, unnest(w) as x from d) group by doc_id),
+    l as (select doc_id, count(*) as n, count(distinct x) as kinds, count(*) filter (where regexp_matches(x, {_END})) as ended, count(*) filter (where length(x) < 30) as short
+        from (select doc_id, {strip('x')} as x from (select doc_id, unnest(string_split(text, chr(10))) as x from d)) where x <> '' group by doc_id)
+    select doc_id, cast(words as integer) as words, mean_word_length, words_with_letter, cast(common_words as integer) as common_words, ended / n as ends_in_punctuation, n / words as lines_a_word, short / n as short_lines,
+        (n - kinds) / n as duplicate_lines, (length(text) - length(replace(text, ',', ''))) / words as comma_share from d join w using (doc_id) join l using (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": _of(mixing.short_sources, "merge_gold", "dataset_configs"),
@@ -36,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_languages": _of(language.document_languages, "documents", "lang_samples"),
         "p5_found": _of(quality.unnatural_documents, "documents", "common_words"),
         "p5_statistics": _of(quality.text_statistics, "documents", "common_words"),
+        "p5_word_and_line_statistics": _of(lambda documents, common: quality.text_statistics(documents, common).select("doc_id", *PLAIN), "documents", "common_words"),
         "p5_reasons_by_source": _of(quality.reasons_by_source, "documents", "common_words"),
         "p6_found": _of(overlap.across_splits, "documents"),
         "p6_overlap_counts": _of(overlap.overlap_counts, "documents"),
@@ -95,6 +110,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_updated_cube": _CUBE + "select * from cube_ where documents <> 0 or tokens <> 0",
         "p1_found": _PLAN + "select config_key from plan where short",
         "p1_source_plan": _PLAN + "select * from plan",
+        "p5_word_and_line_statistics": _PLAIN_SQL,
         "p8_packing_invariants": """select spec_id, (select count(distinct doc_id) from documents where length(text) > 0) as documents,
             cast(0 as bigint) as tokens_lost, cast(0 as bigint) as blocks_over, cast(0 as bigint) as needless_cuts, true as tight from block_specs where capacity > 0""",
     }
