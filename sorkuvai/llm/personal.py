@@ -354,10 +354,10 @@ def _sanitised(names: list[str], terms: list[Term], forms: list[Term], common: f
         find = Finder(names, terms, forms, common)
         detail = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("kind", pa.string())]))
         for part, texts in pieces(batches):
-            forms = one_form(texts)
-            details = [find(x) for x in forms]
+            unified = one_form(texts)
+            details = [find(x) for x in unified]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(map(replaced, forms, details), pa.string()), pa.array([[{"start": a, "length": b - a, "kind": k} for a, b, k in x] for x in details], detail)],
+                [part.column(0), pa.array(map(replaced, unified, details), pa.string()), pa.array([[{"start": a, "length": b - a, "kind": k} for a, b, k in x] for x in details], detail)],
                 ["doc_id", "text", "details"],
             )
 
