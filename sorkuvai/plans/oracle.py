@@ -301,8 +301,8 @@ ORACLE["q_sources_under_budget"] = f"""with d as (select source, doc_id, text fr
     r as (select *, coalesce(sum(strlen(text)) over (order by encode(source), doc_id rows between unbounded preceding and 1 preceding), 0) as used from d) select source, doc_id from r where used < 1500000"""
 _kinds = {"vowel": P.VOWELS, "consonant": P.CONSONANTS, "sign": P.VOWEL_SIGNS, "pulli": P.PULLI, "grantha": P.GRANTHA, "aytham": P.AYTHAM}
 ORACLE["q_character_kinds"] = "select source, " + ", ".join(f"cast(sum({n_of('text', f'[{v}]')}) as bigint) as {k}" for k, v in _kinds.items()) + f" from ({DOCS}) group by source"
-ORACLE["q_invalid_boundaries"] = f"""with {WORDS}, {cutting('words')}, b as (select word, unnest({_ends('morphemes')}) as at from cutted where len(morphemes) > 1)
-    select at > 0 and at < length(word) and regexp_matches(substr(word, at + 1, 1), '^[\\p{{Mn}}\\p{{Mc}}]') as invalid, count(*) as boundaries from b group by 1"""
+ORACLE["q_invalid_boundaries"] = f"""with {WORDS}, {cutting('words')}, b as (select word, unnest({_ends('morphemes')}) as place from cutted where len(morphemes) > 1)
+    select place > 0 and place < length(word) and regexp_matches(substr(word, cast(place as bigint) + 1, 1), '^[\\p{{Mn}}\\p{{Mc}}]') as invalid, count(*) as boundaries from b group by 1"""
 ORACLE["q_strict_leakage"] = f"select token_id, token from vocab where not {_special} and {_has(T)} and ({_has(LATIN)} or regexp_matches({_piece}, '\\p{{Nd}}'))"
 ORACLE["q_unigram_counts_capped"] = f"with {TOKENS}, first as (select piece from tokens order by doc_id, pos limit 50000) select piece as token, count(*) as n from first group by 1"
 ORACLE["q_token_stats"] = f"""with {PIECES}, n as (select source, sum(len(p)) as t, sum({n_of('text', f'[^{WS}]+')}) as w, sum(strlen(text)) as b from pieces group by source)

@@ -581,7 +581,8 @@ def q_character_kinds(spark, folder):
 
 @query
 def q_invalid_boundaries(spark, folder):
-    words = morphemes.segmented(morphemes.word_counts(_documents(spark, folder), TAMIL.letters))
+    # Written once: as one plan the cutting would be worked out again for every use of the pieces.
+    words = checkpointed(morphemes.segmented(morphemes.word_counts(_documents(spark, folder), TAMIL.letters)).select("word", "morphemes"))
     ends = words.where(F.size("morphemes") > 1).select("word", F.explode(metrics.boundaries(F.col("morphemes"))).alias("at"))
     return ends.groupBy(predicates.is_invalid_boundary(F.col("word"), F.col("at")).alias("invalid")).agg(F.count("*").alias("boundaries"))
 
