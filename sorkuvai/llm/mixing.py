@@ -42,15 +42,15 @@ def source_sizes(kept: DataFrame) -> DataFrame:
 
 
 def source_plan(lines: DataFrame, configs: DataFrame) -> DataFrame:
-    """plan_of the kept lines."""
-    return plan_of(kept_lines(lines), configs)
+    """plan_of the kept lines, without most_bytes."""
+    return plan_of(kept_lines(lines), configs).drop("most_bytes")
 
 
 def plan_of(kept: DataFrame, configs: DataFrame) -> DataFrame:
-    """Of each source with a target_gb: config_key, source, bytes, lines, share, wanted_bytes, copies, short.
+    """Of each source with a target_gb: config_key, source, bytes, lines, share, wanted_bytes, copies, short, most_bytes.
 
     share is of all target_gb; wanted_bytes is the share of the sum of all sizes; copies is what each line
-    is expected to give; short tells that max_repeats doesn't reach. A null max_repeats sets no bound. A
+    is expected to give; short tells that max_repeats doesn't reach; most_bytes is max_repeats times bytes. A null max_repeats sets no bound. A
     source without lines has bytes 0 and is short if it wants any. Keys that are the same source count once,
     with the greatest of their numbers, under the first key in order.
     """
@@ -63,7 +63,7 @@ def plan_of(kept: DataFrame, configs: DataFrame) -> DataFrame:
     return plan.select(
         "config_key", "source", "bytes", "lines", "share", "wanted_bytes",
         F.when(F.col("bytes") > 0, F.least(F.col("wanted_bytes") / F.col("bytes"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)).alias("copies"),
-        F.coalesce(F.col("wanted_bytes") > most, F.lit(False)).alias("short"),
+        F.coalesce(F.col("wanted_bytes") > most, F.lit(False)).alias("short"), most.alias("most_bytes"),
     )
 
 
@@ -88,7 +88,7 @@ def emitted(kept: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("line_id"))
     numbered = kept.withColumn("place", place).join(starts, ["source", "bucket"]).withColumn("upto", F.col("before") + F.col("place"))
     crossed = F.floor(F.col("upto") * F.col("rate") + offset) - F.floor((F.col("upto") - 1) * F.col("rate") + offset)
-    return numbered.select("line_id", "source", "domain", "bytes", crossed.cast("int").alias("copies")).where("copies > 0")
+    return numbered.select("line_id", "source", "domain", "bytes", crossed.alias("copies")).where("copies > 0")
 
 
 def mix_report(lines: DataFrame, configs: DataFrame, seed: int = 0) -> DataFrame:
@@ -106,6 +106,14 @@ def mix_report(lines: DataFrame, configs: DataFrame, seed: int = 0) -> DataFrame
     return rows.select("config_key", "domain", "target_share", "lines", "emitted_lines", "emitted_bytes", (F.col("emitted_bytes") / F.greatest("all_emitted", F.lit(1))).alias("reached_share"))
 
 
-def short_sources(lines: DataFrame, configs: DataFrame) -> DataFrame:
-    """config_key of the sources that fall short of their share even at max_repeats."""
-    return source_plan(lines, configs).where("short").select("config_key")
+def short_sources(lines: DataFrame, configs: DataFrame, seed: int = 0) -> DataFrame:
+    """config_key of the sources that fall short of their share even at max_repeats, as the emitted lines show.
+
+    Found is a source whose emitted lines amount to all that max_repeats allows, which is less than it wants.
+    The seed doesn't matter: each line of such a source has just max_repeats copies at any offset.
+    """
+    kept = checkpointed(kept_lines(lines))
+    plan = checkpointed(plan_of(kept, configs))
+    out = emitted(kept, plan, seed).groupBy("source").agg(F.sum(F.col("copies") * F.col("bytes")).alias("emitted_bytes"))
+    rows = plan.join(out, "source", "left").fillna(0, ["emitted_bytes"])
+    return rows.where("emitted_bytes >= most_bytes and most_bytes < wanted_bytes").select("config_key")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sorkuvai.llm import batches, language, leak, mixing, near, overlap, packing, personal, quality, tokens, unify
 from sorkuvai.operators.bpe import Bpe, decode
@@ -295,6 +296,37 @@ def test_mix_keeps_its_expectation(spark, monkeypatch):
     assert sum(r.reached_share for r in mixing.mix_report(lines, configs).collect()) == pytest.approx(1)
 
 
+def test_short_sources_by_the_emitted_lines(spark, monkeypatch):
+    lines, configs = table(spark, "merge_gold"), table(spark, "dataset_configs")
+    plan = {r.config_key: r for r in mixing.source_plan(lines, configs).collect()}
+    short = {key for key, p in plan.items() if p.short}
+    assert {p.bytes > 0 for p in plan.values() if p.short} == {True, False}
+    assert {r.config_key for r in mixing.short_sources(lines, configs).collect()} == short
+    whole = mixing.emitted
+    monkeypatch.setattr(mixing, "emitted", lambda *a: whole(*a).withColumn("copies", F.col("copies") - 1))
+    assert {r.config_key for r in mixing.short_sources(lines, configs).collect()} == {key for key in short if not plan[key].bytes}
+
+
+def test_short_sources_at_any_offset(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_LINES", 2)
+    sizes = {"long": 39, "just": 8, "over": 7, "free": 1, "never": 5, "empty": 0, "less": 4}
+    rows = [(100 * k + j, " " + source.upper(), "d", "x" * n, None, 1) for k, (source, n) in enumerate(sizes.items()) for j in range(5)]
+    lines = spark.createDataFrame(rows, "line_id bigint, source string, domain string, line string, reject_reason string, merged_at int")
+    # 320 bytes in eight equal shares of 40: "just" has 40 bytes, "over" 35
+    wants = [("long", 1.0, 1), ("just", 1.0, 1), ("over", 1.0, 1), ("free", 1.0, None), ("never", 1.0, 0), ("empty", 1.0, 3), ("less", 0.0, -1), ("none", 1.0, 2), ("unset", None, 1), ("nothing", 0.0, 1), ("other", 1.0, None)]
+    configs = spark.createDataFrame(wants, "config_key string, target_gb double, max_repeats int")
+    short = {r.config_key for r in mixing.source_plan(lines, configs).where("short").collect()}
+    assert short == {"over", "never", "empty", "less", "none"}
+    for seed in range(3):
+        assert {r.config_key for r in mixing.short_sources(lines, configs, seed).collect()} == short
+
+
+def test_copies_beyond_32_bits(spark):
+    kept = spark.createDataFrame([(1, "s", "d", 1)], "line_id bigint, source string, domain string, bytes bigint")
+    plan = spark.createDataFrame([("s", 3e9, 1)], "source string, copies double, lines bigint")
+    assert [r.copies for r in mixing.emitted(kept, plan, 0).collect()] == [3_000_000_000]
+
+
 # --- languages, quality, personal details -----------------------------------------------------------------
 
 
