@@ -15,8 +15,8 @@ CONSECUTIVE = rf"(^|[^\p{{L}}\p{{N}}_])([A-Za-z]+[{P.WS},;:]+){{5,}}"
 
 
 def words(text: Column) -> Column:
-    """How many words between white space."""
-    return F.regexp_count(text, F.lit(f"[^{P.WS}]+"))
+    """How many words between white space: how many begin, since Java is slow at runs of what isn't in a class."""
+    return F.regexp_count(text, F.lit(f"(?:^|[{P.WS}])[^{P.WS}]"))
 
 
 def english_words(text: Column) -> Column:
@@ -32,10 +32,11 @@ def line_reason(line: Column, least_share: float = 0.6, most_english: float = 0.
 
     def reason(m: Column) -> Column:
         x, own, n = m["line"], m["own"], F.length(m["line"])
+        english = F.when(m["latin"] > 0, english_words(x) / words(x)).otherwise(0.0)
         return (
             F.when(n < shortest, "too_short").when(n > longest, "too_long")
             .when(own == 0, f"no_{script.name}").when(own / (own + m["latin"]) < least_share, f"low_{script.name}")
-            .when(x.rlike(CONSECUTIVE), "consecutive_english").when(english_words(x) / words(x) > most_english, "english_words")
+            .when((m["latin"] > 0) & x.rlike(CONSECUTIVE), "consecutive_english").when(english > most_english, "english_words")
         )
 
     return F.transform(F.array(measured), reason)[0]

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 #: White space as Python's str.split and str.strip have it.
 WS = r"\x09-\x0d\x1c-\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: The same without the line feed.
+#: The characters themselves.
+WS_CHARACTERS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: WS without the line feed.
 WS_IN_LINE = r"\x09\x0b-\x0d\x1c-\x20\x85\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LATIN = "A-Za-z"
 #: Decimal digits other than Tamil ones, and superscripts.

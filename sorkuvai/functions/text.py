@@ -14,53 +14,22 @@ from . import profiles as P
 from .profiles import TAMIL, ScriptProfile
 
 
-def character_class(code_points) -> str:
-    """The inside of a character class of code points, as ranges."""
-    out, first, last = [], None, None
-    for cp in [*sorted(code_points), None]:
-        if first is not None and cp != last + 1:
-            out.append(rf"\x{{{first:X}}}" + (rf"-\x{{{last:X}}}" if last > first else ""))
-            first = None
-        if cp is not None:
-            first, last = (cp if first is None else first), cp
-    return "".join(out)
-
-
-def _may_compose() -> str:
-    """Matches wherever a text may not be composed: a character with another form, one that composes with the next, or two marks that have an order."""
-    alone, first, second, ordered = set(), set(), set(), set()
-    for cp in range(0x30000):
-        ch = chr(cp)
-        if unicodedata.combining(ch):
-            ordered.add(cp)
-        if not (parts := unicodedata.decomposition(ch)) or parts[0] == "<":
-            continue
-        if unicodedata.normalize("NFC", ch) != ch:
-            alone.add(cp)
-        else:
-            a, b = (int(x, 16) for x in parts.split())
-            first.add(a)
-            second.add(b)
-    hangul = r"[\x{1100}-\x{1112}][\x{1161}-\x{1175}]|[\x{AC00}-\x{D7A3}][\x{11A8}-\x{11C2}]"
-    return rf"[{character_class(alone)}]|[{character_class(first)}][{character_class(second)}]|[{character_class(ordered)}]{{2}}|{hangul}"
-
-
-MAY_COMPOSE = _may_compose()
-
-
 @F.arrow_udf(T.StringType())
 def _composed(text: pa.Array) -> pa.Array:
     return pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; Spark has no built-in for it, and Arrow's only decomposes. Only texts that may change go to Python."""
-    return F.coalesce(_composed(F.when(text.rlike(MAY_COMPOSE), text)), text)
+    """Canonical composition; Spark has no built-in for it, and Arrow's only decomposes. ASCII never changes and doesn't go to Python.
+
+    Python looks a text up in the Unicode data faster than Java goes through a regular expression of all characters that compose.
+    """
+    return F.coalesce(_composed(F.when(F.octet_length(text) > F.length(text), text)), text)
 
 
 def ustrip(text: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(text, rf"^[{P.WS}]+|[{P.WS}]+\z", "")
+    return F.btrim(text, F.lit(P.WS_CHARACTERS))
 
 
 def replace_all(text: Column, *rules: tuple[str, str]) -> Column:
@@ -82,9 +51,17 @@ CONTROL = r"[^\P{C}\n\t]"
 SQUEEZE = ((r"[ \t]+", " "), (r"\n{3,}", "\n\n"))
 
 
+#: Matches what the rules of normalize_basic change, but for white space at the ends.
+UNTIDY = r"[\x00-\x09\x0b-\x1f\x7f]|\n{3}"
+
+
 def normalize_basic(text: Column) -> Column:
     """Composed; tabs and carriage returns as a blank; at most one empty line; no control characters."""
-    return ustrip(replace_all(nfc(text), (r"[\t\r]+", " "), (r"\n{3,}", "\n\n"), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")))
+    return tidied(nfc(text))
+
+
+def tidied(text: Column) -> Column:
+    return ustrip(replace_all(text, (r"[\t\r]+", " "), (r"\n{3,}", "\n\n"), (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")))
 
 
 def fix_joiners(text: Column, script: ScriptProfile = TAMIL) -> Column:
@@ -141,8 +118,8 @@ def isolate_scripts(text: Column, script: ScriptProfile = TAMIL) -> Column:
 
 
 def count(text: Column, inside: str) -> Column:
-    """How many characters of a class."""
-    return F.regexp_count(text, F.lit(f"[{inside}]"))
+    """How many characters of a class; the others go in runs, which is cheaper than a match for each character."""
+    return F.length(F.regexp_replace(text, f"[^{inside}]+", ""))
 
 
 def script_share(text: Column, inside: str = TAMIL.letters) -> Column:

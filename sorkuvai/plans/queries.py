@@ -407,12 +407,12 @@ def q_block_packing_by_batch(spark, folder):
 
 @query
 def q_priority_merge(spark, folder):
-    return merge.merged(_gold_lines(spark, folder)).select("domain", "line_no")
+    return merge.merged(_gold_lines(spark, folder), text=False).select("domain", "line_no")
 
 
 @query
 def q_merge_with_budget(spark, folder):
-    return merge.merged(_gold_lines(spark, folder), 500_000).select("domain", "line_no")
+    return merge.merged(_gold_lines(spark, folder), 500_000, text=False).select("domain", "line_no")
 
 
 @query

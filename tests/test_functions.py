@@ -52,6 +52,19 @@ def test_article(spark):
     assert apply(spark, text.links, '<a href="/a">x</a><a href="/b"><a href="/a">') == [["/a", "/b"]]
 
 
+def test_trimming_and_counting_are_those_of_regular_expressions(spark):
+    from sorkuvai.functions.profiles import LATIN, TAMIL, WS
+
+    x = F.concat(F.col("c"), F.lit("a"), "c", F.lit(" b"), "c", "c")
+    rows = spark.range(1, 0x30000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "utf-32").alias("c"))
+    same = [
+        (text.ustrip(x), F.regexp_replace(x, rf"^[{WS}]+|[{WS}]+\z", "")), (predicates.words(x), F.regexp_count(x, F.lit(f"[^{WS}]+"))),
+        *((text.count(x, y), F.regexp_count(x, F.lit(f"[{y}]"))) for y in (TAMIL.letters, LATIN, r"\p{L}", *predicates.CHARACTER_KINDS.values())),
+    ]
+    assert rows.select(F.count_distinct("c"), *(F.count_if(~a.eqNullSafe(b)) for a, b in same)).first() == (0x30000 - 1 - 2048, *[0] * len(same))
+    assert apply(spark, predicates.words, "", " ", "a", " a  b\n", None) == [0, 0, 1, 2, None]
+
+
 def test_composition_is_that_of_unicode(spark):
     values = ["".join(random.Random(k).choices("aéௌெொகड़्0é", k=20)) for k in range(50)]
     assert apply(spark, text.nfc, *values, None) == [*(unicodedata.normalize("NFC", x) for x in values), None]

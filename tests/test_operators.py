@@ -69,6 +69,27 @@ def test_shared_pairs(spark):
     assert {(r.a, r.b) for r in dedup.shared_pairs(rows, 0.5).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["q_merge_with_budget", "q_priority_merge"])
+def test_lines_are_read_and_composed_once(spark, name):
+    from sorkuvai.plans.queries import QUERIES
+
+    plans, checkpoint = [], ordering.checkpointed
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ordering, "checkpointed", lambda rows: plans.append(rows) or checkpoint(rows))
+        plans.append(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == plan.count("ArrowEvalPython") == 1
+
+
+def test_merged_with_and_without_text(spark):
+    lines = spark.createDataFrame([("own", "f", k, f"{TAMIL} {k // 2}" + " \t" * (k % 2)) for k in range(40)] + [("wiki", "g", 40, f" {TAMIL} 7"), ("wiki", None, 41, f"{TAMIL} 9\x00"), ("own", "f", 42, None), ("own", "f", 43, "short")], "domain string, file_name string, line_no long, line string")
+    for budget in (None, 500):
+        rows = merge.merged(lines, budget).collect()
+        assert {r[:3] for r in rows} == {tuple(r) for r in merge.merged(lines, budget, text=False).collect()}
+        assert {r.line for r in rows} >= {f"{TAMIL} 7", f"{TAMIL} 9"} and {(r.domain, r.line_no) for r in rows} >= {("wiki", 40), ("wiki", 41)}
+    assert merge.merged(lines).count() == 20
+
+
 def test_document_shingle_pairs(spark, tmp_path):
     from sorkuvai.plans.queries import QUERIES
 
