@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -60,20 +62,8 @@ def shingles(text: Column, size: int = 5) -> Column:
     return F.when(F.length(low) < size, F.array(low)).otherwise(cut)
 
 
-def shingle_sets(documents: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n, item: the shingles of each distinct document, for shared_pairs; of rows of one doc_id the least text counts.
-
-    Cut in Arrow batches: as built-ins each shingle is looked for from the text's start, which is quadratic in a long text.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                each = list({low[k : k + size] for k in range(len(low) - size + 1)} or {low})
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(each), pa.int64()), pa.array([len(each)] * len(each), pa.int32()), pa.array(each, pa.string())], ["doc_id", "n", "item"])
-
-    once = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return once.select("doc_id", F.lower(F.trim("text")).alias("low")).mapInArrow(run, "doc_id bigint, n int, item string")
+def _cut(low: str, size: int) -> set[str]:
+    return {low[k : k + size] for k in range(len(low) - size + 1)} or {low}
 
 
 PRIME = (1 << 31) - 1
@@ -81,13 +71,17 @@ PRIME = (1 << 31) - 1
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
     """A number below PRIME for each run of `size` characters, all at once; a shorter text has one."""
+    return _hashed(text, size) % np.uint64(PRIME)
+
+
+def _hashed(text: str, size: int) -> np.ndarray:
     points = np.frombuffer(text.ljust(size, "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(points) - size + 1
     h = np.zeros(n, np.uint64)
     for k in range(size):
         h = (h ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    return h % np.uint64(PRIME)
+    return h
 
 
 def minhash(text: Column, hashes: int = 117, size: int = 5, seed: int = 1) -> Column:
@@ -213,3 +207,130 @@ def shared_pairs(sets: DataFrame, least: float, size: str = "n") -> DataFrame:
     mine = found.join(sets.select(F.col("doc_id").alias("a"), "item"), "a")
     both = mine.join(sets.select(F.col("doc_id").alias("b"), "item"), ["b", "item"]).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common"))
     return both.withColumn("similarity", F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
+#: Classes of set sizes: each begins at so many items.
+CLASSES = [1.25**c for c in range(120)]
+#: Pairs of documents of a slot that are held and counted at a time, about.
+PAIRS_HELD = 500_000
+
+
+def _groups(c: int) -> tuple[int, int, int]:
+    """Blocks, groups a block, and groups that a pair at 0.8 has in common in one block at least, of the sets compared in a class.
+
+    Sets of sizes a and b at 0.8 differ in (a + b) / 9 items at most, here in a quarter of the class's upper bound, and
+    in one of the blocks in no more than their mean. Each item that differs spoils one group; the others are the same.
+    """
+    most = int(CLASSES[c + 1] / 4 + 1e-6)
+    blocks = min(8, max(1, most // 12))
+    shared = 10 if most >= 80 else 7 if most >= 40 else 4 if most >= 20 else 2 if most >= 6 else 1
+    return blocks, most // blocks + shared + 2 + most // blocks // 5, shared
+
+
+def _grouped(low: str, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """class, size (negative in the class below its own), block and name of each group that the text's shingles fall into."""
+    h = np.unique(_hashed(low, size))
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    n, own = len(h), bisect_right(CLASSES, len(h)) - 1
+    for c in (own, own - 1) if own else (own,):
+        blocks, groups, shared = _groups(c)
+        high = CLASSES[c + 1]
+        differ = int((min(2.25 * n, n + high) if c == own else n + high) / 9 + 1e-9)
+        g = ((h >> np.uint64(32)) * np.uint64(blocks * groups)) >> np.uint64(32)
+        start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        g = g[start]
+        name = (np.add.reduceat(mixed, start) ^ (g + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0xD6E8FEB86659FD93)
+        block = (g // np.uint64(groups)).astype(np.int64)
+        # Two sets may have just empty groups in common. Where one has too many, they get names as well; sets with few don't need them.
+        few = np.flatnonzero(np.bincount(block, minlength=blocks) < differ // blocks + shared)
+        if len(few):
+            empty = np.setdiff1d((few[:, None] * groups + np.arange(groups)).ravel(), g.astype(np.int64))
+            name = np.concatenate((name, (empty.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)))
+            block = np.concatenate((block, empty // groups))
+        yield c, n if c == own else -n, block, (name >> np.uint64(32)).astype(np.uint32)
+
+
+def _slots(size: int):
+    """doc_id, low -> the names of groups by slot, a block of a class; one row a slot and batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[int, list] = {}
+            for doc, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for c, n, block, name in _grouped(low, size):
+                    found.setdefault(c, []).append((doc, n, block, name))
+            rows = []
+            for c, each in found.items():
+                docs, sizes = np.array([x[0] for x in each], np.int64), np.array([x[1] for x in each], np.int64)
+                owner = np.repeat(np.arange(len(each), dtype=np.uint32), [len(x[2]) for x in each])
+                block, name = (np.concatenate([x[k] for x in each]) for k in (2, 3))
+                order = np.argsort(block, kind="stable")
+                ends = np.searchsorted(block[order], np.arange(_groups(c)[0] + 1))
+                rows += [(c * 8 + b, docs.tobytes(), sizes.tobytes(), owner[at].tobytes(), name[at].tobytes()) for b in range(len(ends) - 1) if len(at := order[ends[b] : ends[b + 1]])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["slot", "docs", "sizes", "owner", "name"])
+
+    return run
+
+
+def _together(table: pa.Table) -> pa.Table:
+    """The documents of a slot that have as many groups in common as a pair at 0.8, and may be one by their sizes."""
+    columns = [table.column(k).to_pylist() for k in ("docs", "sizes", "owner", "name")]
+    docs, sizes = (np.concatenate([np.frombuffer(x, np.int64) for x in c]) for c in columns[:2])
+    starts = np.cumsum([0, *(len(x) // 8 for x in columns[0])])
+    owner = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + at for x, at in zip(columns[2], starts, strict=False)])
+    name = np.concatenate([np.frombuffer(x, np.uint32) for x in columns[3]])
+    least = _groups(table.column("slot")[0].as_py() // 8)[2]
+    # The postings come by document. Those of a name lie together in the order, by document as well; each meets the ones after it.
+    order = np.argsort(name, kind="stable")
+    place, listed, name = np.empty(len(order), np.int64), owner[order], name[order]
+    place[order] = np.arange(len(order))
+    begins = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    ends = np.repeat(np.append(begins[1:], len(name)), np.diff(np.append(begins, len(name))))
+    after = ends[place] - place - 1
+    meets = np.flatnonzero(after)
+    owner, place, after = owner[meets], place[meets], after[meets]
+    upto, cuts, found = np.cumsum(after), [0], []
+    while cuts[-1] < len(owner):  # whole documents, at least one
+        at = np.searchsorted(upto, (upto[cuts[-1] - 1] if cuts[-1] else 0) + PAIRS_HELD)
+        cuts.append(int(np.searchsorted(owner, owner[min(max(at, cuts[-1]), len(owner) - 1)], "right")))
+    for lo, hi in pairwise(cuts):
+        n = after[lo:hi]
+        x, y = np.repeat(owner[lo:hi], n), listed[np.repeat(place[lo:hi] + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        p, q = sizes[x], sizes[y]
+        may = (x != y) & ((p > 0) | (q > 0)) & (5 * np.minimum(np.abs(p), np.abs(q)) >= 4 * np.maximum(np.abs(p), np.abs(q)))
+        pairs, times = np.unique(x[may] << 32 | y[may], return_counts=True)
+        found.append(pairs[times >= least])
+    pairs = np.concatenate([np.zeros(0, np.int64), *found])
+    x, y = docs[pairs >> 32], docs[pairs & 0xFFFFFFFF]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _compared(size: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b, one, other in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                one, other = _cut(one, size), _cut(other, size)
+                common = len(one & other)
+                if (similarity := common / (len(one) + len(other) - common)) >= least:
+                    out.append((a, b, similarity))
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
+
+    return run
+
+
+def similar_documents(documents: DataFrame, size: int = 5) -> DataFrame:
+    """a < b, similarity of documents whose sets of shingles are at least 0.8 alike (Jaccard); of rows of one doc_id the least text counts.
+
+    Exact. Single shingles of one language are in too many documents to be joined, even the rarest of each, so what
+    is joined are groups of a set's shingles, cut by hash so that a pair at 0.8 must have some in common.
+    """
+    once = documents.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", F.lower(F.trim("text")).alias("low"))
+    slots = once.mapInArrow(_slots(size), "slot int, docs binary, sizes binary, owner binary, name binary")
+    pairs = slots.groupBy("slot").applyInArrow(_together, "a bigint, b bigint").distinct()
+    first, second = (once.select(F.col("doc_id").alias(x), F.col("low").alias(f"low_{x}")) for x in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "low_a", "low_b")
+    return both.mapInArrow(_compared(size, 0.8), "a bigint, b bigint, similarity double")

@@ -465,7 +465,7 @@ def q_shingle_pairs(spark, folder):
 
 @query
 def q_document_shingle_pairs(spark, folder):
-    return dedup.shared_pairs(dedup.shingle_sets(_documents(spark, folder)), 0.8)
+    return dedup.similar_documents(_documents(spark, folder))
 
 
 @query

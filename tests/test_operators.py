@@ -108,6 +108,31 @@ def test_document_shingle_pairs(spark, tmp_path):
     assert {(r.a, r.b): r.similarity for r in QUERIES["q_document_shingle_pairs"](spark, str(tmp_path)).collect()} == want and len(want) > 20
 
 
+@pytest.mark.parametrize("held", [500_000, 300])
+def test_similar_documents_are_those_of_brute_force(held):
+    import pyarrow as pa
+    import pyarrow.compute
+
+    draw, texts = random.Random(9), []
+    for size in (5, 8, 12, 20, 40, 90, 200, 500, 1500):
+        for _ in range(12):
+            text = draw.choices("abcdefghijklmnop", k=size)
+            for share in (0.03, 0.08, 0.1, 0.11, 0.12):  # cut short and with a stretch put in, so that many are just at 0.8
+                copy = text[: round(size * (1 - share))] + draw.choices("xyz", k=round(size * draw.choice([0, share])))
+                texts.append("".join(copy))
+            texts += ["".join(text)] * 2
+    sets = [dedup._cut(x, 5) for x in texts]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    slots = pa.Table.from_batches(dedup._slots(5)(iter(pa.table({"d": pa.array(range(len(texts)), pa.int64()), "low": texts}).to_batches())))
+    found = set()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(dedup, "PAIRS_HELD", held)
+        for slot in set(slots.column("slot").to_pylist()):
+            pairs = dedup._together(slots.filter(pa.compute.equal(slots.column("slot"), slot)))
+            found |= set(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True))
+    assert want <= found and len(want) > 500
+
+
 def test_large_side_tables_are_not_cut(spark, tmp_path):
     from sorkuvai.plans.queries import QUERIES
 
